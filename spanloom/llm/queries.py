@@ -88,7 +88,7 @@ SQL = {
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-            CAST(sum(escaped + CASE role WHEN 'user' THEN 23 WHEN 'assistant' THEN 21 WHEN 'system' THEN 21 ELSE 23 + length(role) END) AS BIGINT) AS formatted_chars,
+            CAST(sum(escaped + CASE role WHEN 'user' THEN 22 WHEN 'assistant' THEN 20 WHEN 'system' THEN 20 ELSE 23 + length(role) END) AS BIGINT) AS formatted_chars,
             bool_and(coalesce(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev = 'system' THEN role = 'user'
                 WHEN prev = 'user' THEN role = 'assistant' WHEN prev = 'assistant' THEN role = 'user' END, false)) AS valid
         FROM state GROUP BY conv_id""",
