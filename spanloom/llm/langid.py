@@ -159,3 +159,16 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", orders: tu
 def held_out(doc_id: Column) -> Column:
     """Documents kept from fitting: a fifth by crc32 of the id as text, and those without an id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(True))
+
+
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.5, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or whose prediction scores under ``min_score``; columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score, _ = scored([t or "" for t in batch.column(at).to_pylist()], shared.value, orders)
+            yield batch.filter(pa.array((best >= 0) & (score >= min_score)))
+
+    return docs.mapInArrow(keep, docs.schema)

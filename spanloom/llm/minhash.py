@@ -209,3 +209,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for table in tables:
         dropped(table)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_copies(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row for each component of ``verdicts`` (:func:`near_duplicates` of the same rows); columns unchanged.
+
+    Of rows that repeat a kept id one stays. Rows without an id all stay: there is no id to tell them by.
+    """
+    ids = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    ids = written(ids, "minhash-verdicts")
+    out = docs.join(ids.where("NOT kept").select(F.col("doc_id").alias("__gone")), docs[id_col] == F.col("__gone"), "left_anti")
+    repeated = ids.where("kept AND n > 1").select(F.col("doc_id").alias("__twice"))
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, out[id_col] == F.col("__twice"), "left_semi").dropDuplicates([id_col])
+    return out.join(repeated, out[id_col] == F.col("__twice"), "left_anti").unionByName(once)

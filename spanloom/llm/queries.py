@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linededup, minhash, mixing, urls
+from . import ann, chat, decontam, langid, linededup, minhash, mixing, quality, shards, urls
+from .scratch import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +29,23 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(extra)))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark, with the item and the place; clean documents have no row."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url under four rules."""
     rules = spark.sql("SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS t(host, path, verdict)")
     return urls.judged(_table(spark, sf_dir, "pages"), rules)
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document lies after eight arrivals and compaction, read back from the store with its text's digest."""
+    store = shards.sharded(_table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
+    return store.read().select("doc_id", "run", "shard", "version", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over 4-word shingles at 0.8."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80, folding="spaced")
@@ -54,19 +66,34 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(weighted, size_col="size", weight_col="weight").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance resampling of all documents towards the labelled good ones."""
+    return quality.resampled(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten documents share."""
     clean = linededup.deduplicated(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return clean.mapInArrow(linededup.digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
+    "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
+    "op5_shards": op5_shards,
     "op6_minhash": op6_minhash,
     "op7_mix_sources": op7_mix_sources,
+    "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
+    "op10_nearest": op10_nearest,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
