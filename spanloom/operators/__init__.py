@@ -1 +1 @@
-""
+"""Relational operators: pure functions from DataFrames to DataFrames with column names as parameters."""
