@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Most cells of the alignment table; longer inputs get null, which callers must report as not compared.
@@ -49,8 +50,7 @@ def edits(a: list[str], b: list[str]) -> list[dict] | None:
     return out
 
 
-@F.pandas_udf(EDITS)
-def token_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b, strict=True)])
 
 
@@ -64,6 +64,14 @@ def parameter_cost(base: list[str], head: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
-def parameter_costs(base: pd.Series, head: pd.Series) -> pd.Series:
+def _costs(base: pd.Series, head: pd.Series) -> pd.Series:
     return pd.Series([parameter_cost(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(base, head, strict=True)])
+
+
+def token_edits(a, b) -> Column:
+    """Edits between two token arrays; null where the pair is over the work limit."""
+    return F.pandas_udf(_edits, EDITS)(a, b)
+
+
+def parameter_costs(base, head) -> Column:
+    return F.pandas_udf(_costs, "int")(base, head)

@@ -90,7 +90,7 @@ def subtract(spans: DataFrame, minus: DataFrame, keys: list[str]) -> DataFrame:
 def nearest_line(wanted: DataFrame, spans: DataFrame, keys: list[str], preferred: str = "preferred") -> DataFrame:
     """Line of the key's spans that is nearest to ``preferred``; the earlier of two equally near ones. ``line`` is null without spans."""
     s = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], "lo", "hi")
-    line = F.least(F.greatest(F.col(preferred), F.col("lo")), F.col("hi"))
+    line = F.when(F.col("lo").isNotNull(), F.least(F.greatest(F.col(preferred), F.col("lo")), F.col("hi")))
     found = wanted.join(s, _same(keys), "left").withColumn("__line", line)
     best = F.min(F.struct(F.abs(F.col("__line") - F.col(preferred)).alias("d"), F.col("__line").alias("line")))
-    return found.groupBy(*keys, preferred).agg(best.alias("b")).select(*keys, preferred, F.when(F.col("b.d").isNotNull(), F.col("b.line")).alias("line"))
+    return found.groupBy(*keys, preferred).agg(best.alias("b")).select(*keys, preferred, "b.line")
