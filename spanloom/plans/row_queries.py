@@ -201,7 +201,7 @@ QUERIES = {f.__name__: f for f in (
     q26_ordered, q27_capped, q28_budget, q29_page, q30_neighbours, q31_cleanup, q31b_cleanup_summary, q32_rollup, q33_review_filter, q34_thread_counts, q37_paths, q38_status, q39_one_line,
     q40_upper_median, q41_agreed, q41b_completeness, q42_families, q43_clamped, q44_content_ids, q46_grouped, q47_props, q48_older, q62_verdicts, q63_review_counts, q64_newest, q65_rederived, q66_labels, q67_remotes, q68_reviewers)}
 
-_PLAN = f"""ranked AS (SELECT event_id AS id, user_id AS branch, CAST(epoch_ms(ts) AS BIGINT) AS created_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
+_PLAN = f"""ranked AS (SELECT event_id AS id, user_id AS branch, epoch_us(ts) // 1000 AS created_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events),
     judged AS (SELECT *, CASE WHEN branch % 3 = 0 THEN 'branch gone' WHEN r = 1 THEN 'newest' WHEN r > 40 THEN 'beyond newest' WHEN {_NOW} - created_ms > 1728000000 THEN 'too old' ELSE 'kept' END AS reason FROM ranked),
     plan AS (SELECT branch, id, created_ms, CASE WHEN reason IN ('newest', 'kept') THEN 'keep' ELSE 'delete' END AS action, reason FROM judged)"""
 _PATH = r"(SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages)"
@@ -231,7 +231,7 @@ SQL = {
     "q44_content_ids": "SELECT sha256(coalesce(text, '<absent>')) AS content_id, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1",
     "q46_grouped": "SELECT c_custkey, CASE WHEN last >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY THEN 'recent' WHEN c_mktsegment = 'BUILDING' THEN 'mine' ELSE 'others' END AS grp FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey",
     "q47_props": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "q48_older": "SELECT event_id FROM events WHERE (SELECT max(epoch_ms(ts)) FROM events) - epoch_ms(ts) > 864000000",
+    "q48_older": "SELECT event_id FROM events WHERE (SELECT max(epoch_us(ts)) FROM events) // 1000 - epoch_us(ts) // 1000 > 864000000",
     "q62_verdicts": f"WITH {_VERDICTS} SELECT * FROM attended",
     "q63_review_counts": f"WITH {_VERDICTS} SELECT count(*) AS total, count_if(o_orderkey % 2 <> 0) AS unreviewed, count_if(attention) AS attention, count_if(attention AND o_orderkey % 2 <> 0) AS attention_left FROM attended",
     "q64_newest": "WITH h AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY max(o_orderdate) DESC, o_custkey DESC LIMIT 10) SELECT o_custkey AS head, o_orderkey AS id FROM orders WHERE o_custkey IN (FROM h) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 5",
