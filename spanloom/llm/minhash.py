@@ -4,11 +4,11 @@ Two permutations make all signature coordinates: the first scatters a document's
 applied after a circular shift by the coordinate's number, and the smallest value counts (C-MinHash). Documents whose
 shingle sets are equal are one class; only class representatives are banded and compared.
 
-Candidates are representatives that share a band. Within a bucket everybody is first verified against the bucket's
-smallest member, which joins large groups of near copies without their pairs. What then lies in different components is
-compared pair by pair where the bucket is small; a large bucket (many documents with one common passage, say) is dealt
-again by each of its members' other bands, a join by two bands in place of one, and treated alike, so no candidate is dropped.
-A bucket that is still large and mixed after ``levels`` rounds has its remaining pairs verified in full.
+Representatives that share a band are candidates, and candidates of candidates are a family. Every family is settled on
+its full shingle sets: an inverted index counts what one member shares with all others at once, first for the most
+central member, then for each one that is not yet in its component, so a large group of near copies costs about one count
+per outlier and no pair is ever a row. A family beyond a block's size is dealt into blocks, every pair of which is one
+task of bounded memory that returns at most one link per member.
 """
 
 from __future__ import annotations
@@ -136,24 +136,97 @@ def _sets(words: int, folding: str, wanted):
     return sets
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``a, b`` those whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    # x and y are sets, so the union follows from the sizes.
-    return pairs.join(left, "a").join(right, "b").withColumn("c", common).where(F.col("c") * 100 >= (F.size("x") + F.size("y") - F.col("c")) * percent).select("a", "b")
+class _Forest:
+    """Union-find whose roots are the smallest numbers."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+
+
+def linked(shingles: np.ndarray, starts: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest row reachable from each row over links between the sets of distinct shingles given end to end.
+
+    A row's overlaps with all others come from one count over the inverted index. Rows of the pivot's component need no
+    count of their own: any link that leaves it is counted from its other end.
+    """
+    n, sizes = len(starts) - 1, np.diff(starts)
+    _, token, frequency = np.unique(shingles, return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")]
+    begins = np.concatenate(([0], np.cumsum(frequency)))
+    forest = _Forest(n)
+    common = np.add.reduceat(frequency[token], starts[:-1]) / sizes
+    pivot = int(np.argmax(common))
+    for x in [pivot, *(i for i in range(n) if i != pivot)]:
+        if x != pivot and forest.root(x) == forest.root(pivot):
+            continue
+        own = token[starts[x] : starts[x + 1]]
+        counts = frequency[own]
+        if counts.max() < 2:
+            continue
+        total = int(counts.sum())
+        at = np.repeat(begins[own] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(total)
+        shared = np.bincount(owners[at], minlength=n)
+        for y in np.flatnonzero(shared * 100 >= (sizes[x] + sizes - shared) * percent):
+            forest.join(x, int(y))
+    return np.array([forest.root(i) for i in range(n)])
+
+
+def _settle(percent: int):
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("family", "ascending"), ("id", "ascending")])
+        ids, families = table.column("id").to_numpy(), table.column("family").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        offsets = offsets - offsets[0]
+        cuts = np.flatnonzero(np.concatenate(([True], families[1:] != families[:-1], [True])))
+        ends = []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            starts = offsets[low : high + 1]
+            ends.append(ids[low + linked(values[starts[0] : starts[-1]], starts - starts[0], percent)] if high - low > 1 else ids[low:high])
+        other = np.concatenate(ends)
+        real = other != ids
+        return pa.table([pa.array(ids[real]), pa.array(other[real])], ["a", "b"])
+
+    return settle
+
+
+def _links(families: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """Links ``a, b`` that connect what is connected: ``families(id, component)`` settled on ``sets(id, shingles)``."""
+    rows = sets.join(families, "id").withColumnRenamed("component", "family").withColumn("n", F.size("shingles"))
+    sizes = rows.groupBy("family").agg(F.sum("n").alias("total"))
+    per_block = max(1, block_shingles)
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("total") / per_block).cast("int"))
+    bins = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // per_block))
+    # Families of one block share bins, those of several get every pair of their blocks.
+    dealt = rows.join(sizes.select("family", "blocks"), "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    one = F.struct(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("family").alias("key"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    pair = F.filter(pair, lambda p: p["i"] < p["j"])
+    task = F.explode(F.when(F.col("blocks") == 1, F.array(one)).otherwise(pair)).alias("task")
+    placed = dealt.select("id", "family", "shingles", task).select("id", "family", "shingles", "task.key", "task.i", "task.j")
+    return placed.groupBy("key", "i", "j").applyInArrow(_settle(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, folding: str = "alnum",
-                    bands: int = 32, rows: int = 5, small_bucket: int = 48, levels: int = 3) -> DataFrame:
+                    bands: int = 32, rows: int = 5, block_shingles: int = 400_000) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Two documents are linked when the distinct ``words``-word shingles they share are at least ``percent`` per cent of
     those either has; components are over all links, named by their smallest id, and ``kept`` is that document. With 32
     bands of 5 coordinates a pair at exactly 0.8 stays a candidate with probability 1 - 3e-6, and more above.
 
-    Null, empty and wordless texts have no shingles and stand alone. Rows that repeat an id are one document. A row
+    Null, empty and wordless texts have no shingles and stand alone. Rows that repeat an id are one
+    document, compared by one of its texts if they differ. A row
     without an id can be a copy of another (then it is not kept) but names no component. Ids are 64-bit integers.
     """
     spark = docs.sparkSession
@@ -163,50 +236,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     representatives = signed.where("set_key IS NOT NULL").join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     banded = written(representatives.dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "value")), "minhash-bands")
     shared = banded.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.max("id").alias("last")).where("n > 1 AND pivot < last")
-    buckets = written(banded.join(shared, "value").select("value", "band", "id", "pivot"), "minhash-buckets")
-    candidates = buckets.select("id").distinct()
-    wanted = spark.sparkContext.broadcast(_bitmap(candidates))
-    sets = source.mapInArrow(_sets(words, folding, wanted), "id long, shingles array<long>").join(candidates, "id", "left_semi").dropDuplicates(["id"])
-    sets = written(sets, "minhash-sets")
-    tables, label = [banded, buckets, sets], None
-
-    def link(pairs: DataFrame) -> None:
-        nonlocal label
-        fresh = written(_verified(pairs, sets, percent), "minhash-links")
-        tables.append(fresh)
-        if label is None or not fresh.isEmpty():
-            edges = fresh if label is None else fresh.union(label.select(F.col("id").alias("a"), F.col("component").alias("b")))
-            label = written(components(edges), "minhash-labels")
-            tables.append(label)
-
-    for level in range(levels):
-        link(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-        named = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        parts = named.groupBy("value", "component").agg(F.count("*").alias("c"))
-        parts = parts.groupBy("value").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("joined"), F.count("*").alias("parts")).where("parts > 1")
-        # Pairs across components that the bucket would yield, against its size.
-        few = (F.col("n") * F.col("n") - F.col("joined")) / 2 <= F.col("n") * small_bucket
-        open_ = written(named.join(parts.select("value", few.alias("few")), "value").select("value", "band", "id", "component", "few"), "minhash-open")
-        tables.append(open_)
-        last = level == levels - 1
-        small = open_ if last else open_.where("few")
-        x, y = small.select("value", F.col("id").alias("a"), F.col("component").alias("ca")), small.select("value", F.col("id").alias("b"), F.col("component").alias("cb"))
-        link(x.join(y, "value").where("ca <> cb AND a < b").select("a", "b").distinct())
-        large = open_.where("NOT few")
-        if last or large.isEmpty():
-            break
-        other = banded.select("id", F.col("band").alias("band2"), F.col("value").alias("value2"))
-        dealt = large.select("value", "band", "id").join(other, "id").where("band2 <> band")
-        dealt = dealt.select(F.xxhash64(F.least("value", "value2"), F.greatest("value", "value2")).alias("value"), "band", "id").dropDuplicates(["value", "id"])
-        shared = dealt.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-        buckets = written(dealt.join(shared, "value").select("value", "band", "id", "pivot"), "minhash-buckets")
-        tables.append(buckets)
-    final = label.select(F.col("id"), "component")
+    star = banded.join(shared, "value").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    families = written(components(star), "minhash-families")
+    wanted = spark.sparkContext.broadcast(_bitmap(families.select("id")))
+    sets = source.mapInArrow(_sets(words, folding, wanted), "id long, shingles array<long>").join(families.select("id"), "id", "left_semi")
+    sets = written(sets.where(F.size("shingles") > 0).groupBy("id").agg(F.max("shingles").alias("shingles")), "minhash-sets")
+    final = components(_links(families, sets, percent, block_shingles))
     named = classes.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     named = written(named, "minhash-classes")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    for table in tables:
+    for table in (banded, families, sets):
         dropped(table)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
