@@ -58,7 +58,9 @@ class Template:
 
     def turn(self, role: str, text: str) -> list[tuple[str, bool]]:
         mark = self.marks.get(role, self.other)
-        return [(mark.opening.replace("{role}", self.escaped(role)), False), (self.escaped(text), mark.loss), (mark.closing, False)]
+        stop = self.other.opening.partition("{role}")[2][:1]  # what ends a name in the opening is broken inside the name, too
+        name = self.escaped(role).replace(stop, f"{stop}{self.escape}-")
+        return [(mark.opening.replace("{role}", name), False), (self.escaped(text), mark.loss), (mark.closing, False)]
 
 
 INSTRUCT = Template(

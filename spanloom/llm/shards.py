@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 
 class ShardStore:
@@ -93,8 +94,6 @@ class ShardStore:
 
     def compact(self) -> dict:
         """Merges similar runs until no tier has ``fanout``; runs in whole target-sized files already are left alone."""
-        from pyspark.sql.types import StructType
-
         base = self.manifest()
         while group := self._similar([r for r in base["runs"] if r["bytes"] < r["files"] * self.target_bytes * 0.5 or r["files"] == 1 and r["bytes"] < self.target_bytes]):
             paths = [r["path"] for r in group]
@@ -117,8 +116,6 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """Stored rows with ``run`` (its number in the manifest), ``shard`` (the file's number in the run) and ``version``."""
-        from pyspark.sql.types import StructType
-
         state = self.manifest(version)
         out = None
         for number, run in enumerate(state["runs"]):
@@ -129,7 +126,7 @@ class ShardStore:
                 out = part if out is None else out.unionByName(part)
         if out is None:
             schema = StructType.fromJson(json.loads(state["schema"])) if state["schema"] else StructType()
-            return self.spark.createDataFrame([], schema.add("run", "int").add("shard", "int").add("version", "int"))
+            return self.spark.createDataFrame([], schema.add("run", IntegerType()).add("shard", IntegerType()).add("version", IntegerType()))
         return out
 
 
