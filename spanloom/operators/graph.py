@@ -9,24 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import dropped, stored
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` (smallest node reachable when direction is ignored) for every end of an edge.
 
-    Labels spread along edges and jump to the label of their label, so chains close in a logarithmic number of rounds.
+    Alternating large-star and small-star steps: each hangs a node's neighbours on the smallest of them, and the graph
+    becomes stars in a logarithmic number of steps. A hub's rows are aggregated before they are shuffled (``min``) and
+    joined to one row per node, so a node with very many edges is split like any skewed join.
     """
-    both = stored(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).distinct(), "edges")
-    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    while True:
-        spread = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("c"))
-        better = label.join(spread, label.node == spread.a).select("node", F.least("component", "c").alias("via"), F.col("component").alias("before"))
-        jump = label.select(F.col("node").alias("via"), F.col("component").alias("jumped"))
-        after = stored(better.join(jump, "via").select("node", F.least("via", "jumped").alias("component"), "before"), "labels")
-        if after.where("component <> before").isEmpty():
-            return after.select("node", "component")
-        label = after.select("node", "component")
+    pairs = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
+    alone = pairs.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
+    current = stored(pairs.where("a <> b").distinct(), "components")
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    state = current.agg(F.count("*"), mark).first()
+    while state[0]:
+        both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = stored(hung.union(least.select("a", F.col("m").alias("b"))).distinct(), "components")
+        before, state = state, after.agg(F.count("*"), mark).first()
+        dropped(current)
+        current = after
+        if state == before:
+            break
+    nodes = current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return nodes.union(alone.join(nodes.select("node"), "node", "left_anti"))
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -107,27 +119,39 @@ def resolved(aliases: DataFrame, depth: int = 16) -> DataFrame:
     return current.join(ends.withColumn("open", F.lit(True)), "target", "left").select("name", F.when(F.col("open").isNull(), F.col("target")).alias("target"), "hops")
 
 
-def strong_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def strong_components(edges: DataFrame, trims: int = 8) -> DataFrame:
     """``node, scc`` for every node of a directed graph; ``scc`` is the smallest node of its strongly connected component.
 
-    Colouring: every node takes the smallest node that reaches it; nodes that reach their colour backwards form one
-    component, leave the graph, and the rest goes again. Only colours are carried, never the quadratic closure.
+    Nodes without edges in or out of what is left are components of their own and go first. Then every node takes the
+    smallest node that reaches it as its colour; those that reach their colour's node backwards form one component and
+    leave, and the rest goes again. Only colours are carried, never the quadratic closure.
     """
-    step = stored(edges.select("src", "dst").distinct(), "scc-edges")
-    nodes = stored(step.select(F.col("src").alias("node")).union(step.select("dst")).distinct(), "scc-nodes")
-    done = None
-    for _ in range(rounds):
+    nodes = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "scc-nodes")
+    step = stored(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
+    done = nodes.limit(0).withColumn("scc", F.col("node"))
+    while True:
+        size = step.count()
+        for _ in range(trims):
+            inner = step.select("src").intersect(step.select("dst")).withColumnRenamed("src", "node")
+            kept = step.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
+            step = stored(kept, "scc-edges")
+            before, size = size, step.count()
+            if size == before:
+                break
+        core = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
+        single = nodes.join(core, "node", "left_anti")
+        done = done.unionByName(stored(single.withColumn("scc", F.col("node")), "scc-members"))
+        if not size:
+            return done
+        nodes = stored(core, "scc-nodes")
         colour = _least_over(nodes, step)
         inside = step.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "c1"), "src").join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "c2"), "dst").where("c1 = c2").select("src", "dst")
         back = stored(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-back")
         members = _marked_from(colour.where("node = colour").select("node"), back).join(colour, "node").select("node", F.col("colour").alias("scc"))
         members = stored(members, "scc-members")
-        done = members if done is None else done.unionByName(members)
+        done = done.unionByName(members)
         nodes = stored(nodes.join(members, "node", "left_anti"), "scc-nodes")
-        if nodes.isEmpty():
-            break
         step = stored(step.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"), "scc-edges")
-    return done
 
 
 def _least_over(nodes: DataFrame, step: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Tables in the folder that driver and executors share, for cutting the lineage of iterative operators."""
+"""Tables in the folder that driver and executors share, for cutting the lineage of iterative operators.
+
+A lost executor then costs a reread, not a recomputation from the start. The folder is ``spark.checkpoint.dir`` of the
+session; only a session with an in-process master, as in tests, may do without the setting and gets a temporary folder.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
 
-def folder(spark: SparkSession, name: str) -> str:
-    """New path under ``spark.checkpoint.dir``; only an in-process master may leave that unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get(SETTING, None)
     if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set(SETTING, base)
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call returns."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: the same rows without their lineage."""
-    path = folder(df.sparkSession, name)
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this module's making, through the Hadoop file system that holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the folder that :func:`stored` made for ``df``, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        drop(df.sparkSession, files[0].rsplit("/", 1)[0])

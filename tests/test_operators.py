@@ -110,6 +110,15 @@ def test_components_and_order_of_rows(spark):
     assert dict(rows(graph.components(e.orderBy(F.desc("src"))))) == want
 
 
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(8)
+    pairs = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(300, 340)] + [(5, 5), (400, 401), (401, 400)]
+    r.shuffle(pairs)
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    want = {**dict.fromkeys(range(61), 0), **dict.fromkeys([200, *range(300, 340)], 200), 400: 400, 401: 400}
+    assert got == want
+
+
 def test_reach_uses_the_shortest_depth(spark):
     starts = spark.createDataFrame([("R",)], "start string")
     assert {(r.node, r.depth) for r in graph.reach(starts, edges(spark, "RA RB AB BX"), 2).collect()} == {("A", 1), ("B", 1), ("X", 2)}
