@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from ..operators.graph import components
+from ..operators.filters import possibly_in, without
 from .scratch import dropped, written
 from .text import fold_alnum, fold_spaced, mixed, run_hash, windows, word_hashes
 
@@ -107,27 +108,9 @@ def _sign(words: int, folding: str, bands: int, rows: int):
     return sign
 
 
-#: Bits of the filter that spares documents without candidates; a prime number of them, whatever the input's size.
-_FILTER_BITS = 4_194_301
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Filter of fixed size over ids: bit ``id mod _FILTER_BITS``, as 64-bit words."""
-    bit = F.pmod("id", F.lit(_FILTER_BITS))
-    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")))
-    rows = ids.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(word.alias("word")).toPandas()
-    out = np.zeros(_FILTER_BITS // 64 + 1, np.int64)
-    out[rows["at"].to_numpy(dtype=np.int64)] = rows["word"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
-def _sets(words: int, folding: str, wanted):
-    """Shingle sets of the documents that pass the filter; the exact choice is a join."""
-
+def _sets(words: int, folding: str):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.mod(batch.column(0).cast(pa.int64()).fill_null(-1).to_numpy(), _FILTER_BITS)
-            batch = batch.filter(pa.array((wanted.value[bit // 64] >> (bit % 64).astype(np.uint64)) & np.uint64(1) == 1))
             for begin, end, texts in _batches(batch):
                 shingles, starts = shingle_sets(texts, words, FOLDS[folding])
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(shingles.view(np.int64)))
@@ -200,13 +183,20 @@ def _settle(percent: int):
     return settle
 
 
+#: Shingles of a task, and what a block may hold at most when a family would otherwise have more than ``_MANY`` blocks.
+_TASK_SHINGLES, _MOST_SHINGLES, _MANY = 100_000, 4_000_000, 64
+
+
 def _links(families: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
-    """Links ``a, b`` that connect what is connected: ``families(id, component)`` settled on ``sets(id, shingles)``."""
+    """Links ``a, b`` that connect what is connected: ``families(id, component)`` settled on ``sets(id, shingles)``.
+
+    A family's rows are sent to as many tasks as it has blocks, so blocks grow with the family, up to a task's memory.
+    """
     rows = sets.join(families, "id").withColumnRenamed("component", "family").withColumn("n", F.size("shingles"))
     sizes = rows.groupBy("family").agg(F.sum("n").alias("total"))
-    per_block = max(1, block_shingles)
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("total") / per_block).cast("int"))
-    bins = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // per_block))
+    blocks = F.greatest(F.least(F.ceil(F.col("total") / block_shingles), F.lit(_MANY)), F.ceil(F.col("total") / _MOST_SHINGLES)).cast("int")
+    sizes = sizes.withColumn("blocks", blocks)
+    bins = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // block_shingles))
     # Families of one block share bins, those of several get every pair of their blocks.
     dealt = rows.join(sizes.select("family", "blocks"), "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     one = F.struct(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
@@ -218,7 +208,7 @@ def _links(families: DataFrame, sets: DataFrame, percent: int, block_shingles: i
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, folding: str = "alnum",
-                    bands: int = 32, rows: int = 5, block_shingles: int = 400_000) -> DataFrame:
+                    bands: int = 32, rows: int = 5, block_shingles: int = _TASK_SHINGLES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Two documents are linked when the distinct ``words``-word shingles they share are at least ``percent`` per cent of
@@ -236,17 +226,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     representatives = signed.where("set_key IS NOT NULL").join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     banded = written(representatives.dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "value")), "minhash-bands")
     shared = banded.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.max("id").alias("last")).where("n > 1 AND pivot < last")
-    star = banded.join(shared, "value").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    families = written(components(star), "minhash-families")
-    wanted = spark.sparkContext.broadcast(_bitmap(families.select("id")))
-    sets = source.mapInArrow(_sets(words, folding, wanted), "id long, shingles array<long>").join(families.select("id"), "id", "left_semi")
+    shared = written(shared, "minhash-shared")
+    star = possibly_in(banded, "value", shared, "value").join(shared, "value").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    families = written(components(star, "a", "b").withColumnRenamed("node", "id"), "minhash-families")
+    wanted = possibly_in(source, "doc_id", families, "id")  # the others' texts need no shingles
+    sets = wanted.mapInArrow(_sets(words, folding), "id long, shingles array<long>").join(families.select("id"), "id", "left_semi")
     sets = written(sets.where(F.size("shingles") > 0).groupBy("id").agg(F.max("shingles").alias("shingles")), "minhash-sets")
-    final = components(_links(families, sets, percent, block_shingles))
+    final = components(_links(families, sets, percent, block_shingles), "a", "b").withColumnRenamed("node", "id")
     named = classes.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     named = written(named, "minhash-classes")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    for table in (banded, families, sets):
+    for table in (banded, shared, families, sets):
         dropped(table)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -258,7 +249,7 @@ def without_copies(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id")
     """
     ids = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     ids = written(ids, "minhash-verdicts")
-    out = docs.join(ids.where("NOT kept").select(F.col("doc_id").alias("__gone")), docs[id_col] == F.col("__gone"), "left_anti")
+    out = without(docs, id_col, ids.where("NOT kept"), "doc_id")
     repeated = ids.where("kept AND n > 1").select(F.col("doc_id").alias("__twice"))
     if repeated.isEmpty():
         return out

@@ -1,54 +1,8 @@
-"""Tables written to the folder that driver and executors share.
-
-Iterative operators cut their lineage by writing Parquet here: a lost executor then costs a reread, not a recomputation
-from the start. The folder is ``spark.checkpoint.dir`` of the session; only a session with an in-process master, as in
-tests, may do without the setting and gets a temporary folder.
-"""
+"""Tables written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder in ``spark.checkpoint.dir``; a temporary one only where driver and executors are one process."""
-    base = spark.conf.get(SETTING, None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"{SETTING} must name a folder shared by driver and executors")
-        base = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set(SETTING, base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call returns."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns it as read back, without its lineage."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of this module's making, through the Hadoop file system that holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
+from ..operators.tables import drop, dropped, new_folder
+from ..operators.tables import stored as written
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the folder that :func:`written` made for ``df``, once nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        drop(df.sparkSession, files[0].rsplit("/", 1)[0])
+__all__ = ["drop", "dropped", "new_folder", "written"]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import ann, chat, graph, minhash, mixing, queries, shards, urls
+from spanloom.llm import ann, chat, minhash, mixing, queries, shards, urls
 from spanloom.llm.scratch import new_folder
 from tests.parity import same
 
@@ -207,15 +207,6 @@ def test_signatures_estimate_similarity():
     assert (both[1] == minhash.signatures(long, np.array([0, 100_000]), 8)[0]).all()
 
 
-def test_components_of_chains_and_stars(spark):
-    r = random.Random(8)
-    pairs = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(300, 340)] + [(5, 5), (400, 401), (401, 400)]
-    r.shuffle(pairs)
-    got = {x.id: x.component for x in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    want = {**dict.fromkeys(range(61), 0), **dict.fromkeys([200, *range(300, 340)], 200), 400: 400, 401: 400}
-    assert got == want
-
-
 # --- mixing
 
 
