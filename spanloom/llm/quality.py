@@ -1,6 +1,7 @@
 """Quality selection by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Features are words (case kept), lower-cased word pairs and runs of punctuation, hashed to a fixed number of buckets. The
+Features are words (case kept) and runs of punctuation, with ``orders`` also longer n-grams of words, hashed to a fixed
+number of buckets. The
 raw model counts all documents, the target model the labelled good ones; their log-ratio per bucket is a vector of bounded
 size that is broadcast. A document's log-weight is the mean log-ratio of its features times ``sharpness`` (weights of long
 and short texts are then comparable); adding Gumbel noise hashed from its id and taking the k largest draws k documents
@@ -31,22 +32,23 @@ def _marks() -> np.ndarray:
     return np.array([0 if c.isalnum() or c.isspace() else ord(c) for c in map(chr, range(_TOP))], np.uint32)
 
 
-def features(texts: list[str], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(texts: list[str], n_buckets: int, orders: tuple[int, ...] = (1,)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Families of features: buckets of all texts in order, and where each text's begin."""
-    for salt, folding, n in ((1, lambda c: fold(c, _cased()), 1), (2, fold_alnum, 2), (3, lambda c: fold(c, _marks()), 1)):
+    families = [(2 * n, (lambda c: fold(c, _cased())) if n == 1 else fold_alnum, n) for n in orders]
+    for salt, folding, n in [*families, (1, lambda c: fold(c, _marks()), 1)]:
         h, starts = word_hashes(texts, folding)
         runs, starts = windows(h, starts, n) if n > 1 else (run_hash(h, np.arange(len(h)), (0,)), starts)
         with np.errstate(over="ignore"):
             yield (((runs * np.uint64(2 * salt + 1)) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64), starts
 
 
-def _count(n_buckets: int):
+def _count(n_buckets: int, orders: tuple[int, ...]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for buckets, starts in features(texts, n_buckets):
+            for buckets, starts in features(texts, n_buckets, orders):
                 raw += np.bincount(buckets, minlength=n_buckets)
                 own = np.repeat(good, np.diff(starts))
                 if own.any():
@@ -57,7 +59,7 @@ def _count(n_buckets: int):
     return count
 
 
-def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 1 << 17, smoothing: float = 10.0, max_good: int = 50_000) -> np.ndarray:
+def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 1 << 18, orders: tuple[int, ...] = (1,), smoothing: float = 3.0, max_good: int = 50_000) -> np.ndarray:
     """Log-ratio of target to raw probability for each bucket.
 
     ``good`` lists ids of target documents; at most ``max_good`` of them, by hash order, make the target model (their list
@@ -65,7 +67,7 @@ def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     chosen = good.select(F.col(id_col).cast("long").alias("__good")).where("__good IS NOT NULL").distinct().orderBy(F.xxhash64("__good"), "__good").limit(max_good)
     rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__good"), "left").select(docs[text_col].alias("text"), F.col("__good").isNotNull().alias("good"))
-    counts = rows.mapInArrow(_count(n_buckets), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counts = rows.mapInArrow(_count(n_buckets, orders), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
     at = counts["bucket"].to_numpy(dtype=np.int64)
     raw[at], target[at] = counts["raw"], counts["target"]
@@ -77,7 +79,7 @@ def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: s
     return np.log((target + smoothing) / (expected + smoothing))
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = (1,)) -> DataFrame:
     """``doc_id, n_features, log_ratio``: the mean log-ratio of each document's features, 0 for a text without any."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -85,7 +87,7 @@ def scored(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_c
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for buckets, starts in features(texts, len(shared.value)):
+            for buckets, starts in features(texts, len(shared.value), orders):
                 counts = np.diff(starts)
                 full = np.flatnonzero(counts)
                 if len(full):
@@ -121,7 +123,7 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, sharpness: float = 200.0, seed: int = 29) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, orders: tuple[int, ...] = (1,), sharpness: float = 200.0, seed: int = 29) -> DataFrame:
     """``doc_id, n_features, log_ratio, key, kept`` for every document: kept are the k with the largest Gumbel keys.
 
     ``labels`` has ``doc_id, quality, toxic``; target documents have quality 1 and toxic 0. k is ``share`` of the rows,
@@ -130,8 +132,8 @@ def resampled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     key are kept together. Null ids share one noise value. An empty table gives no rows.
     """
     is_good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    ratio = fit(docs, labels.where(is_good), id_col=id_col, text_col=text_col)
-    keyed = scored(docs, ratio, id_col=id_col, text_col=text_col).withColumn("key", F.col("log_ratio") * sharpness + gumbel(F.coalesce("doc_id", F.lit(-1)), seed))
+    ratio = fit(docs, labels.where(is_good), id_col=id_col, text_col=text_col, orders=orders)
+    keyed = scored(docs, ratio, id_col=id_col, text_col=text_col, orders=orders).withColumn("key", F.col("log_ratio") * sharpness + gumbel(F.coalesce("doc_id", F.lit(-1)), seed))
     keyed = written(keyed, "quality")
     n = keyed.count()
     if share is None:
