@@ -36,10 +36,10 @@ def within_budget(df: DataFrame, group: list[str], order: list[str], size: str,
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 25, largest: int = 200) -> DataFrame:
     """One page, 1-based, with ``position``, ``total`` and ``pages``. The top ``number * size`` rows are found without sorting the rest."""
     size = max(1, min(size, largest))
-    total = df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
+    total = df.agg(F.count("*")).scalar()
     first = df.orderBy(*order).limit(number * size)
     placed = first.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") > (number - 1) * size)
-    return placed.join(F.broadcast(total))  # the right side is one row
+    return placed.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
 
 
 def neighbours(df: DataFrame, group: list[str], order: list[str], id_col: str) -> DataFrame:

@@ -82,8 +82,7 @@ def search_code(lines: DataFrame, text: str, prefix: str = "", most: int = MOST_
     """Head lines that hold a fixed string, in order, at most ``most``; ``capped`` tells whether there are more."""
     hits = lines.where((F.col("side") == "head") & F.col("path").startswith(prefix) & F.col("text").contains(text)).select("path", "line", "text")
     first = hits.orderBy("path", "line").limit(most + 1)
-    capped = first.agg((F.count("*") > most).alias("capped"))
-    return first.orderBy("path", "line").limit(most).join(F.broadcast(capped))  # the right side is one row
+    return first.orderBy("path", "line").limit(most).withColumn("capped", first.agg(F.count("*") > most).scalar())
 
 
 def submitted(store: DataFrame, incoming: DataFrame) -> DataFrame:
