@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import fold_alnum, mixed, word_hashes
+from .text import fold_alnum, mixed, slices, word_hashes
 
 #: Fixed masks for items of ``WINDOW`` words and more, and for shorter ones.
 MASKS = ("11101011", "11010010011")
@@ -109,19 +109,6 @@ def _verified(index: Index, h: np.ndarray, starts: np.ndarray, window: int, perc
 MATCHES = "doc_id long, item_id long, n_equal int, n_words int, doc_word int, item_word int"
 
 
-def _groups(batch: pa.RecordBatch, at: int, limit: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
-    texts, begin, size = [], 0, 0
-    for i, value in enumerate(batch.column(at)):
-        text = value.as_py() or ""
-        if texts and size + len(text) > limit:
-            yield begin, texts
-            texts, begin, size = [], i, 0
-        texts.append(text)
-        size += len(text)
-    if texts:
-        yield begin, texts
-
-
 def blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", block_chars: int = 4_000_000, window: int = WINDOW, least: int = LEAST_WORDS) -> Iterator[Index]:
     """Indexes over the benchmark, by hash of the item's id; each block's text is collected to the driver and is bounded."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
@@ -146,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, result = batch.column(0).to_pylist(), []
-                for begin, texts in _groups(batch, 1):
+                for begin, texts in slices(batch, 1):
                     h, starts = word_hashes(texts, fold_alnum)
                     result += [(ids[begin + t], shared.value.ids[i], *row) for (t, i), row in _verified(shared.value, h, starts, window, percent).items()]
                 columns = zip(*result, strict=True) if result else [[]] * 6
@@ -167,7 +154,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", wind
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
-                for begin, texts in _groups(batch, at):
+                for begin, texts in slices(batch, at):
                     h, starts = word_hashes(texts, fold_alnum)
                     for t, _ in _verified(shared.value, h, starts, window, percent):
                         good[begin + t] = False

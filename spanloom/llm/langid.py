@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import codepoints, fold, letters
+from .text import codepoints, fold, letters, slices
 
 UNKNOWN = "und"
 _PIECE = 1 << 18
@@ -84,14 +84,15 @@ def _count(n_buckets: int, orders: tuple[int, ...]):
         docs: dict[str, int] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            by_lang: dict[str, list[str]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), langs, strict=True):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                total = totals.setdefault(lang, np.zeros(n_buckets + 1, np.int64))
-                docs[lang] = docs.get(lang, 0) + len(texts)
-                for _, _, buckets, _ in buckets_of(texts, n_buckets, orders):
-                    total += np.bincount(buckets.ravel(), minlength=n_buckets + 1)
+            for begin, part in slices(batch, 0):
+                by_lang: dict[str, list[str]] = {}
+                for text, lang in zip(part, langs[begin:], strict=False):
+                    by_lang.setdefault(lang, []).append(text)
+                for lang, texts in by_lang.items():
+                    total = totals.setdefault(lang, np.zeros(n_buckets + 1, np.int64))
+                    docs[lang] = docs.get(lang, 0) + len(texts)
+                    for _, _, buckets, _ in buckets_of(texts, n_buckets, orders):
+                        total += np.bincount(buckets.ravel(), minlength=n_buckets + 1)
         for lang, total in totals.items():
             at = np.flatnonzero(total[:n_buckets])
             yield pa.record_batch([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], docs[lang]), pa.int64())], ["lang", "bucket", "n"])
@@ -135,6 +136,11 @@ def scored(texts: list[str], model: Model, orders: tuple[int, ...]) -> tuple[np.
     return best, score, n_letters
 
 
+def _scored_batch(batch: pa.RecordBatch, column: int, model: Model, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [scored(texts, model, orders)[:2] for _, texts in slices(batch, column)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+
+
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (posterior of the prediction) appended.
 
@@ -150,7 +156,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", orders: tu
         m = shared.value
         labels = np.array([*m.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            best, score, _ = scored([t or "" for t in batch.column(at).to_pylist()], m, orders)
+            best, score = _scored_batch(batch, at, m, orders)
             yield pa.record_batch([*batch.columns, pa.array(list(labels[best]), pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(apply, schema)
@@ -168,7 +174,7 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", min_sco
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score, _ = scored([t or "" for t in batch.column(at).to_pylist()], shared.value, orders)
+            best, score = _scored_batch(batch, at, shared.value, orders)
             yield batch.filter(pa.array((best >= 0) & (score >= min_score)))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..operators.filters import possibly_in, without
 from .scratch import dropped, written
-from .text import fold_alnum, fold_spaced, mixed, run_hash, windows, word_hashes
+from .text import fold_alnum, fold_spaced, mixed, run_hash, slices, windows, word_hashes
 
 FOLDS = {"spaced": fold_spaced, "alnum": fold_alnum}
 
@@ -69,27 +69,13 @@ def shingle_sets(texts: list[str], words: int, fold_codes) -> tuple[np.ndarray,
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum([0] + [len(s) for s in sets])
 
 
-def _batches(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[tuple[int, int, list[str]]]:
-    """Rows of a batch, some two million characters at a time."""
-    texts, begin, size = [], 0, 0
-    for i, value in enumerate(batch.column(1)):
-        text = value.as_py() or ""
-        if texts and size + len(text) > limit:
-            yield begin, i, texts
-            texts, begin, size = [], i, 0
-        texts.append(text)
-        size += len(text)
-    if texts:
-        yield begin, begin + len(texts), texts
-
-
 _SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
 def _sign(words: int, folding: str, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, texts in _batches(batch):
+            for begin, texts in slices(batch, 1):
                 shingles, starts = shingle_sets(texts, words, FOLDS[folding])
                 counts = np.diff(starts)
                 full = np.flatnonzero(counts)
@@ -103,7 +89,7 @@ def _sign(words: int, folding: str, bands: int, rows: int):
                 for i in full:
                     keys[i] = hashlib.blake2b(shingles[starts[i] : starts[i + 1]].tobytes(), digest_size=16).digest()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((counts > 0) * bands))), pa.int32()), pa.array(banded.ravel()))
-                yield pa.record_batch([batch.column(0).slice(begin, end - begin).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
+                yield pa.record_batch([batch.column(0).slice(begin, len(texts)).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
 
     return sign
 
@@ -111,10 +97,10 @@ def _sign(words: int, folding: str, bands: int, rows: int):
 def _sets(words: int, folding: str):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, texts in _batches(batch):
+            for begin, texts in slices(batch, 1):
                 shingles, starts = shingle_sets(texts, words, FOLDS[folding])
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(shingles.view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(begin, end - begin).cast(pa.int64()), lists], ["id", "shingles"])
+                yield pa.record_batch([batch.column(0).slice(begin, len(texts)).cast(pa.int64()), lists], ["id", "shingles"])
 
     return sets
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .text import _TOP, alphanumerics, fold, fold_alnum, run_hash, windows, word_hashes
+from .text import _TOP, alphanumerics, fold, fold_alnum, run_hash, slices, windows, word_hashes
 
 
 @lru_cache(maxsize=None)
@@ -46,13 +46,11 @@ def _count(n_buckets: int, orders: tuple[int, ...]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
             good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for buckets, starts in features(texts, n_buckets, orders):
-                raw += np.bincount(buckets, minlength=n_buckets)
-                own = np.repeat(good, np.diff(starts))
-                if own.any():
-                    target += np.bincount(buckets[own], minlength=n_buckets)
+            for begin, texts in slices(batch, 0):
+                for buckets, starts in features(texts, n_buckets, orders):
+                    np.add.at(raw, buckets, 1)
+                    np.add.at(target, buckets[np.repeat(good[begin : begin + len(texts)], np.diff(starts))], 1)
         at = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(raw[at], pa.int64()), pa.array(target[at], pa.int64())], ["bucket", "raw", "target"])
 
@@ -85,14 +83,14 @@ def scored(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_c
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            for buckets, starts in features(texts, len(shared.value), orders):
-                counts = np.diff(starts)
-                full = np.flatnonzero(counts)
-                if len(full):
-                    total[full] += np.add.reduceat(shared.value[buckets], starts[full])
-                n += counts
+            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for begin, texts in slices(batch, 1):
+                for buckets, starts in features(texts, len(shared.value), orders):
+                    counts = np.diff(starts)
+                    full = np.flatnonzero(counts)
+                    if len(full):
+                        total[begin + full] += np.add.reduceat(shared.value[buckets], starts[full])
+                    n[begin : begin + len(texts)] += counts
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(total / np.maximum(n, 1), pa.float64())], ["doc_id", "n_features", "log_ratio"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, n_features long, log_ratio double")

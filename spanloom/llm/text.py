@@ -10,9 +10,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Code points handled at once; longer texts are taken in pieces that end at a separator.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TOP = 0x33000  # no letters are assigned beyond this code point
 
@@ -57,13 +58,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=None)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for any piece but those longer than PIECE."""
+    return _powers_of(PIECE + 1)
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     with np.errstate(over="ignore"):
         return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64)))) for b in (_BASE, inverse))
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """Rows of an Arrow batch some million characters at a time: where they begin, and their texts (null as empty)."""
+    texts, begin, size = [], 0, 0
+    for i, value in enumerate(batch.column(column)):
+        text = value.as_py() or ""
+        if texts and size + len(text) > limit:
+            yield begin, texts
+            texts, begin, size = [], i, 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield begin, texts
+
+
 def _pieces(texts: list[str], fold_codes) -> Iterator[tuple[list[int], list[str]]]:
     """Documents' numbers and texts, about PIECE code points at a time; only a text longer than that is cut, at a separator."""
     numbers, parts, size = [], [], 0
@@ -103,7 +123,7 @@ def word_hashes(texts: list[str], fold_codes) -> tuple[np.ndarray, np.ndarray]:
             start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
             if not len(start):
                 continue
-            up, down = _powers(1 << max(10, int(len(codes)).bit_length()))
+            up, down = _powers() if len(codes) <= PIECE else _powers_of(len(codes))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(codes.astype(np.uint64)) * up[: len(codes)])))
             hashes.append(mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
             begins = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
