@@ -60,14 +60,14 @@ def q74_commit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of each nation split by the brands of one part each (as commits), with calls between consecutive ones."""
     brands = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.min("l_partkey").alias("p_partkey")).join(table(spark, sf_dir, "part"), "p_partkey").select("id", F.array(F.substring("p_brand", 1, 7)).alias("commits"))
     members = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("grp"), F.col("s_suppkey").alias("id")).join(brands, "id").select("grp", "id", "commits")
-    one = consecutive(spark, sf_dir, "supp", 100)
+    one = consecutive(spark, sf_dir, "supp", 1)
     return splits.by_commits(members, one.union(one.select("dst", "src")), most_classes=50)
 
 
 def q75_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hubs among suppliers of each nation group, over consecutive ones."""
     members = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 3).cast("long").alias("grp"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("path"), F.floor("s_acctbal").cast("int").alias("score"))
-    return splits.at_hubs(members, consecutive(spark, sf_dir, "supp", 500))
+    return splits.at_hubs(members, consecutive(spark, sf_dir, "supp", 1))
 
 
 def q76_code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

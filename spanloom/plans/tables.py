@@ -26,7 +26,7 @@ SPANS_SQL = """spans AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY
 
 
 def consecutive(spark: SparkSession, sf_dir: str, item: str, every: int) -> DataFrame:
-    """Edges ``src -> dst`` between consecutive items of every n-th order: the graph that the graph queries define."""
+    """Edges ``src -> dst`` between consecutive items of every n-th order; 1 is the whole graph, more a slice whose SQL recursion ends soon."""
     spans = line_spans(spark, sf_dir).where(F.col("k") % every == 0)
     step = spans.withColumn("dst", F.lead(item).over(Window.partitionBy("k").orderBy("ord")))
     return step.where("dst IS NOT NULL").select(F.col(item).alias("src"), "dst").where("src <> dst").distinct()
