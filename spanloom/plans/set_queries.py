@@ -26,10 +26,15 @@ def q09_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q10_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different word sets at Jaccard 0.6 and more, between class representatives."""
+    """Pairs of different word sets at Jaccard 0.6 and more, between class representatives; q10b has the members of the classes."""
     return sets.similar_sets(document_words(spark, sf_dir), 60)
 
 
+def q10b_similar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class representative of every document with words, for the pairs of q10."""
+    return sets.set_members(document_words(spark, sf_dir)).select("id", "representative")
+
+
 def q11_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items and documents where the smaller word set lies in the other by 0.8."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("tokens"))
@@ -124,7 +129,7 @@ _TOK = f"toks AS (SELECT id, source, unnest(tokens) AS token FROM ({WORDS_SQL}))
 _TURNS = "t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}')) AS w0, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM conversations)"
 _FIRST = "list_filter(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN list_position({x}, {x}[i]) = i AND NOT list_contains({y}, {x}[i]) THEN {x}[i] END), lambda v: v IS NOT NULL)"
 
-QUERIES = {f.__name__: f for f in (q08_repeated_patterns, q09_dominant, q10_similar, q11_contained, q12_both_ways, q13_moves, q22_in_two_groups, q23_strength, q36_token_counts, q45_placement, q50_token_edits, q57_new_throws, q58_pooled, q59_mirrors, q60_settled_keys, q61_edit_keys)}
+QUERIES = {f.__name__: f for f in (q08_repeated_patterns, q09_dominant, q10_similar, q10b_similar_members, q11_contained, q12_both_ways, q13_moves, q22_in_two_groups, q23_strength, q36_token_counts, q45_placement, q50_token_edits, q57_new_throws, q58_pooled, q59_mirrors, q60_settled_keys, q61_edit_keys)}
 
 SQL = {
     "q08_repeated_patterns": f"WITH {_TOK} SELECT token, count(DISTINCT id) AS items, count(DISTINCT source) AS groups FROM toks GROUP BY token HAVING count(DISTINCT id) >= 5 AND count(DISTINCT source) >= 2",
@@ -132,6 +137,7 @@ SQL = {
     "q10_similar": f"""WITH d AS ({WORDS_SQL}), c AS MATERIALIZED (SELECT min(id) AS id, list_sort(tokens) AS tk FROM d WHERE len(tokens) > 0 GROUP BY list_sort(tokens)), w AS MATERIALIZED (SELECT id, len(tk) AS n, unnest(tk) AS x FROM c)
         SELECT p.id AS a, q.id AS b, CAST(count(*) AS INT) AS common, CAST(any_value(p.n) + any_value(q.n) - count(*) AS INT) AS total FROM w p JOIN w q ON p.x = q.x AND p.id < q.id AND p.n * 100 >= q.n * 60 AND q.n * 100 >= p.n * 60
         GROUP BY p.id, q.id HAVING count(*) * 100 >= (any_value(p.n) + any_value(q.n) - count(*)) * 60""",
+    "q10b_similar_members": f"WITH d AS ({WORDS_SQL}) SELECT id, min(id) OVER (PARTITION BY list_sort(tokens)) AS representative FROM d WHERE len(tokens) > 0",
     "q11_contained": f"""WITH d AS ({WORDS_SQL}), i AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS tokens FROM benchmark),
         a AS (SELECT id, len(tokens) AS n, unnest(tokens) AS x FROM i), b AS (SELECT id, len(tokens) AS n, unnest(tokens) AS x FROM d)
         SELECT a.id AS small_id, b.id AS large_id, CAST(count(*) AS INT) AS common, CAST(least(any_value(a.n), any_value(b.n)) AS INT) AS smaller FROM a JOIN b USING (x) GROUP BY a.id, b.id HAVING count(*) * 100 >= least(any_value(a.n), any_value(b.n)) * 80""",

@@ -66,6 +66,20 @@ def test_greedy_moves_first_candidate_wins_ties(spark):
     assert [(r.left_id, r.right_id) for r in matching.greedy_moves(c, ["g"]).orderBy("left_id").collect()] == [(1, 10), (2, 11)]
 
 
+def test_similar_pairs_and_members_give_every_link(spark):
+    r = random.Random(3)
+    data = [(i, r.sample("abcdef", r.randint(0, 5))) for i in range(50)]
+    df = spark.createDataFrame(data, "id long, tokens array<string>")
+    of = {x.id: x.representative for x in sets.set_members(df).collect()}
+    pairs = {(x.a, x.b) for x in sets.similar_sets(df, 60).collect()}
+    words = {i: set(w) for i, w in data if w}
+    assert set(of) == set(words)
+    for a in words:
+        for b in words:
+            link = of[a] == of[b] or (min(of[a], of[b]), max(of[a], of[b])) in pairs
+            assert link == (len(words[a] & words[b]) * 100 >= len(words[a] | words[b]) * 60), (a, b)
+
+
 def test_similar_sets_equal_brute_force(spark):
     r = random.Random(2)
     data = [(i, r.sample("abcdefghij", r.randint(0, 6))) for i in range(60)]
