@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import alignment
 from ..functions import text as t
 from ..operators import evidence, matching, ranking, sets
+from ..operators.tables import stored
 from .tables import WORDS_SQL, document_words, table
 
 
@@ -51,12 +52,15 @@ def q12_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one matching of similar documents of odd and even ids, by language."""
+    """One-to-one matching of similar documents of odd and even ids of one language: equal word sets in order of ids, then the rest greedily."""
+    words = document_words(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    pairs = sets.similar_sets(document_words(spark, sf_dir), 60).where("a % 2 <> b % 2")
-    odd, even = F.when(F.col("a") % 2 == 1, F.col("a")).otherwise(F.col("b")), F.when(F.col("a") % 2 == 1, F.col("b")).otherwise(F.col("a"))
-    named = pairs.select(odd.alias("left_id"), even.alias("right_id"), "common", "total").join(docs.select(F.col("id").alias("left_id"), "lang"), "left_id")
-    return matching.greedy_moves(named, ["lang"])
+    members = stored(sets.set_members(words).join(docs, "id").select("id", "lang", F.col("representative").alias("cls"), "n", F.struct("lang").alias("group")), "moves-members")
+    odd, even = members.where("id % 2 <> 0").withColumnRenamed("id", "left_id"), members.where("id % 2 = 0").withColumnRenamed("id", "right_id")
+    equal = stored(matching.paired_in_order(odd, even, ["cls", "n", "group"], "left_id", "right_id"), "moves-equal")
+    left, right = odd.join(equal, "left_id", "left_anti"), even.join(equal, "right_id", "left_anti")
+    moved = matching.class_moves(left, right, sets.similar_sets(words, 60), "lang")
+    return equal.select("group.lang", "left_id", "right_id", F.col("n").alias("common"), F.col("n").alias("total")).unionByName(moved)
 
 
 def q22_in_two_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
