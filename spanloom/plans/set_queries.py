@@ -116,24 +116,41 @@ def q59_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q60_settled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document's short lines all repeat literally, or only by first letter."""
+    """Whether a document's lines of up to 30 characters all repeat literally, or only by their first two; q60b judges all lines."""
     docs = table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split("text", "\n"))).alias("literal")).where("length(literal) BETWEEN 1 AND 30")
     return evidence.settled_keys(lines.withColumn("shape", F.substring("literal", 1, 2)), "doc_id", "literal", "shape", "source")
 
 
 def q61_edit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal and shape keys of the first words of consecutive turns."""
+    """Literal and shape keys of the first four words of consecutive turns; q61b has those of whole turns."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 4).alias("w"))
     pairs = turns.withColumn("before", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
     return pairs.select("conv_id", "turn", t.edit_key(F.col("before"), F.col("w")).alias("literal"), F.array_join(t.shape(F.col("w"), ["la", "the", "de"]), " ").alias("shape"))
 
 
+def q60b_settled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all lines of a document repeat literally, or only by shape (every identifier as one sign)."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split("text", "\n"))).alias("literal"))
+    return evidence.settled_keys(lines.withColumn("shape", F.regexp_replace("literal", "[A-Za-z_$][A-Za-z0-9_$]*", r"\$")), "doc_id", "literal", "shape", "source")
+
+
+def q61b_edit_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal and shape keys of each edit between whole consecutive turns; one row with ``compared`` false where a pair is over the work limit."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    pairs = turns.withColumn("before", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
+    aligned = pairs.select("conv_id", "turn", alignment.token_edits("before", "w").alias("edits"))
+    edits = aligned.select("conv_id", "turn", F.col("edits").isNotNull().alias("compared"), F.posexplode_outer("edits").alias("n", "e")).where("n IS NOT NULL OR NOT compared")
+    shaped = lambda c: t.shape(F.col(c), ["la", "the", "de"])
+    return edits.select("conv_id", "turn", "n", "compared", t.edit_key(F.col("e.removed"), F.col("e.added")).alias("literal"), t.edit_key(shaped("e.removed"), shaped("e.added")).alias("shape"))
+
+
 _TOK = f"toks AS (SELECT id, source, unnest(tokens) AS token FROM ({WORDS_SQL}))"
 _TURNS = "t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}')) AS w0, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM conversations)"
 _FIRST = "list_filter(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN list_position({x}, {x}[i]) = i AND NOT list_contains({y}, {x}[i]) THEN {x}[i] END), lambda v: v IS NOT NULL)"
 
-QUERIES = {f.__name__: f for f in (q08_repeated_patterns, q09_dominant, q10_similar, q10b_similar_members, q11_contained, q12_both_ways, q13_moves, q22_in_two_groups, q23_strength, q36_token_counts, q45_placement, q50_token_edits, q57_new_throws, q58_pooled, q59_mirrors, q60_settled_keys, q61_edit_keys)}
+QUERIES = {f.__name__: f for f in (q08_repeated_patterns, q09_dominant, q10_similar, q10b_similar_members, q11_contained, q12_both_ways, q13_moves, q22_in_two_groups, q23_strength, q36_token_counts, q45_placement, q50_token_edits, q57_new_throws, q58_pooled, q59_mirrors, q60_settled_keys, q60b_settled_lines, q61_edit_keys, q61b_edit_keys_whole)}
 
 SQL = {
     "q08_repeated_patterns": f"WITH {_TOK} SELECT token, count(DISTINCT id) AS items, count(DISTINCT source) AS groups FROM toks GROUP BY token HAVING count(DISTINCT id) >= 5 AND count(DISTINCT source) >= 2",
@@ -165,6 +182,9 @@ SQL = {
     "q60_settled_keys": """WITH l AS (SELECT DISTINCT doc_id, source, literal, substr(literal, 1, 2) AS shape FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS literal FROM documents) WHERE length(literal) BETWEEN 1 AND 30),
         a AS (SELECT literal FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2), s AS (SELECT shape FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2)
         SELECT doc_id, CASE WHEN bool_and(literal IN (FROM a)) THEN 'literal' WHEN bool_and(shape IN (FROM s)) THEN 'shape' END AS level FROM l GROUP BY doc_id""",
+    "q60b_settled_lines": """WITH l AS (SELECT DISTINCT doc_id, source, literal, regexp_replace(literal, '[A-Za-z_$][A-Za-z0-9_$]*', '$', 'g') AS shape FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS literal FROM documents)),
+        a AS (SELECT literal FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2), s AS (SELECT shape FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2)
+        SELECT doc_id, CASE WHEN bool_and(literal IN (FROM a)) THEN 'literal' WHEN bool_and(shape IN (FROM s)) THEN 'shape' END AS level FROM l GROUP BY doc_id""",
     "q61_edit_keys": """WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:4] AS w FROM conversations), p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t)
         SELECT conv_id, turn, array_to_string(b, ' ') || ' → ' || array_to_string(w, ' ') AS literal, array_to_string(list_transform(w, lambda x: CASE WHEN x IN ('la', 'the', 'de') THEN x ELSE '$' END), ' ') AS shape FROM p WHERE b IS NOT NULL""",
 }
