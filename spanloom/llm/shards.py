@@ -4,7 +4,7 @@ A store is a folder with immutable runs (Parquet folders) and manifests ``manife
 as small runs. Compaction looks for runs of similar size; ``fanout`` or more of them are rewritten as one run whose files
 have about the target size, without a shuffle: small files are only read together. A change becomes visible by renaming a
 finished manifest to the next version, which fails if another writer took that version; readers keep the version they
-opened. Folders that no manifest lists (a failed job's) are removed by :meth:`ShardStore.vacuum`.
+opened, until :meth:`ShardStore.vacuum` removes the folders that none of the versions to keep lists (and a failed job's).
 """
 
 from __future__ import annotations
@@ -93,7 +93,10 @@ class ShardStore:
         return []
 
     def compact(self) -> dict:
-        """Merges similar runs until no tier has ``fanout``; runs in whole target-sized files already are left alone."""
+        """Merges similar runs until no tier has ``fanout``; runs in whole target-sized files already are left alone.
+
+        Merged runs stay for readers of older versions, until :meth:`vacuum`.
+        """
         base = self.manifest()
         while group := self._similar([r for r in base["runs"] if r["bytes"] < r["files"] * self.target_bytes * 0.5 or r["files"] == 1 and r["bytes"] < self.target_bytes]):
             paths = [r["path"] for r in group]
@@ -102,13 +105,13 @@ class ShardStore:
             path = f"{self.root}/data/{uuid.uuid4().hex}"
             self.spark.read.schema(schema).parquet(*paths).coalesce(n).write.parquet(path)
             base = self._commit(base, [*[r for r in base["runs"] if r["path"] not in paths], self._run(path)], base["schema"])
-            for old in paths:  # readers of older versions are expected to be done; keep them by compacting a copy
-                self.fs.delete(self._path(old), True)
         return base
 
-    def vacuum(self) -> int:
-        """Removes folders under ``data`` that the newest manifest does not list; returns how many."""
-        used = [r["path"].removeprefix("file:").lstrip("/") for r in self.manifest()["runs"]]
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes folders under ``data`` that none of the newest ``keep`` manifests lists; returns how many. Older versions cannot be read then."""
+        if keep < 1:
+            raise ValueError("the newest version stays")
+        used = [r["path"].removeprefix("file:").lstrip("/") for v in self.versions()[-keep:] for r in self.manifest(v)["runs"]]
         stale = [s.getPath() for s in self._list(f"{self.root}/data") if not any(s.getPath().getName() in u.split("/") for u in used)]
         for path in stale:
             self.fs.delete(path, True)

@@ -131,6 +131,17 @@ def test_tiers_merge_similar_runs_only(spark):
     assert len(after["runs"]) == 2 and store.read().count() == 3003
 
 
+def test_versions_before_a_compaction_stay_until_vacuum(spark):
+    store = shards.ShardStore(spark, new_folder(spark, "store"), fanout=2)
+    for k in range(2):
+        store.append(spark.range(k * 10, k * 10 + 10).coalesce(1))
+    opened = store.read(2)
+    assert store.compact()["version"] == 3
+    assert opened.count() == 20 and store.read(1).count() == 10
+    assert store.vacuum(keep=3) == 0 and store.read(1).count() == 10
+    assert store.vacuum() == 2 and store.read().count() == 20
+
+
 def test_a_taken_version_is_an_error(spark):
     store = shards.ShardStore(spark, new_folder(spark, "race"))
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
