@@ -5,21 +5,26 @@ bits, each with an index from value to rows. If two codes differ in at most r bi
 share of r, so probing the near values of every substring finds every code within radius r; the candidates are then
 ranked by the exact cosine of the float vectors.
 
-Index rows are dealt into blocks by hash and the stated query set into query blocks; each pair of blocks is a task of
-bounded memory that returns at most k rows a query, so a large group of equal vectors yields no pairs between tasks.
+The index rows stay where the scan puts them: a task builds the index of some rows once and searches it for a chunk of the
+stated query set, which is broadcast. Chunks have a bound in bytes and follow each other, so neither side is copied between
+tasks; what is shuffled is at most k rows a query and task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 _BYTE = 8
 
 
@@ -110,71 +115,122 @@ class MultiIndex:
 
 
 FOUND = "query_id long, vec_id long, score double"
+_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
 
+def best_of(x: np.ndarray, norms: np.ndarray, ids: np.ndarray, q: np.ndarray, norm: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the k largest cosines, ties to the smaller id, and those cosines.
 
-def _search(k: int, shared):
-    def search(index: pa.Table, queries: pa.Table) -> pa.Table:
-        coder = shared.value
-        names = [c.split()[0] for c in FOUND.split(", ")]
-        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        if not index.num_rows or not queries.num_rows:
-            return empty
-        arrays = []
-        for table in (index, queries):
-            flat = table.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64)
-            arrays += [table.column("id").to_numpy(), flat.reshape(table.num_rows, -1)]
-        ids, x, query_ids, q = arrays
-        norms, query_norms = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-        codes, query_codes = coder.codes(x), coder.codes(q)
-        tables = MultiIndex(codes, coder.bits)
+    A product of matrix and vector is fast but may give equal rows scores that differ in the last bits by their place, so it
+    only finds who can be among the k; each finalist's score is then the sum over its own row, which depends on nothing else.
+    """
+    rough = (x @ q) / (norms * norm)
+    finalists = np.arange(len(x))
+    if len(x) > k:
+        finalists = np.flatnonzero(rough >= np.partition(rough, len(x) - k)[len(x) - k] - 1e-9)
+    score = (x[finalists] * q).sum(axis=1) / (norms[finalists] * norm)
+    order = np.lexsort((ids[finalists], -score))[:k]
+    return finalists[order], score[order]
+
+
+def _search(k: int, block: int, coders, asked):
+    """Index of up to ``block`` rows at a time, each built once and searched for all queries of the chunk."""
+
+    def one(d: int, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = asked.value[d]
+        coder = coders.value.get(d)
+        norms, query_norms = _norms(x), _norms(queries)
+        tables, codes = (MultiIndex(coder.codes(x), coder.bits), coder.codes(queries)) if coder else (None, None)
         out = []
-        for i in range(len(q)):
-            radius = coder.radius
-            rows = tables.within(query_codes[i], radius)
-            rows = rows[ids[rows] != query_ids[i]]
-            while len(rows) < k and radius < coder.bits:  # too few: look further, up to all
-                radius = min(coder.bits, radius + 4)
-                rows = tables.within(query_codes[i], radius)
-                rows = rows[ids[rows] != query_ids[i]]
-            score = (x[rows] @ q[i]) / (norms[rows] * query_norms[i])
-            best = np.lexsort((ids[rows], -score))[:k]
-            out.append((np.full(len(best), query_ids[i]), ids[rows][best], score[best]))
-        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names)
+        for i, q in enumerate(queries):
+            other = ids != query_ids[i]
+            if tables is None:  # a length so rare that nothing was learned for it: all its rows are ranked
+                rows = np.flatnonzero(other)
+            else:
+                radius = coder.radius
+                rows = tables.within(codes[i], radius)
+                rows = rows[other[rows]]
+                while len(rows) < k and radius < coder.bits:  # too few: look further, up to all
+                    radius = min(coder.bits, radius + 4)
+                    rows = tables.within(codes[i], radius)
+                    rows = rows[other[rows]]
+            if len(rows):
+                best, score = best_of(x[rows], norms[rows], ids[rows], q, query_norms[i], k)
+                out.append((np.full(len(best), query_ids[i]), ids[rows][best], score))
+        if out:
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], _NAMES)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        rows: dict[int, int] = {}
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths).tolist():
+                if d not in asked.value:
+                    continue
+                part = batch.filter(pa.array(lengths == d))
+                for at in range(0, part.num_rows, block):
+                    piece = part.slice(at, block)
+                    held.setdefault(d, []).append((piece.column(0).to_numpy(), _matrix(piece.column(1), d)))
+                    rows[d] = rows.get(d, 0) + piece.num_rows
+                    if rows[d] >= block:
+                        yield from one(d, *(np.concatenate(c) for c in zip(*held.pop(d), strict=True)))
+                        rows[d] = 0
+        for d, parts in held.items():
+            yield from one(d, *(np.concatenate(c) for c in zip(*parts, strict=True)))
 
     return search
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = 20_000, block: int = 8192, query_block: int = 2048) -> DataFrame:
+def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    v = F.col(vector_col).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(finite & F.exists("vector", lambda x: x != 0))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, sample: int = 20_000, least_sample: int = 200, block: int = 65_536, chunk_bytes: int = 32 << 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its k nearest found rows of ``vectors``, itself left out.
 
-    Ties go to the smaller id. The rotation and radius are fitted to at most ``sample`` vectors, by hash order of the id;
-    every valid vector is indexed. Vectors that are null, zero, or hold null or non-finite components take no part, nor
-    do rows without an id or of another length than the most common one (the shorter of two). Where there are fewer than
-    k other rows all are returned. Repeated rows are candidates each; a repeated query returns once.
+    The measure is the cosine in double precision, summed row by row, so equal vectors have equal scores wherever they lie;
+    ties go to the smaller id. Rotation and radius are fitted to at most ``sample`` vectors, by hash order of the id, for
+    each vector length of which the sample has ``least_sample``; vectors of a rarer length are ranked without an index.
+    Every valid vector is searched, each length apart. Vectors that are null, zero, or hold null or non-finite components
+    take no part, nor do rows without an id. Where there are fewer than k other rows of the query's length all are returned.
+    Repeated rows are candidates each; a repeated query returns once. Empty tables give no rows. Columns other than the id
+    and the vector are not read, so clashing names do not matter.
     """
     spark = vectors.sparkSession
-
-    def finite(column: str) -> Column:
-        return F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-
-    def valid(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col).cast("array<double>")
-        rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"))
-        return rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(finite("vector") & F.exists("vector", lambda x: x != 0))
-
-    rows = valid(vectors)
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = sizes["d"]
-    rows, asked = rows.where(F.size("vector") == d), valid(queries).where(F.size("vector") == d).dropDuplicates(["id"])
+    rows, asked = _valid(vectors, id_col, vector_col), _valid(queries, id_col, vector_col).dropDuplicates(["id"])
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    coder = learned(np.array(chosen["vector"].tolist(), dtype=np.float64), k=k)
-    blocks, query_blocks = math.ceil(sizes["count"] / block), max(1, math.ceil(asked.count() / query_block))
-    deal = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("i", deal(1, blocks)).withColumn("j", every(query_blocks))
-    right = asked.withColumn("j", deal(2, query_blocks)).withColumn("i", every(blocks))
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_search(k, spark.sparkContext.broadcast(coder)), FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    by_length: dict[int, list] = {}
+    for v in chosen["vector"]:
+        by_length.setdefault(len(v), []).append(v)
+    coders = spark.sparkContext.broadcast({d: learned(np.array(vs, dtype=np.float64), k=k) for d, vs in by_length.items() if len(vs) >= least_sample})
+    size = asked.agg(F.sum(F.size("vector") * 8 + 64)).first()[0] or 0
+    chunks = max(1, math.ceil(size / chunk_bytes))
+    out = None
+    for j in range(chunks):
+        own = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("id", F.lit("chunk")), F.lit(chunks)) == j)
+        held: dict[int, tuple[list, list]] = {}
+        for r in own.toPandas().itertuples(index=False):
+            ids, xs = held.setdefault(len(r.vector), ([], []))
+            ids.append(r.id)
+            xs.append(r.vector)
+        shared = spark.sparkContext.broadcast({d: (np.array(ids, np.int64), np.array(xs, np.float64)) for d, (ids, xs) in held.items()})
+        found = rows.mapInArrow(_search(k, block, coders, shared), FOUND)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        top = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if chunks > 1:  # one chunk is in memory at a time
+            top = written(top, "nearest")
+            shared.destroy()
+        out = top if out is None else out.unionByName(top)
+    return out

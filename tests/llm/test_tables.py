@@ -292,15 +292,18 @@ def brute_nearest(vectors, k):
     return out
 
 
-def test_nearest_on_odd_vectors(spark):
+@pytest.mark.parametrize("chunk", [32 << 20, 4_000])
+def test_nearest_on_odd_vectors(spark, chunk):
     r = np.random.default_rng(3)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(60)]
-    rows += [(100, None), (101, [0.0] * 8), (102, [None] + [1.0] * 7), (103, [float("nan")] * 8), (104, [float("inf")] + [0.0] * 7), (105, [1.0]), (None, [1.0] * 8), (106, rows[3][1]), (107, rows[3][1])]
+    rows += [(100, None), (101, [0.0] * 8), (102, [None] + [1.0] * 7), (103, [float("nan")] * 8), (104, [float("inf")] + [0.0] * 7), (105, [1.0, 2.0]), (201, [2.0, 1.0]), (202, [2.0, 1.0]), (None, [1.0] * 8), (106, rows[3][1]), (107, rows[3][1])]
     df = spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id long, embedding array<double>, vector string")
     got = defaultdict(list)
-    for x in ann.nearest(df, df, block=30, query_block=25).orderBy("query_id", "rank").collect():
+    for x in ann.nearest(df, df, block=30, chunk_bytes=chunk, least_sample=20).orderBy("query_id", "rank").collect():
         got[x.query_id].append((x.rank, x.vec_id, x.score))
-    want = brute_nearest([x for x in rows if x[0] != 105], 5)
+    assert [i for _, i, _ in got.pop(105)] == [201, 202]  # vectors of another length are searched apart
+    assert [i for _, i, _ in got.pop(201)] == [202, 105] and [i for _, i, _ in got.pop(202)] == [201, 105]
+    want = brute_nearest([x for x in rows if x[0] not in (105, 201, 202)], 5)
     assert set(got) == set(want)
     hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits / (5 * len(want)) >= 0.95
@@ -310,6 +313,25 @@ def test_nearest_on_odd_vectors(spark):
     assert ann.nearest(df.where("vec_id = 101"), df).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [33, 64, 257])
+def test_ties_of_equal_vectors_go_to_the_smaller_id(spark, d):
+    r = np.random.default_rng(d)
+    rows = [(i, r.normal(size=d).tolist()) for i in range(400)]
+    for base in range(0, 40):  # forty groups of copies, their ids all over the table
+        rows += [(1000 + 41 * base + 97 * n, rows[base][1]) for n in r.permutation(12).tolist()]
+    rows = list(dict(rows).items())
+    order = r.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for x in ann.nearest(df, df, block=150, least_sample=50).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    own = dict(rows)
+    for q, v in got.items():
+        same = sorted(i for i, w in rows if w == own[q] and i != q)[:5]
+        assert [i for i, _ in v[: len(same)]] == same
+        assert len({s for i, s in v[: len(same)]}) <= 1
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_recall(spark, sf):
     vectors = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
