@@ -34,6 +34,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3b_item_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every benchmark item with words, for the items of op3."""
+    return decontam.item_classes(_table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url under four rules."""
     rules = spark.sql("SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS t(host, path, verdict)")
@@ -87,6 +92,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
+    "op3b_item_classes": op3b_item_classes,
     "op4_url_filter": op4_url_filter,
     "op5_shards": op5_shards,
     "op6_minhash": op6_minhash,

@@ -131,7 +131,7 @@ def brute_matches(texts, items):
         for j, item in enumerate(items):
             v = words(item)
             n = min(13, len(v))
-            if len(v) >= 5 and any(sum(a == b for a, b in zip(w[p : p + n], v[q : q + n], strict=False)) * 100 >= 80 * n for p in range(len(w) - n + 1) for q in range(len(v) - n + 1)):
+            if (0 < len(v) < 5 and w == v) or len(v) >= 5 and any(sum(a == b for a, b in zip(w[p : p + n], v[q : q + n], strict=False)) * 100 >= 80 * n for p in range(len(w) - n + 1) for q in range(len(v) - n + 1)):
                 out.add((i, j))
     return out
 
@@ -147,6 +147,7 @@ def test_decontamination_equals_brute_force(spark, block):
         part = item[r.randint(0, 3) :][: r.randint(4, 30)]
         part = [x if r.random() > 0.15 else r.choice(vocabulary) for x in part]
         texts.append(", ".join(r.choices(vocabulary, k=r.randint(0, 12)) + part + r.choices(vocabulary, k=r.randint(0, 12))).upper())
+    texts += [items[0].upper(), items[0] + " x"]
     texts += [texts[5]] * 2 + [" ".join(r.choices(vocabulary, k=20_000)) + " " + items[-1]]
     data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(list(enumerate(items)) + [(99, None)], "item_id long, text string")
@@ -159,6 +160,36 @@ def test_decontamination_equals_brute_force(spark, block):
     assert decontam.contaminated(data, bench.limit(0)).count() == 0 and decontam.contaminated(data.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [4_000_000, 0])
+def test_repeated_items_are_one(spark, block):
+    """Ten thousand copies of an item cost as much as one; rows of one id, or without one, are judged by their own text."""
+    r = random.Random(13)
+    item = " ".join(f"q{r.randint(0, 9)}" for _ in range(60))
+    bench = spark.createDataFrame([(i, item if i % 2 else item.upper()) for i in range(5, 10_005)] + [(None, "what is this"), (None, None), (1, "...")], "item_id long, text string")
+    long = " ".join(r.choices(["some", "other", "words"], k=1100))
+    data = spark.createDataFrame([(1, long + " " + item, "a"), (1, long, "b"), (None, item, "c"), (None, "What is this?", "d"), (2, "what is this thing", "e")], "doc_id long, text string, words string")
+    got = decontam.contaminated(data, bench, block_chars=block).collect()
+    assert Counter((x.doc_id, x.item_id, x.n_equal, x.doc_word, x.item_word) for x in got) == Counter([(1, 5, 13, 1100, 0), (None, 5, 13, 0, 0), (None, None, 3, 0, 0)])
+    kept = decontam.clean(data, bench, block_chars=block)
+    assert kept.columns == data.columns and sorted(x.words for x in kept.collect()) == ["b", "e"]
+    classes = decontam.item_classes(bench)
+    assert classes.count() == 10_001 and {x.representative for x in classes.collect()} == {5, None}
+
+
+def test_seed_join_equals_broadcast_index(spark):
+    """Both sides of the switch give the same rows, places included."""
+    r = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(25)]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.randint(1, 40)))) for i in range(30)]
+    rows = []
+    for i in range(80):
+        own = " ".join(x if r.random() > 0.1 else "z" for x in r.choice(items)[1].split())
+        rows.append((i % 60, " ".join(r.choices(vocabulary, k=r.randint(0, 30))) + " " + own))
+    data, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, other = (Counter(tuple(x) for x in decontam.contaminated(data, bench, block_chars=b).collect()) for b in (4_000_000, 0))
+    assert one == other and len(one) > 50
+
+
 def test_kth_largest(spark):
     r = random.Random(5)
     values = [r.choice([r.gauss(0, 1), 0.25, 1e-9 * r.random()]) for _ in range(500)]
