@@ -31,7 +31,8 @@ class Mark:
 @dataclass(frozen=True)
 class Template:
     """``other`` serves roles without a mark of their own; its opening holds ``{role}``. ``moves`` maps (state, role) to the
-    next state; a pair that is absent is an error of turn order. Control strings must not hold the escape character."""
+    next state; a pair that is absent is an error of turn order, and so is a conversation that ends in a state that is not
+    ``final``. Control strings must not hold the escape character."""
 
     marks: dict[str, Mark]
     other: Mark
@@ -83,7 +84,8 @@ def formatted(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     Turns of a conversation are ordered by turn (null first), role and text; repeated rows are turns of their own. A null
     text or role is empty; a role without a mark uses the template's ``other``. ``valid`` is false from the first turn that
     breaks the role order on, in that conversation; such turns are formatted all the same. Rows without ``conv_id`` form
-    one conversation. Other columns are ignored, and an empty table gives no segments.
+    one conversation. A very long text is formatted whole: memory is one turn. Other columns are ignored, and an empty table
+    gives no segments.
     """
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,22 +131,24 @@ class Reader:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
 
-def read_back(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
+def read_back(segments: DataFrame, template: Template = INSTRUCT, *, in_order: bool = False) -> DataFrame:
     """One row per conversation, from the formatted text and the loss flags alone: digests of the turns and of the loss text.
 
-    The turns come from parsing the text; the loss text is what the segments flagged with loss hold, unescaped.
+    The turns come from parsing the text; the loss text is what the segments flagged with loss hold, unescaped. ``valid`` tells
+    whether the roles that were read follow the template's order and end in a final state. ``in_order`` is for the frame that
+    :func:`formatted` returned, as it is: its conversations lie whole and sorted in their partitions, so nothing is shuffled.
     """
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = object()
         reader = turns = loss = None
         n = chars = total = 0
-        valid = True
+        valid, state = True, template.start
 
         def row():
             if reader.buffer:
                 raise ValueError(f"conversation {current}: unread text at the end")
-            return current, n, turns.hexdigest(), chars, loss.hexdigest(), total, valid
+            return current, n, turns.hexdigest(), chars, loss.hexdigest(), total, valid and state in template.final
 
         def table(out):
             return pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")]).astype({"conv_id": "Int64"})
@@ -156,7 +160,7 @@ def read_back(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
                 if conv != current:
                     if reader:
                         out.append(row())
-                    current, reader, turns, loss, n, chars, total, valid = conv, Reader(template), hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True
+                    current, reader, turns, loss, n, chars, total, valid, state = conv, Reader(template), hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True, template.start
                 total += len(text)
                 valid &= bool(ok)
                 if flag:
@@ -165,10 +169,11 @@ def read_back(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
                     loss.update(plain.encode())
                 for role, content, _ in reader.feed(text):
                     turns.update(f"{role}\n{content}\n".encode())
+                    state = template.moves.get((state, role), "wrong")
                     n += 1
             if out:
                 yield table(out)
         if reader:
             yield table([row()])
 
-    return _sorted(segments, "pos", "part").mapInPandas(apply, DIGESTS)
+    return (segments if in_order else _sorted(segments, "pos", "part")).mapInPandas(apply, DIGESTS)

@@ -26,7 +26,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trial = "inline(array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role)))"
     extra = spark.range(1).selectExpr("-7L AS conv_id", trial).withColumn("text", F.lit("</s>[INST] ok [/INST]"))
-    return chat.read_back(chat.formatted(turns.unionByName(extra)))
+    return chat.read_back(chat.formatted(turns.unionByName(extra)), in_order=True)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +111,11 @@ SQL = {
             UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
             UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
         ), state AS (
-            SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev,
+            SELECT *, lag(role) OVER w AS prev, lead(role) OVER w IS NULL AS is_last,
                 length(text) + length(text) - length(replace(text, '\', ''))
                 + 2 * len(regexp_extract_all(text, '</?s>|\[/?(INST|ANS|SYS)\]|\[/?ROLE[:\]]'))
                 - 2 * len(regexp_extract_all(text, '\[ROLE\]|\[/ROLE:')) AS escaped
-            FROM turns
+            FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
         )
         SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -123,7 +123,8 @@ SQL = {
             sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
             CAST(sum(escaped + CASE role WHEN 'user' THEN 22 WHEN 'assistant' THEN 20 WHEN 'system' THEN 20 ELSE 23 + length(role) END) AS BIGINT) AS formatted_chars,
             bool_and(coalesce(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev = 'system' THEN role = 'user'
-                WHEN prev = 'user' THEN role = 'assistant' WHEN prev = 'assistant' THEN role = 'user' END, false)) AS valid
+                WHEN prev = 'user' THEN role = 'assistant' WHEN prev = 'assistant' THEN role = 'user' END, false)
+                AND NOT (is_last AND role = 'system')) AS valid
         FROM state GROUP BY conv_id""",
     "op4_url_filter": r"""
         WITH parts AS (

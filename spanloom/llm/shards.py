@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,8 +84,8 @@ class ShardStore:
         return self._commit(base, [*base["runs"], *[self._run(p) for p in runs]], df.drop(arrival).schema.json())
 
     def _similar(self, runs: list[dict]) -> list[dict]:
-        """The first ``fanout`` or more runs, by size, of which the largest is at most ``similar`` times the smallest."""
-        ordered = sorted((r for r in runs if r["files"]), key=lambda r: (r["bytes"], r["path"]))
+        """The first ``fanout`` or more runs, by size (of equal sizes the earlier one), of which the largest is at most ``similar`` times the smallest."""
+        ordered = sorted((r for r in runs if r["files"]), key=lambda r: r["bytes"])
         while ordered:
             group = [r for r in ordered if r["bytes"] <= self.similar * max(1, ordered[0]["bytes"])]
             if len(group) >= self.fanout:
@@ -107,43 +108,65 @@ class ShardStore:
             base = self._commit(base, [*[r for r in base["runs"] if r["path"] not in paths], self._run(path)], base["schema"])
         return base
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Removes folders under ``data`` that none of the newest ``keep`` manifests lists; returns how many. Older versions cannot be read then."""
+    def vacuum(self, keep: int = 1, min_age_s: float = 86_400.0) -> int:
+        """Removes folders under ``data`` that none of the newest ``keep`` manifests lists; returns how many. Older versions cannot be read then.
+
+        A folder changed within ``min_age_s`` seconds stays: it may be an append or a compaction that has not committed yet.
+        """
         if keep < 1:
             raise ValueError("the newest version stays")
         used = [r["path"].removeprefix("file:").lstrip("/") for v in self.versions()[-keep:] for r in self.manifest(v)["runs"]]
-        stale = [s.getPath() for s in self._list(f"{self.root}/data") if not any(s.getPath().getName() in u.split("/") for u in used)]
+        latest = (time.time() - min_age_s) * 1000
+        unused = [s for s in self._list(f"{self.root}/data") if not any(s.getPath().getName() in u.split("/") for u in used)]
+        stale = [s.getPath() for s in unused if self._changed(s) <= latest]
         for path in stale:
             self.fs.delete(path, True)
         return len(stale)
 
+    def _changed(self, status) -> int:
+        """When the newest file below a folder was written, in milliseconds."""
+        return max([status.getModificationTime(), *(self._changed(s) for s in self._list(status.getPath().toString()) if status.isDirectory())])
+
+    @staticmethod
+    def own_columns(names: list[str]) -> tuple[str, str, str]:
+        """Names for run, shard and version beside the stored columns: with underscores in front where they would clash, whatever their case."""
+        taken, out = {n.lower() for n in names}, []
+        for name in ("run", "shard", "version"):
+            while name in taken:
+                name = f"_{name}"
+            out.append(name)
+        return tuple(out)
+
     def read(self, version: int | None = None) -> DataFrame:
-        """Stored rows with ``run`` (its number in the manifest), ``shard`` (the file's number in the run) and ``version``."""
+        """Stored rows with ``run`` (its number in the manifest), ``shard`` (the file's number in the run) and ``version``, or :meth:`own_columns`."""
         state = self.manifest(version)
-        out = None
+        schema = StructType.fromJson(json.loads(state["schema"])) if state["schema"] else StructType()
+        names, out = self.own_columns(schema.names), None
         for number, run in enumerate(state["runs"]):
             if run["files"]:
-                part = self.spark.read.schema(StructType.fromJson(json.loads(state["schema"]))).parquet(run["path"])
+                part = self.spark.read.schema(schema).parquet(run["path"])
                 shard = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
-                part = part.select(*[F.col(f"`{c}`") for c in part.columns], F.lit(number).alias("run"), shard.alias("shard"), F.lit(state["version"]).alias("version"))
+                part = part.select(*[F.col(f"`{c}`") for c in part.columns], F.lit(number).alias(names[0]), shard.alias(names[1]), F.lit(state["version"]).alias(names[2]))
                 out = part if out is None else out.unionByName(part)
         if out is None:
-            schema = StructType.fromJson(json.loads(state["schema"])) if state["schema"] else StructType()
-            return self.spark.createDataFrame([], schema.add("run", IntegerType()).add("shard", IntegerType()).add("version", IntegerType()))
+            for name in names:
+                schema.add(name, IntegerType())
+            return self.spark.createDataFrame([], schema)
         return out
 
 
 def sharded(docs: DataFrame, root: str, *, id_col: str = "doc_id", arrivals: int = 8, target_bytes: int = 64 << 20, fanout: int = 4) -> ShardStore:
     """A store of all rows of ``docs``: ``arrivals`` batches by hash of the id, appended in one job, then compacted.
 
-    Any rows are kept as they are: nulls, repeated rows, very long texts; a null id is a value like any other. Columns
-    named ``run``, ``shard`` or ``version`` would clash with those of :meth:`ShardStore.read` and are an error. An empty
-    table makes a manifest without files.
+    Any rows are kept as they are: nulls, repeated rows, very long texts; a null id is a value like any other. Columns may
+    have any names; where one is called ``run``, ``shard`` or ``version``, the store's own get another name
+    (:meth:`ShardStore.own_columns`). An empty table makes a manifest without files.
     """
-    if clash := {"run", "shard", "version"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} clash with those of the store")
     store = ShardStore(docs.sparkSession, root, target_bytes=target_bytes, fanout=fanout)
+    arrival = "__arrival"
+    while arrival in {c.lower() for c in docs.columns}:
+        arrival = f"_{arrival}"
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
-    store.append_arrivals(docs.withColumn("__arrival", F.pmod(F.xxhash64(key, F.lit("arrival")), F.lit(arrivals)).cast("int")), "__arrival")
+    store.append_arrivals(docs.withColumn(arrival, F.pmod(F.xxhash64(key, F.lit("arrival")), F.lit(arrivals)).cast("int")), arrival)
     store.compact()
     return store

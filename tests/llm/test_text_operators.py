@@ -1,6 +1,7 @@
 """Language ID, line dedup, decontamination and quality on small inputs."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -58,8 +59,8 @@ def test_language_edge_cases(spark):
 
 
 def test_language_ties_and_pieces(monkeypatch):
-    model = langid.Model(("aa", "bb"), np.log([0.5, 0.5]), np.zeros((65, 2)))
-    assert langid.scored(["xyz"], model, (1, 2, 3))[0].tolist() == [0]
+    both = langid.Block(("aa", "bb"), np.log([0.5, 0.5]), np.zeros((65, 2)))
+    assert langid.scored(["xyz"], both, (1, 2, 3))[0].tolist() == ["aa"]
     texts = ["hello wörld, this is a longer text" * 20, "b"]
     count = lambda: [Counter(np.concatenate([b.ravel() for _, _, b, _ in langid.buckets_of([t], 64, (1, 2, 3))]).tolist()) for t in texts]
     whole = count()
@@ -68,9 +69,52 @@ def test_language_ties_and_pieces(monkeypatch):
         assert {k: v for k, v in a.items() if k != 64} == {k: v for k, v in b.items() if k != 64}
 
 
-def test_too_many_languages_is_an_error(spark):
-    with pytest.raises(ValueError, match="languages"):
-        langid.fit(docs(spark, *[(i, "abc", f"l{i}") for i in range(5)]), max_languages=3)
+def brute_language(train, texts, n_buckets, orders=(1, 2, 3), smoothing=0.5):
+    """Multinomial naive Bayes in plain Python: the same n-grams and hashes, one character at a time."""
+    def grams(t):
+        codes = [ord(c.lower()) if c.isalpha() else 32 for c in t]
+        for k in range(len(codes)):
+            value = 0
+            for n in range(1, max(orders) + 1):
+                value = (value * 0x100000001B3 + (codes[k - n + 1] if k - n + 1 >= 0 else 32) + n) % 2**64
+                if n in orders:
+                    h = value * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                    yield (h * 0xBF58476D1CE4E5B9 % 2**64 >> 33) % n_buckets
+
+    counts, docs = {}, Counter()
+    for t, lang in train:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(t))
+            docs[lang] += 1
+    out = []
+    for t in texts:
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        logs = {}
+        for lang in sorted(counts):
+            total = sum(counts[lang].values()) + smoothing * n_buckets
+            logs[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((counts[lang][b] + smoothing) / total) for b in grams(t))
+        best = max(logs, key=logs.get)
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+@pytest.mark.parametrize("block", [64, 2, 1])
+def test_language_equals_plain_python(spark, block):
+    """Also in blocks of languages, which then take a scan each."""
+    r = random.Random(8)
+    words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["größe", "haus", "wo"], "cc": ["la", "maison", "où"], "dd": ["ipsum", "haus", "là"], "ee": ["ξένος", "λόγος"]}
+    train = [(" ".join(r.choices(words[x], k=r.randint(1, 12))), x) for x in r.choices(list(words), k=60)] + [(None, "aa"), ("lorem", None)]
+    texts = [" ".join(r.choices(sum(words.values(), []), k=r.randint(1, 4))) for _ in range(40)] + [None, "", "1 2 -", "HAUS", "q"]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"), n_buckets=512, block=block)
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("Score", F.lit("clash"))
+    got = {x.doc_id: (x.lang_pred, x.score) for x in langid.predict(data, model).collect()}
+    for i, (lang, score) in enumerate(brute_language(train, texts, 512)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9, (i, texts[i])
+    kept = {x.doc_id for x in langid.keep_known(data, model).collect()}
+    assert kept == {i for i, (_, s) in got.items() if s >= 0.5}
 
 
 def kept_lines(rows, least):
