@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 from .tables import dropped, stored
 
 
+#: At most so many nodes have their edges joined by broadcast in a round of :func:`components`.
+_HUBS = 10_000
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` (smallest node reachable when direction is ignored) for every end of an edge.
 
     Alternating large-star and small-star steps: each hangs a node's neighbours on the smallest of them, and the graph
-    becomes stars in a logarithmic number of steps. A hub's rows are aggregated before they are shuffled (``min``) and
-    joined to one row per node, so a node with very many edges is split like any skewed join.
+    becomes stars in a logarithmic number of steps. A node's smallest neighbour is aggregated before it is shuffled. Nodes
+    with more than a ten-thousandth of the edges are few, so what they need to know is broadcast and their edges stay where
+    they are; the edges of the others are joined by hash.
     """
     pairs = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
     alone = pairs.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
@@ -25,12 +30,13 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     state = current.agg(F.count("*"), mark).first()
     while state[0]:
+        most = max(100, -(-2 * state[0] // _HUBS))
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _by_hub(both, least, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hung = _by_hub(large, least, most).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(hung.union(least.select("a", F.col("m").alias("b"))).distinct(), "components")
         before, state = state, after.agg(F.count("*"), mark).first()
         dropped(current)
@@ -41,6 +47,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return nodes.union(alone.join(nodes.select("node"), "node", "left_anti"))
 
 
+def _by_hub(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """``rows(a, b)`` with the ``m`` of ``a`` from ``least(a, m, n)``. Nodes with ``n > most`` rows are at most :data:`_HUBS`: they are broadcast."""
+    hubs = F.broadcast(least.where(F.col("n") > most).select(F.col("a").alias("hub"), F.col("m").alias("hub_m")))
+    seen = rows.join(hubs, F.col("a") == F.col("hub"), "left")
+    few = seen.where("hub IS NULL").select("a", "b").join(least.where(F.col("n") <= most).select("a", "m"), "a").select("a", "b", "m")
+    return few.union(seen.where("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")))
+
+
 def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """``start, node, depth``: nodes within ``depth`` steps of each start, at their shortest depth; the start itself is left out.
 

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,7 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call returns."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> int:
+    """Deletes every folder that :func:`new_folder` named in this process and that is still there; returns how many.
+
+    Results are read lazily from such folders, so this is for a caller who has taken all results out of them.
+    """
+    found = 0
+    while _MADE:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        found += target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return found
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a folder of this module's making, through the Hadoop file system that holds it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
