@@ -1,8 +1,8 @@
 """Near-duplicate detection with circulant MinHash signatures, banding and exact verification.
 
 Two permutations make all signature coordinates: the first scatters a document's shingles over 32 bits, the second is
-applied after a circular shift by the coordinate's number, and the smallest value counts (C-MinHash). Documents whose
-shingle sets are equal are one class; only class representatives are banded and compared.
+applied after a circular shift by the coordinate's number, and the smallest value counts (C-MinHash). Rows whose shingle
+sets are equal are one class, whatever their ids; only class representatives are banded and compared.
 
 Representatives that share a band are candidates, and candidates of candidates are a family. Every family is settled on
 its full shingle sets: an inverted index counts what one member shares with all others at once, first for the most
@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..operators.filters import possibly_in, without
+from ..operators.filters import possibly_in, with_hint
 from .scratch import dropped, written
 from .text import fold_alnum, fold_spaced, mixed, run_hash, slices, windows, word_hashes
 
@@ -69,7 +69,7 @@ def shingle_sets(texts: list[str], words: int, fold_codes) -> tuple[np.ndarray,
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum([0] + [len(s) for s in sets])
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+_SIGNED = "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>"
 
 
 def _sign(words: int, folding: str, bands: int, rows: int):
@@ -89,7 +89,8 @@ def _sign(words: int, folding: str, bands: int, rows: int):
                 for i in full:
                     keys[i] = hashlib.blake2b(shingles[starts[i] : starts[i + 1]].tobytes(), digest_size=16).digest()
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((counts > 0) * bands))), pa.int32()), pa.array(banded.ravel()))
-                yield pa.record_batch([batch.column(0).slice(begin, len(texts)).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
+                own_columns = [batch.column(k).slice(begin, len(texts)) for k in (0, 2)]
+                yield pa.record_batch([*own_columns, pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
     return sign
 
@@ -100,7 +101,7 @@ def _sets(words: int, folding: str):
             for begin, texts in slices(batch, 1):
                 shingles, starts = shingle_sets(texts, words, FOLDS[folding])
                 lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(shingles.view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(begin, len(texts)).cast(pa.int64()), lists], ["id", "shingles"])
+                yield pa.record_batch([*(batch.column(k).slice(begin, len(texts)) for k in (0, 2, 3)), lists], ["doc_id", "text_key", "h", "shingles"])
 
     return sets
 
@@ -173,18 +174,20 @@ def _settle(percent: int):
 _TASK_SHINGLES, _MOST_SHINGLES, _MANY = 100_000, 4_000_000, 64
 
 
-def _links(families: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
-    """Links ``a, b`` that connect what is connected: ``families(id, component)`` settled on ``sets(id, shingles)``.
+def _links(rows: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """Links ``a, b`` that connect what is connected: ``rows(id, family, shingles)`` settled by family.
 
     A family's rows are sent to as many tasks as it has blocks, so blocks grow with the family, up to a task's memory.
     """
-    rows = sets.join(families, "id").withColumnRenamed("component", "family").withColumn("n", F.size("shingles"))
+    rows = rows.withColumn("n", F.size("shingles"))
     sizes = rows.groupBy("family").agg(F.sum("n").alias("total"))
     blocks = F.greatest(F.least(F.ceil(F.col("total") / block_shingles), F.lit(_MANY)), F.ceil(F.col("total") / _MOST_SHINGLES)).cast("int")
     sizes = sizes.withColumn("blocks", blocks)
-    bins = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // block_shingles))
-    # Families of one block share bins, those of several get every pair of their blocks.
-    dealt = rows.join(sizes.select("family", "blocks"), "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    bins = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // block_shingles))
+    # Families of one block share bins, those of several get every pair of their blocks. The latter are few: each has more
+    # than ``block_shingles`` shingles.
+    several = F.broadcast(sizes.where("blocks > 1").select(F.col("family").alias("__large"), "blocks"))
+    dealt = rows.join(several, F.col("family") == F.col("__large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     one = F.struct(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("family").alias("key"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
     pair = F.filter(pair, lambda p: p["i"] < p["j"])
@@ -193,51 +196,86 @@ def _links(families: DataFrame, sets: DataFrame, percent: int, block_shingles: i
     return placed.groupBy("key", "i", "j").applyInArrow(_settle(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, folding: str = "alnum",
-                    bands: int = 32, rows: int = 5, block_shingles: int = _TASK_SHINGLES) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
-    Two documents are linked when the distinct ``words``-word shingles they share are at least ``percent`` per cent of
-    those either has; components are over all links, named by their smallest id, and ``kept`` is that document. With 32
-    bands of 5 coordinates a pair at exactly 0.8 stays a candidate with probability 1 - 3e-6, and more above.
 
-    Null, empty and wordless texts have no shingles and stand alone. Rows that repeat an id are one
-    document, compared by one of its texts if they differ. A row
-    without an id can be a copy of another (then it is not kept) but names no component. Ids are 64-bit integers.
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, folding: str, bands: int, rows: int, block_shingles: int) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id, text_key, row, n_shingles, set_key`` and of its component ``component_id`` and ``best``.
+
+    ``best`` (no id?, id, text, row) is the least row of the component; both are null for a row without shingles.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(source.mapInArrow(_sign(words, folding, bands, rows), _SIGNED), "minhash")
-    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    representatives = signed.where("set_key IS NOT NULL").join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    banded = written(representatives.dropDuplicates(["doc_id", "set_key"]).select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "value")), "minhash-bands")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(F.col(text_col)).alias("text_key"))
+    signed = written(source.mapInArrow(_sign(words, folding, bands, rows), _SIGNED).withColumn("row", F.monotonically_increasing_id()), "minhash")
+    best = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "text_key", "row")
+    classes = signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("c"), F.min(best).alias("best"), F.first("bands").alias("bands"))
+    classes = written(classes, "minhash-classes")
+    banded = written(classes.select(F.col("c").alias("id"), F.explode("bands").alias("value")), "minhash-bands")
     shared = banded.groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.max("id").alias("last")).where("n > 1 AND pivot < last")
     shared = written(shared, "minhash-shared")
     star = possibly_in(banded, "value", shared, "value").join(shared, "value").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    families = written(components(star, "a", "b").withColumnRenamed("node", "id"), "minhash-families")
-    wanted = possibly_in(source, "doc_id", families, "id")  # the others' texts need no shingles
-    sets = wanted.mapInArrow(_sets(words, folding), "id long, shingles array<long>").join(families.select("id"), "id", "left_semi")
-    sets = written(sets.where(F.size("shingles") > 0).groupBy("id").agg(F.max("shingles").alias("shingles")), "minhash-sets")
-    final = components(_links(families, sets, percent, block_shingles), "a", "b").withColumnRenamed("node", "id")
-    named = classes.join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    named = written(named, "minhash-classes")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    for table in (banded, shared, families, sets):
+    families = components(star, "a", "b").withColumnRenamed("node", "id").withColumnRenamed("component", "family")
+    # One row of each class in a family has its shingles made again; the other texts need none.
+    hashed = F.xxhash64("doc_id", "text_key")
+    members = families.join(classes.select(F.col("c").alias("id"), "best.doc_id", "best.text_key"), "id").withColumn("h", hashed)
+    members = written(members, "minhash-families")
+    wanted = possibly_in(source.withColumn("h", hashed), "h", members, "h")
+    sets = wanted.mapInArrow(_sets(words, folding), "doc_id long, text_key binary, h long, shingles array<long>")
+    named = members.select("id", "family", F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("h").alias("g"))
+    found = sets.join(named, (F.col("h") == F.col("g")) & (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    found = found.groupBy("h", "text_key", "id").agg(F.first("family").alias("family"), F.first("shingles").alias("shingles"))  # rows that repeat all they have
+    found = written(found.select("id", "family", "shingles"), "minhash-sets")
+    final = components(_links(found, percent, block_shingles), "a", "b").withColumnRenamed("node", "c")
+    joined = written(final.join(classes.select("c", "best"), "c"), "minhash-joined")
+    roots = joined.groupBy("component").agg(F.min("best").alias("root"))
+    rooted = joined.join(roots, "component").select("c", "root")
+    judged = written(classes.select("set_key", "c", "best").join(rooted, "c", "left").select("set_key", F.coalesce("root", "best").alias("best")), "minhash-judged")
+    for table in (classes, banded, shared, members, found, joined):
         dropped(table)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = signed.select("doc_id", "text_key", "row", "n_shingles", "set_key").join(judged, "set_key", "left")
+    return out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, folding: str = "alnum",
+                    bands: int = 32, rows: int = 5, block_shingles: int = _TASK_SHINGLES) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Two rows are linked when the distinct ``words``-word shingles they share are at least ``percent`` per cent of those
+    either has; components are over all links, named by their smallest id, and ``kept`` is that document. With 32
+    bands of 5 coordinates a pair at exactly 0.8 stays a candidate with probability 1 - 3e-6, and more above.
+
+    Null, empty and wordless texts have no shingles, stand alone and are kept. Very long texts are taken whole. Every row
+    is compared by its own text: rows that repeat an id with different texts are linked each by its text, and rows
+    without an id like any other. A component without any id has a null ``component_id`` and one row that is kept. Ids are
+    64-bit integers. Other columns are not read, whatever their names. Empty tables give no rows.
+    """
+    found = _verdicts(docs, id_col, text_col, words, percent, folding, bands, rows, block_shingles)
+    own = F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(F.col("row") == F.col("best.row"))
+    return found.select("doc_id", "n_shingles", "component_id", F.when(F.col("set_key").isNull(), True).otherwise(own).alias("kept"))
 
 
-def without_copies(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row for each component of ``verdicts`` (:func:`near_duplicates` of the same rows); columns unchanged.
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, folding: str = "alnum",
+                 bands: int = 32, rows: int = 5, block_shingles: int = _TASK_SHINGLES) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`; columns unchanged.
 
-    Of rows that repeat a kept id one stays. Rows without an id all stay: there is no id to tell them by.
+    The row that stays has the smallest id (rows without one come last), of several with that id the least digest of the
+    text, and of rows equal in both any one. Rows without shingles all stay. Only texts that may have to go are shuffled.
     """
-    ids = verdicts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    ids = written(ids, "minhash-verdicts")
-    out = without(docs, id_col, ids.where("NOT kept"), "doc_id")
-    repeated = ids.where("kept AND n > 1").select(F.col("doc_id").alias("__twice"))
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, out[id_col] == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return out.join(repeated, out[id_col] == F.col("__twice"), "left_anti").unionByName(once)
+    found = _verdicts(docs, id_col, text_col, words, percent, folding, bands, rows, block_shingles).where("set_key IS NOT NULL")
+    first = F.col("text_key").eqNullSafe(F.col("best.text_key")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    rows_ = found.groupBy("doc_id", "text_key").agg(F.bool_and(first).alias("stays"), F.count("*").alias("n"))
+    rows_ = written(rows_.select(F.xxhash64("doc_id", "text_key").alias("__key"), F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"), "stays", "n"), "minhash-verdicts")
+    key = [F.col(id_col).cast("long").alias("__id"), _text_key(F.col(text_col)).alias("__text")]
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key).withColumn("__h", F.xxhash64("__id", "__text"))
+    same = (F.col("__h") == F.col("__key")) & (F.col("__text") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__d"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    gone = rows_.where("NOT stays").select("__key", "__d", "__t")
+    hinted = with_hint(marked, "__h", gone, "__key")
+    out = hinted.where("NOT __maybe").drop("__maybe").unionByName(hinted.where("__maybe").drop("__maybe").join(gone, same, "left_anti"))
+    twice = rows_.where("stays AND n > 1").select("__key", "__d", "__t")
+    if twice.isEmpty():
+        return out.select(*names)
+    hinted = with_hint(out, "__h", twice, "__key")
+    doubtful = hinted.where("__maybe").drop("__maybe")
+    once = doubtful.join(twice, same, "left_semi").dropDuplicates(["__id", "__text"])
+    return hinted.where("NOT __maybe").drop("__maybe").unionByName(doubtful.join(twice, same, "left_anti")).unionByName(once).select(*names)

@@ -215,11 +215,38 @@ def test_minhash_equals_brute_force(spark, block):
 
 def test_minhash_repeated_ids_and_nulls(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (None, None)], "doc_id long, text string")
-    verdicts = minhash.near_duplicates(df, words=4, folding="spaced")
-    got = Counter((x.doc_id, x.component_id, x.kept) for x in verdicts.collect())
+    got = Counter((x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(df, words=4, folding="spaced").collect())
     assert got == Counter({(1, 1, True): 2, (None, 1, False): 1, (2, 1, False): 1, (None, None, True): 1})
-    assert Counter(x.doc_id for x in minhash.without_copies(df, verdicts).collect()) == Counter({1: 1, None: 2})
-    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    assert Counter(x.doc_id for x in minhash.deduplicated(df, words=4, folding="spaced").collect()) == Counter({1: 1, None: 1})
+    assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_minhash_judges_every_row_by_its_own_text(spark):
+    """Ids that repeat with different texts, and rows without ids, lose no link."""
+    word = lambda k, n=40: " ".join(f"t{k}x{i}" for i in range(n))
+    near = lambda k: word(k, 39) + " other"
+    rows = [(5, word(1)), (5, word(2)), (7, near(1)), (8, near(2)), (None, word(3)), (None, near(3)), (None, word(4)), (9, word(5) * 3_000), (None, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __text string").withColumnRenamed("__text", "best")
+    got = minhash.near_duplicates(df)
+    assert Counter((x.doc_id, x.component_id, x.kept) for x in got.collect()) == Counter([(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (None, None, True), (None, None, False), (None, None, True), (9, 9, True), (None, None, True), (None, None, True)])
+    left = minhash.deduplicated(df).collect()
+    texts = Counter(x.text for x in left)
+    assert len(left) == 7 and texts[word(1)] == texts[word(2)] == texts[word(4)] == 1 and texts[word(3)] + texts[near(3)] == 1 and texts[""] == 2
+    assert minhash.deduplicated(df).columns == df.columns
+
+
+def test_minhash_large_group_of_near_copies(spark):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        own = list(base)
+        own[r.randrange(120)] = f"z{i}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows + [(1000 + i, rows[0][1]) for i in range(400)], "doc_id long, text string")
+    for block in (400_000, 9_000):
+        got = minhash.near_duplicates(df, block_shingles=block).collect()
+        assert len(got) == 1000 and {x.component_id for x in got} == {0}
 
 
 def test_signatures_estimate_similarity():
