@@ -56,19 +56,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80, folding="spaced")
 
 
-def quality_weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with ``weight``: 2 for a quality label of 1, a half for 0, 1 without a label."""
-    judged = labels.groupBy(F.col("doc_id").alias("__label")).agg(F.max("quality").alias("__quality"))
-    weight = F.when(F.col("__quality") == 1, 2.0).when(F.col("__quality") == 0, 0.5).otherwise(1.0)
-    return docs.join(judged, docs.doc_id == judged["__label"], "left").withColumn("weight", weight).drop("__label", "__quality")
-
-
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of every document."""
+    """How many words the mix takes of every document; quality labels of 1 and 0 weigh 2 and a half."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    counted = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    weighted = quality_weighted(counted, _table(spark, sf_dir, "labels"))
-    return mixing.mixed(weighted, size_col="size", weight_col="weight").select("doc_id", "size", "source_size", "target", "taken")
+    content = F.when(F.col("doc_id").isNull(), mixing.content_key(F.col("text")))
+    counted = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), content.alias("content"))
+    weighted = mixing.labelled(counted, _table(spark, sf_dir, "labels"))
+    return mixing.mixed(weighted, size_col="size", weight_col="weight", content_col="content").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +147,11 @@ SQL = {
         FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n""",
     "op7_mix_sources": r"""
         WITH sized AS (
-            SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+            SELECT d.doc_id, d.source, coalesce(CAST(d.doc_id AS VARCHAR), md5(coalesce(text, ''))) AS tag, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                 CASE l.quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS quality
             FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id
         ), keyed AS (
-            SELECT *, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#17'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0) / quality AS key FROM sized
+            SELECT *, -ln((CAST('0x' || substr(md5(tag || '#17'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0) / quality AS key FROM sized
         ), sources AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
         ), ranked AS (
@@ -175,7 +169,7 @@ SQL = {
             SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets
         ), drawn AS (
             SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs,
-                sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.size, k.doc_id ROWS UNBOUNDED PRECEDING) - k.size + k.size / 2.0::DOUBLE <= p.target - p.epochs * p.source_size AS again
+                sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.size, k.tag ROWS UNBOUNDED PRECEDING) - k.size + k.size / 2.0::DOUBLE <= p.target - p.epochs * p.source_size AS again
             FROM keyed k JOIN planned p ON p.source IS NOT DISTINCT FROM k.source
         )
         SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN again THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM drawn""",

@@ -307,11 +307,41 @@ def test_mix_prefers_quality_and_materialises(spark):
     chosen = mix.join(df.select("doc_id", "w"), "doc_id").where("taken > 0").groupBy("w").count().collect()
     n = {r.w: r["count"] for r in chosen}
     assert n[10.0] > 2 * n[1.0]
-    out = mixing.materialised(df, mixing.mixed(df, weight_col="w"))
+    out = mixing.materialised(df, mixing.cutoffs(df, weight_col="w"), weight_col="w")
     assert out.columns == df.columns and out.count() * 3 == mixing.mixed(df, weight_col="w").agg(F.sum("taken")).first()[0]
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_materialised_rows_are_those_of_the_mix(spark, monkeypatch, most):
+    """Row by row, also for repeated ids with other texts, rows without an id, ties and long texts; both sides of the broadcast bounds."""
+    monkeypatch.setattr(mixing, "MAX_LABELS", most)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+    r = random.Random(31)
+    rows = [(i % 150, r.choice(["a", "b", None]), " ".join(r.choices(["x", "y", "zz"], k=r.randint(0, 12)))) for i in range(300)]
+    rows += [(None, r.choice(["a", "c"]), " ".join(r.choices(["x", "y", "zz"], k=r.randint(1, 12)))) for _ in range(100)] + [(None, "c", "same text")] * 25 + [(4, "d", "twin")] * 7
+    rows += [(900, "a", "long " * 60_000), (901, "b", None), (902, None, " \n")]
+    df = spark.createDataFrame([(*x, "clash", n) for n, x in enumerate(rows)], "doc_id long, source string, text string, size string, n int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 150, 4)] + [(None, 1), (0, 1)], "doc_id long, quality int")
+    weighted = mixing.labelled(df, labels, name="__w")
+    want = Counter()
+    for x in mixing.mixed(weighted, weight_col="__w").collect():
+        if x.size:
+            want[x.doc_id, x.source, x.size] += x.taken // x.size
+    out = mixing.materialised(weighted, mixing.cutoffs(weighted, weight_col="__w"), weight_col="__w").drop("__w")
+    assert out.columns == df.columns
+    got = Counter((x.doc_id, x.source, len(x.text.split())) for x in out.collect())
+    assert got == +want and len(got) > 150
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, source, text in rows:
+        sizes[source] += len((text or "").split())
+    for (_, source, size), n in got.items():
+        taken[source] += size * n
+    for source, target in waterfill(sizes, (3.0, 1.0, 2.0), 1.5, 2.0).items():
+        assert abs(taken[source] - target) <= (30_001 if source == "a" else 7)
+    assert mixing.materialised(df.limit(0), mixing.cutoffs(df.limit(0))).count() == 0
+
+
 # --- nearest neighbours
 
 
