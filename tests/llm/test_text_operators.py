@@ -144,13 +144,41 @@ def test_line_dedup_repeated_and_empty(spark):
 
 
 def test_line_runs_compact_by_level(spark):
-    runs = linededup.LineRuns(spark, fanout=2, min_docs=100)
+    runs = linededup.LineRuns(spark, fanout=2, min_docs=4)
+    lines = runs.hashed(spark.createDataFrame([(k, f"a\nb{k}") for k in range(4)] + [(0, "a")], "part int, text string"))
     for k in range(4):
-        runs.append(spark.createDataFrame([(f"a\nb{k}",)], "text string"))
+        runs.append(spark.table(lines).where(F.col("part") == k).select("digest", "docs"))
     assert [level for level, _ in runs.runs] == [2]
-    stored = {r.docs for r in spark.read.parquet(runs.runs[0][1]).collect()}
-    assert stored == {4, 1}
+    assert Counter(r.docs for r in spark.table(runs.runs[0][1]).collect()) == Counter({5: 1, 1: 4})
+    assert runs.frequent().count() == 1 and [spark.table(t).count() for t in runs.known] == [0, 0, 1]
+    later = runs.without_known(spark.table(runs.runs[0][1]))
+    assert later.count() == 4
+    names = list(runs.tables)
     runs.delete()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_runs_are_merged_without_exchange(spark):
+    """Anti-joins and merges read sorted buckets: the hash table's write holds the only exchange."""
+    runs = linededup.LineRuns(spark, fanout=2, min_docs=2)
+    lines = runs.hashed(spark.createDataFrame([(k % 3, f"a\nb\nc{k}") for k in range(40)], "part int, text string"))
+    for k in range(3):
+        runs.append(spark.table(lines).where(F.col("part") == k).select("digest", "docs"))
+    assert runs.known
+    for df in (runs.without_known(spark.table(lines).where("part = 2").select("digest", "docs")), runs.frequent()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+    assert "SortMergeJoin" in runs.without_known(spark.table(lines).select("digest", "docs"))._jdf.queryExecution().executedPlan().toString()
+    runs.delete()
+
+
+def test_line_dedup_of_long_texts_and_copies(spark):
+    """Long texts whole, and copies without ids, on both sides of the broadcast limit."""
+    shared = "x" * 300_000
+    data = spark.createDataFrame([(None, f"{shared}\nown\n{'y ' * 400_000}")] * 9 + [(1, f"{shared.upper()}\nelse")] + [(None, None)], "doc_id long, text string")
+    for limit in (500_000, 0):
+        got = linededup.deduplicated(data, min_docs=10, broadcast_limit=limit).collect()
+        assert Counter((r.doc_id, len(r.text), r.n_lines, r.n_dropped) for r in got) == Counter({(None, 800_004, 3, 1): 9, (1, 4, 2, 1): 1, (None, 0, 1, 0): 1})
 
 
 def test_line_dedup_equals_sql(spark):
