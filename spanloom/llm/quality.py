@@ -1,11 +1,13 @@
 """Quality selection by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Features are words (case kept) and runs of punctuation, with ``orders`` also longer n-grams of words, hashed to a fixed
-number of buckets. The
-raw model counts all documents, the target model the labelled good ones; their log-ratio per bucket is a vector of bounded
-size that is broadcast. A document's log-weight is the mean log-ratio of its features times ``sharpness`` (weights of long
-and short texts are then comparable); adding Gumbel noise hashed from its id and taking the k largest draws k documents
-without replacement in proportion to their weights.
+Features are runs of one and two words (single words with their case) and runs of punctuation, hashed to a fixed number of
+buckets. The raw model counts all documents, the target model the labelled good ones; their log-ratio per bucket is a
+vector of bounded size that is broadcast. A document's log-weight is the log-ratio of the two models for its text: the sum
+over its features. Adding Gumbel noise hashed from its id and taking the k largest draws k documents without replacement
+in proportion to their weights.
+
+Sums grow with length, so between long texts the noise decides little. ``per_feature`` replaces the sum by that many
+times the mean: an option, not the method.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def _marks() -> np.ndarray:
     return np.array([0 if c.isalnum() or c.isspace() else ord(c) for c in map(chr, range(_TOP))], np.uint32)
 
 
-def features(texts: list[str], n_buckets: int, orders: tuple[int, ...] = (1,)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def features(texts: list[str], n_buckets: int, orders: tuple[int, ...] = (1, 2)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Families of features: buckets of all texts in order, and where each text's begin."""
     families = [(2 * n, (lambda c: fold(c, _cased())) if n == 1 else fold_alnum, n) for n in orders]
     for salt, folding, n in [*families, (1, lambda c: fold(c, _marks()), 1)]:
@@ -57,7 +59,7 @@ def _count(n_buckets: int, orders: tuple[int, ...]):
     return count
 
 
-def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 1 << 18, orders: tuple[int, ...] = (1,), smoothing: float = 3.0, max_good: int = 50_000) -> np.ndarray:
+def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = 1 << 18, orders: tuple[int, ...] = (1, 2), smoothing: float = 10.0, max_good: int = 50_000) -> np.ndarray:
     """Log-ratio of target to raw probability for each bucket.
 
     ``good`` lists ids of target documents; at most ``max_good`` of them, by hash order, make the target model (their list
@@ -77,8 +79,8 @@ def fit(docs: DataFrame, good: DataFrame, *, id_col: str = "doc_id", text_col: s
     return np.log((target + smoothing) / (expected + smoothing))
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = (1,)) -> DataFrame:
-    """``doc_id, n_features, log_ratio``: the mean log-ratio of each document's features, 0 for a text without any."""
+def scored(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """``doc_id, n_features, log_ratio``: the summed log-ratio of each document's features, 0 for a text without any."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def scored(docs: DataFrame, ratio: np.ndarray, *, id_col: str = "doc_id", text_c
                     if len(full):
                         total[begin + full] += np.add.reduceat(shared.value[buckets], starts[full])
                     n[begin : begin + len(texts)] += counts
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(total / np.maximum(n, 1), pa.float64())], ["doc_id", "n_features", "log_ratio"])
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_features", "log_ratio"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, n_features long, log_ratio double")
 
@@ -121,17 +123,20 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, orders: tuple[int, ...] = (1,), sharpness: float = 200.0, seed: int = 29) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, orders: tuple[int, ...] = (1, 2), per_feature: float | None = None, seed: int = 29) -> DataFrame:
     """``doc_id, n_features, log_ratio, key, kept`` for every document: kept are the k with the largest Gumbel keys.
 
     ``labels`` has ``doc_id, quality, toxic``; target documents have quality 1 and toxic 0. k is ``share`` of the rows,
-    by default the share of target documents among labelled ones (1 without labels). A text without features has
-    log-ratio 0, the corpus average. Keys are equal only in rows that repeat an id and text; rows that tie with the k-th
-    key are kept together. Null ids share one noise value. An empty table gives no rows.
+    by default the share of target documents among labelled ones (1 without labels). The log-weight is ``log_ratio``, or
+    with ``per_feature`` that many times its mean. A null, empty or featureless text has log-ratio 0, the corpus average;
+    very long texts are read whole. Keys are equal only in rows that repeat an id and text; rows that tie with the k-th
+    key are kept together. Null ids share one noise value. Other columns are not read, whatever their names. An empty
+    table gives no rows.
     """
     is_good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     ratio = fit(docs, labels.where(is_good), id_col=id_col, text_col=text_col, orders=orders)
-    keyed = scored(docs, ratio, id_col=id_col, text_col=text_col, orders=orders).withColumn("key", F.col("log_ratio") * sharpness + gumbel(F.coalesce("doc_id", F.lit(-1)), seed))
+    weight = F.col("log_ratio") if per_feature is None else F.col("log_ratio") / F.greatest("n_features", F.lit(1)) * per_feature
+    keyed = scored(docs, ratio, id_col=id_col, text_col=text_col, orders=orders).withColumn("key", weight + gumbel(F.coalesce("doc_id", F.lit(-1)), seed))
     keyed = written(keyed, "quality")
     n = keyed.count()
     if share is None:

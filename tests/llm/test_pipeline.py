@@ -102,7 +102,27 @@ def test_empty_documents(spark, corpus, tmp_path):
 def test_extra_columns_pass_through(spark, corpus):
     folder, *_ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("score", F.lit("clash")).withColumn("size", F.lit(1)).withColumn("kept", F.lit(True))
+    docs = docs.withColumn("run", F.lit("r")).withColumn("Shard", F.lit("s")).withColumn("version", F.lit(0))
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, folder)
-        assert docs.columns[-3:] == ["score", "size", "kept"]
-    assert docs.count() > 0
+        assert docs.columns[-6:] == ["score", "size", "kept", "run", "Shard", "version"]
+    docs = corpus_pipeline.written(docs, "test-extra")
+    out = corpus_pipeline.STAGES[4][1](spark, docs, folder)
+    assert out.columns == ["doc_id", "run", "shard", "version", "n_chars"] and out.count() == docs.count() > 0
+
+
+def test_rows_without_ids_and_repeated_ids(spark, corpus):
+    """Every row is its own document: two texts under one id both go through, and so do rows without an id."""
+    folder, rows, _ = corpus
+    clean = [x for i, x in enumerate(rows[:160]) if i % 10]
+    odd = [(7 if i % 2 else None, x[1], x[2], "z", len(x[1])) for i, x in enumerate(clean[:30])]
+    docs = spark.createDataFrame(odd + odd[:4], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.written(stage(spark, docs, folder), f"odd-{name}")
+    assert Counter((x.doc_id, x.text) for x in docs.collect()) == Counter((x[0], x[1]) for x in odd)
+    mixed = corpus_pipeline.written(corpus_pipeline.mix(spark, docs, folder), "odd-mix")
+    size = sum(len(x[1].split()) for x in odd)
+    assert abs(mixed.agg(F.sum(F.size(F.split("text", " ")))).first()[0] - 1.5 * size) <= 60
+    assert corpus_pipeline.shard(spark, mixed, folder).count() == mixed.count()
+
+
