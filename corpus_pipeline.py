@@ -1,7 +1,9 @@
 """A training corpus from raw documents: language, copies, benchmark leaks, source mix, shards.
 
 Each stage takes ``(spark, docs, sf_dir)``; :func:`run` writes its result as Parquet and hands what is read back to the next
-stage. All stages but the last return the columns of ``documents``.
+stage. All stages but the last return the columns of ``documents``, and other columns that come with them, whatever their
+names. Null texts and texts without letters go in the first stage; repeated rows are one document from the second on; null
+ids, empty tables and very long texts pass through all stages.
 """
 
 from __future__ import annotations
@@ -10,36 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, langid, minhash, mixing, shards
-from spanloom.llm.queries import quality_weighted
 from spanloom.llm.scratch import new_folder, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: without letters, or with a posterior under one half, they go."""
+    """Documents in a known language: null, empty, without letters, or with a posterior under one half, they go."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 0.8)."""
-    return minhash.without_copies(docs, minhash.near_duplicates(docs, words=5, percent=80, folding="spaced"))
+    """One document of each group of near copies (five-word shingles, 0.8): each row by its own text, the smallest id stays."""
+    return minhash.deduplicated(docs, words=5, percent=80, folding="spaced")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; rows are judged by their text alone."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their shares: a document is repeated for each epoch that takes it, and goes if the mix takes none of it."""
-    counted = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    weighted = quality_weighted(counted, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.materialised(docs, mixing.mixed(weighted, size_col="size", weight_col="weight"))
+    """Sources in their shares: a document is repeated for each epoch that takes it, and goes if the mix takes none of it.
+
+    Rows are judged one by one, also where ids repeat or are missing; documents without words go.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    content = F.when(F.col("doc_id").isNull(), mixing.content_key(F.col("text")))
+    counted = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), content.alias("content"))
+    cuts = mixing.cutoffs(mixing.labelled(counted, labels), size_col="size", weight_col="weight", content_col="content")
+    return mixing.materialised(mixing.labelled(docs, labels, name="__weight"), cuts, weight_col="__weight").drop("__weight")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A compacted store of the corpus; returns where each document lies."""
+    """A compacted store of the corpus, of every row as it is; returns where each lies: ``doc_id, run, shard, version, n_chars``."""
     store = shards.sharded(docs, new_folder(spark, "corpus"))
-    return store.read().select("doc_id", "run", "shard", "version", F.length("text").cast("long").alias("n_chars"))
+    run, number, version = store.own_columns(docs.columns)
+    return store.read().select("doc_id", F.col(run).alias("run"), F.col(number).alias("shard"), F.col(version).alias("version"), F.length("text").cast("long").alias("n_chars"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
