@@ -55,12 +55,12 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def parameter_cost(base: list[str], head: list[str]) -> int:
-    """Least cost of turning one parameter list into another: 2 to add or drop a name, 3 to rename in place, 0 to keep."""
-    row = [2 * j for j in range(len(head) + 1)]
+    """Least number of names to add, drop or replace that turns one parameter list into another."""
+    row = list(range(len(head) + 1))
     for i, name in enumerate(base, 1):
-        before, row = row, [2 * i]
+        before, row = row, [i]
         for j, other in enumerate(head, 1):
-            row.append(min(before[j - 1] + (0 if name == other else 3), before[j] + 2, row[-1] + 2))
+            row.append(min(before[j - 1] + (name != other), before[j] + 1, row[-1] + 1))
     return row[-1]
 
 
@@ -68,6 +68,61 @@ def _costs(base: pd.Series, head: pd.Series) -> pd.Series:
     return pd.Series([parameter_cost(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(base, head, strict=True)])
 
 
+def _aligned(base: list[dict], head: list[dict]) -> list[tuple[int | None, int | None]]:
+    """Pairs of positions of a cheapest alignment by name, from the front: a pair before an addition, an addition before a removal."""
+    rest = [[parameter_cost([p["name"] for p in base[i:]], [p["name"] for p in head[j:]]) for j in range(len(head) + 1)] for i in range(len(base) + 1)]
+    out, i, j = [], 0, 0
+    while i < len(base) or j < len(head):
+        both = i < len(base) and j < len(head)
+        if both and rest[i][j] == rest[i + 1][j + 1] + (base[i]["name"] != head[j]["name"]):
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif j < len(head) and rest[i][j] == rest[i][j + 1] + 1:
+            out.append((None, j))
+            j += 1
+        else:
+            out.append((i, None))
+            i += 1
+    return out
+
+
+def signature_changes(base: dict | None, head: dict) -> list[str]:
+    """Kinds of change between two signatures ``{params, returns, async}``, each once, in the order they are met; none without a base."""
+    if base is None:
+        return []
+    found = ["async-changed"] if bool(base["async"]) != bool(head["async"]) else []
+    old, new = list(base["params"] if base["params"] is not None else []), list(head["params"] if head["params"] is not None else [])
+    for i, j in _aligned(old, new):
+        if i is None:
+            found.append("optional-param" if new[j]["optional"] or new[j]["rest"] else "required-param")
+        elif j is None:
+            found.append("param-removed")
+        else:
+            a, b = old[i], new[j]
+            if a["type"] != b["type"]:
+                found.append("type-changed")
+            if bool(a["optional"]) != bool(b["optional"]):
+                found.append("optional-param-changed" if b["optional"] else "required-param")
+            elif a["default"] is not None and b["default"] is not None and a["default"] != b["default"]:
+                found.append("default-changed")
+    found = list(dict.fromkeys(found))
+    return found + (["return-changed"] if (base["returns"] or None) != (head["returns"] or None) else [])
+
+
+def _kinds(base: pd.DataFrame, head: pd.DataFrame) -> pd.Series:
+    known = base["params"].notna() | base["returns"].notna() | base["async"].notna()
+    return pd.Series([signature_changes(b if k else None, h) for b, h, k in zip(base.to_dict("records"), head.to_dict("records"), known, strict=True)])
+
+
+def signature_kinds(base: Column, head: Column) -> Column:
+    """Kinds of change of two structs ``params array<struct<name, type, optional, rest, default>>, returns, async``.
+
+    ``base`` is null, or has ``async`` null, where a function is new. The alignment is by names, so an added parameter does not
+    change those behind it. Lists of parameters are short; a task holds one pair at a time.
+    """
+    return F.pandas_udf(_kinds, "array<string>")(base, head)
+
+
 def token_edits(a, b) -> Column:
     """Edits between two token arrays; null where the pair is over the work limit."""
     return F.pandas_udf(_edits, EDITS)(a, b)

@@ -1,50 +1,108 @@
-"""Source lines: comments taken out across lines, and calls on a line."""
+"""Source lines: comments taken out across lines, calls on a line, words that a line adds."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: File types by the comments they have.
+HASH_FILES = re.compile(r"\.(py|sh|rb|ya?ml|toml)$")
+SLASH_FILES = re.compile(r"\.(go|[cm]?[jt]sx?|java|kt|rs|c|h|cc|cpp|cs|swift|php|scala)$")
 #: Words before a bracket that are no calls.
-NO_CALLS = frozenset("if for while switch catch return function typeof await new in of and or not with elif print def class lambda super import func range defer go select case throw".split())
-_STRINGS = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)""")
-_CALL = re.compile(r"([A-Za-z_$][\w$]*)\s*\(")
-
-
-def without_comments(line: str, inside: bool, hash_comments: bool = False) -> tuple[str, bool]:
-    """A line without comments and the text of its strings; ``inside`` tells whether a block comment is open before and after."""
+NO_CALLS = frozenset("""
+    if for while switch catch return typeof function def func elif with
+    assert in of not and or lambda yield await else do case throw
+    sizeof instanceof void delete except select go defer super this synchronized
+""".split())
+#: Methods of a language's own strings, lists and promises.
+HELPER_METHODS = frozenset("""
+    map filter reduce forEach some every find findIndex flatMap flat includes indexOf
+    lastIndexOf slice splice concat join split push pop shift unshift sort reverse
+    keys values entries trim trimStart trimEnd startsWith endsWith toLowerCase toUpperCase
+    padStart padEnd replace replaceAll match matchAll test exec toString toFixed charAt
+    charCodeAt codePointAt at fill then catch finally bind call apply append extend
+    strip lower upper format items pipe
+""".split())
+#: A language's own functions and namespaces.
+HELPERS = frozenset("""
+    String Number Boolean BigInt Symbol Array Object JSON Math Reflect parseInt parseFloat
+    isNaN isFinite encodeURIComponent decodeURIComponent len str int float bool list dict
+    set tuple isinstance range enumerate zip sorted append make cap copy panic
+""".split())
+#: A dotted name with optional type arguments before a bracket, what makes it a declaration, and a quoted string.
+CALL = re.compile(r"([A-Za-z_$][\w$]*(?:\s*\??\.\s*[A-Za-z_$][\w$]*)*)\s*(?:<[\w$.,\s<>[\]|&?]*>)?\s*\(", re.A)
+DECLARED = re.compile(r"(?:\bfunction\s*\*?|\bdef|\bfunc(?:\s*\([^)]*\))?|\bclass|\binterface|\btype)\s*$", re.A)
+QUOTED = re.compile(r"""(["'`])(?:\\.|(?!\1).)*\1""")
+
+_STRING = r""""(?:\\.?|[^"\\])*"?|'(?:\\.?|[^'\\])*'?|`(?:\\.?|[^`\\])*`?"""
+_IN_SLASH = re.compile(rf"{_STRING}|(?P<open>/\*)|(?P<rest>//.*)", re.S)
+_IN_HASH = re.compile(rf"{_STRING}|(?P<rest>#.*)", re.S)
+
+
+@dataclass
+class Open:
+    """What is open at the end of a line: a block comment, or a docstring by its quotes."""
+
+    block: bool = False
+    doc: str = ""
+
+
+def without_comments(line: str, path: str, open_: Open) -> str:
+    """A line without comments; strings stay. ``open_`` is carried from line to line of a file. Other file types stay as they are."""
+    if HASH_FILES.search(path):
+        text = line.strip()
+        if open_.doc:
+            open_.doc = "" if open_.doc in line else open_.doc
+            return ""
+        for quotes in ('"""', "'''"):
+            if text.startswith(quotes):
+                open_.doc = "" if quotes in text[3:] else quotes
+                return ""
+        return _IN_HASH.sub(lambda m: "" if m["rest"] else m[0], line)
+    if not SLASH_FILES.search(path):
+        return line
     out, at = [], 0
     while at < len(line):
-        if inside:
+        if open_.block:
             end = line.find("*/", at)
             if end < 0:
-                return "".join(out), True
-            at, inside = end + 2, False
-        elif m := _STRINGS.match(line, at):
-            out.append(m[0][0] * 2)
-            at = m.end()
-        elif line.startswith("/*", at):
-            at, inside = at + 2, True
-        elif line.startswith("//", at) and not hash_comments or hash_comments and line[at] == "#":
+                break
+            open_.block, at = False, end + 2
+            continue
+        m = _IN_SLASH.search(line, at)
+        if not m:
+            out.append(line[at:])
+            break
+        out.append(line[at : m.start()])
+        if m["rest"]:
             break
+        if m["open"]:
+            open_.block = True
         else:
-            out.append(line[at])
-            at += 1
-    return "".join(out), inside
+            out.append(m[0])
+        at = m.end()
+    return "".join(out)
 
 
-def calls_on(code: str, own_name: str | None = None) -> list[str]:
-    """Names called on a line of code without comments, first-seen order; declarations and the function itself left out."""
+def calls_on(line: str, own_name: str | None = None, hash_comments: bool = False) -> list[str]:
+    """Names called on a line, in order, dotted ones whole; without declarations, the function itself, calls on a result, and a language's own helpers."""
+    code = QUOTED.sub('""', re.sub(r"/\*.*?\*/", " ", line)).split("//", 1)[0]
+    if hash_comments:
+        code = code.split("#", 1)[0]
     found = []
-    for m in _CALL.finditer(code):
-        before = code[: m.start()].rstrip()
-        if m[1] not in NO_CALLS and m[1] != own_name and not re.search(r"\b(function|def|func|class|new)$", before):
-            found.append(m[1])
-    return list(dict.fromkeys(found))
+    for m in CALL.finditer(code):
+        parts = re.sub(r"\s+", "", m[1]).replace("?.", ".").split(".")
+        name, before = ".".join(parts), code[: m.start()]
+        helper = parts[0] in HELPERS or len(parts) > 1 and parts[-1] in HELPER_METHODS and not parts[-2][:1].isupper()
+        if name in NO_CALLS or parts[-1] == own_name or helper or DECLARED.search(before) or before.rstrip().endswith("."):
+            continue
+        found.append(name)
+    return found
 
 
 LINES = "path string, line int, code string, calls array<string>"
@@ -55,17 +113,66 @@ def code_lines(files: DataFrame) -> DataFrame:
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for path, text in zip(frame["path"], frame["text"], strict=True):
-                inside, hashes = False, bool(re.search(r"\.(py|sh|rb|ya?ml|toml)$", path or ""))
+                rows, open_, hashes = [], Open(), bool(HASH_FILES.search(path or ""))
                 for n, line in enumerate((text or "").split("\n"), 1):
-                    code, inside = without_comments(line, inside, hashes)
-                    rows.append((path, n, code, calls_on(code)))
-            yield pd.DataFrame(rows, columns=["path", "line", "code", "calls"])
+                    code = without_comments(line, path or "", open_)
+                    rows.append((path, n, code, list(dict.fromkeys(calls_on(code, hash_comments=hashes)))))
+                yield pd.DataFrame(rows, columns=["path", "line", "code", "calls"])
 
     return files.select("path", "text").mapInPandas(parse, LINES)
 
 
+#: Words that added lines share everywhere.
+_WORD, _LITERAL = re.compile(r"[A-Za-z_$][\w$]{5,}", re.A), re.compile(r"""\"([^"\\\n]{6,60})\"|'([^'\\\n]{6,60})'""")
+
+
+def words_of(code: str, common: frozenset[str] = frozenset()) -> list[str]:
+    """Words of six characters and more on a line of code, and short string literals with a letter, without the ``common`` ones."""
+    literals = [a or b for a, b in _LITERAL.findall(code)]
+    return [w for w in [*_WORD.findall(code), *(x for x in literals if re.search("[A-Za-z]", x))] if w not in common]
+
+
+ADDED = "run_id string, path string, token string"
+
+
+def added_words(hunk_rows: DataFrame, common: list[str] = ()) -> DataFrame:
+    """``run_id, path, token``: the distinct words that the added lines of each file hold, comments left out across a file's hunks in order.
+
+    ``hunk_rows`` is :func:`~spanloom.sources.changes.hunks`. A file's hunks are read in one task: they are one patch.
+    """
+    skip = frozenset(common)
+
+    def read(frame: pd.DataFrame) -> pd.DataFrame:
+        found, open_ = set(), Open()
+        for added in frame.sort_values("hunk_no")["added"]:
+            for line in added:
+                found.update(words_of(without_comments(line, frame["path"].iloc[0], open_), skip))
+        return pd.DataFrame({"run_id": frame["run_id"].iloc[0], "path": frame["path"].iloc[0], "token": sorted(found)}, columns=["run_id", "path", "token"])
+
+    return hunk_rows.where("path IS NOT NULL").select("run_id", "path", "hunk_no", "added").groupBy("run_id", "path").applyInPandas(read, ADDED)
+
+
+def word_files(wanted: DataFrame, files: DataFrame, truncated: bool = False) -> DataFrame:
+    """``token, files, partial``: in how many files each wanted word or phrase occurs, between characters that are no part of words; 0 where in none.
+
+    ``files`` has ``path, text``. Words are looked up by an equi join on each text's words; only phrases with other characters
+    are searched in the texts. ``partial`` repeats whether the files are known to be cut short.
+    """
+    tokens = wanted.select("token").distinct()
+    words = tokens.where(F.col("token").rlike(r"^\w+$"))
+    of_words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("token")).join(words, "token").select("token", "path").distinct()
+    # A phrase is joined on its first word, then looked for in the text.
+    phrases = tokens.where(~F.col("token").rlike(r"^\w+$")).withColumn("head", F.regexp_extract("token", r"(\w+)", 1))
+    edge = lambda c: F.when(c.rlike(r"^\w"), F.lit(r"(?<!\w)")).otherwise(F.lit(""))
+    tail = lambda c: F.when(c.rlike(r"\w$"), F.lit(r"(?!\w)")).otherwise(F.lit(""))
+    pattern = F.concat(edge(F.col("token")), F.lit(r"\Q"), F.col("token"), F.lit(r"\E"), tail(F.col("token")))
+    heads = files.select("path", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("head"))
+    of_phrases = heads.join(phrases, "head").where(F.regexp_like("text", pattern)).select("token", "path").distinct()
+    counts = of_words.union(of_phrases).groupBy("token").agg(F.count("*").alias("files"))
+    return tokens.join(counts, "token", "left").select("token", F.coalesce("files", F.lit(0)).alias("files"), F.lit(truncated).alias("partial"))
+
+
 def call_changes(base: DataFrame, head: DataFrame, keys: list[str], most: int = 12) -> DataFrame:
     """Calls that each function gained and lost between two sides; both have the keys and ``line, calls``."""
     from ..operators.sets import both_ways

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import names_match
+
 
 def merged(lists: DataFrame) -> DataFrame:
     """Rows of several answers as one per ``change, path, pos``: all call sites once, and the label only if all agree on it.
@@ -85,13 +87,91 @@ def covered_cards(answer: DataFrame, cards: DataFrame) -> DataFrame:
     return shared.join(total, "card").where("n = total").select("card", "answer_card")
 
 
-def grouped_requests(prs: DataFrame, teams: DataFrame, login: str) -> DataFrame:
-    """Pull requests by who must act: ``requested`` of the user, of one of the teams (or a parent team), own, others.
+def grouped_requests(prs: DataFrame, teams: DataFrame | None, login: str | None) -> DataFrame:
+    """Pull requests by who must act: ``own`` first, then ``requested`` of the user or one of the teams (or a parent team), else ``others``.
+
+    ``prs`` has ``number, author, reviewers array<string>, teams array<struct<id: long, name: string>>``; ``teams`` has ``id, parent_id``
+    of the user's teams, null if they could not be loaded. Logins are compared without case. ``via`` says why: ``you``, then the teams' names in their order.
+    """
+    me = F.lower(F.lit(login)) if login else F.lit(None).cast("string")
+    own = F.coalesce(F.lower("author") == me, F.lit(False))
+    direct = F.coalesce(F.exists("reviewers", lambda r: F.lower(r) == me), F.lit(False))
+    if teams is None:
+        rows = prs.withColumn("__teams", F.array().cast("array<string>"))
+    else:
+        mine = teams.select("id").union(teams.where("parent_id IS NOT NULL").select("parent_id")).distinct()
+        asked = prs.select("number", F.posexplode("teams").alias("at", "t")).join(mine, F.col("t.id") == F.col("id"))
+        asked = asked.groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "t.name"))), lambda x: x["name"]).alias("__teams"))
+        rows = prs.join(asked, "number", "left").withColumn("__teams", F.coalesce("__teams", F.array().cast("array<string>")))
+    via = F.concat(F.when(direct, F.array(F.lit("you"))).otherwise(F.array().cast("array<string>")), F.col("__teams"))
+    group = F.when(own, "own").when(F.size(via) > 0, "requested").otherwise("others")
+    return rows.select("number", group.alias("grp"), F.when(group == "requested", via).otherwise(F.array().cast("array<string>")).alias("via"))
+
+
+def called_by_name(affected: DataFrame, callers: DataFrame) -> DataFrame:
+    """Callers that an agent's words name: ``change, name`` of what is affected with ``change, label`` of callers, where one holds the other."""
+    return affected.join(callers.select("change", "label"), "change").where(names_match(F.col("label"), F.col("name"))).select("change", "name", "label")
+
+
+def changed_keys(symbols: DataFrame) -> DataFrame:
+    """``key, id``: where a changed symbol is met as a caller, ``path#pos``; a constructor also at its class's name. The first of a key counts.
+
+    ``symbols`` has ``id, path, name_pos, class_name_pos, is_constructor, ord``.
+    """
+    at = lambda c: F.concat("path", F.lit("#"), F.col(c).cast("string"))
+    own = symbols.select(at("name_pos").alias("key"), "id", F.struct(F.lit(0).alias("k"), "ord").alias("o"))
+    made = symbols.where("is_constructor AND class_name_pos IS NOT NULL").select(at("class_name_pos").alias("key"), "id", F.struct(F.lit(1).alias("k"), "ord").alias("o"))
+    return own.unionByName(made).groupBy("key").agg(F.min_by("id", "o").alias("id"))
+
+
+def change_edges(callers: DataFrame, keys: DataFrame) -> DataFrame:
+    """Edges between changes, ``callee, caller``, each once: callers ``change, path, pos, is_test`` that are changed themselves, without tests and loops."""
+    seen = callers.where("NOT is_test").select(F.col("change").alias("callee"), F.concat("path", F.lit("#"), F.col("pos").cast("string")).alias("key"))
+    return seen.join(keys, "key").select("callee", F.col("id").alias("caller")).where("callee <> caller").distinct()
+
+
+def worktree_files(changed: DataFrame, untracked: DataFrame, mode: str) -> DataFrame:
+    """Changed files ``path, status, ord`` with the untracked ones as added, which only modes that diff the worktree see; a listed path is not added again."""
+    if mode not in ("working", "checkpoint"):
+        return changed
+    new = untracked.select("path").distinct().join(changed.select("path"), "path", "left_anti")
+    return changed.unionByName(new.select("path", F.lit("added").alias("status"), F.lit(None).cast(changed.schema["ord"].dataType).alias("ord")))
+
+
+def routed(files: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``files`` with ``language`` and ``is_test``: rules ``(language, pattern of its files, pattern of its tests)``, of which the first that matches a path owns it."""
+    language, test = F.lit(None).cast("string"), F.lit(False)
+    for name, own, tests in reversed(rules):
+        fits = F.col("path").rlike(own)
+        language, test = F.when(fits, name).otherwise(language), F.when(fits, F.col("path").rlike(tests)).otherwise(test)
+    return files.withColumn("language", language).withColumn("is_test", test)
+
+
+#: Fixed values by language: files, names that generators give, the header that is searched, and the mark in it.
+GENERATED = (
+    (r"\.go$", r"(\.pb\.go|\.pb\.gw\.go|_gen\.go|_generated\.go)$|(^|/)zz_generated[^/]*\.go$", r"(?ms)\A(.*?)(?:^\s*package\s|\z)", r"(?m)^// Code generated .* DO NOT EDIT\.\r?$"),
+    (r"\.pyi?$", r"_pb2(_grpc)?\.pyi?$", r"\A((?:[ \t]*+(?:#[^\n]*+)?(?:\n|\z))*+)", r"(?m)^\s*#\s*Generated by\b|^\s*#.*@generated\b"),
+    (r"\.cs$", r"(?i)\.(g|g\.i|designer|generated)\.cs$", r"(?s)\A((?:[\s\x{FEFF}]|//[^\n]*+|/\*.*?\*/|#[^\n]*+|(?:global\s+)?using\s[^;]*+;|extern\s+alias\s[^;]*+;)*+)", r"(?s)(//[^\n]*|/\*.*)<auto-generated"),
+)
+
+
+def is_generated(path: Column, text: Column, head: int = 8192) -> Column:
+    """Whether a file is generated: by its name, or by its language's mark in what comes before the first code, of the first ``head`` characters."""
+    out, first = F.lit(False), F.substring(text, 1, head)
+    for files, names, header, mark in reversed(GENERATED):
+        out = F.when(path.rlike(files), path.rlike(names) | F.coalesce(F.regexp_extract(first, header, 1).rlike(mark), F.lit(False))).otherwise(out)
+    return out
+
+
+def with_cards(changes: DataFrame, group: str, least: int = 4) -> DataFrame:
+    """Groups (runs) that get cards at all: those with ``least`` changes."""
+    return changes.groupBy(group).agg(F.count("*").alias("changes")).where(F.col("changes") >= least)
+
+
+def caller_rows(sites: DataFrame, most: int = 5) -> DataFrame:
+    """A row a caller with the lines of its first ``most`` call sites and how many there are: ``change, path, pos, label, lines, total``.
 
-    ``prs`` has ``number, author, reviewers array<string>, teams array<long>``; ``teams`` has ``id, parent_id`` of the user's teams.
-    ``via`` lists the teams through which a request comes.
+    ``sites`` has ``change, path, pos, label, line``.
     """
-    mine = teams.select("id").union(teams.where("parent_id IS NOT NULL").select("parent_id")).distinct()
-    asked = prs.select("number", F.explode("teams").alias("id")).join(mine, "id").groupBy("number").agg(F.array_sort(F.collect_list("id")).alias("via"))
-    group = F.when(F.array_contains("reviewers", login) | F.col("via").isNotNull(), "requested").when(F.col("author") == login, "own").otherwise("others")
-    return prs.join(asked, "number", "left").select("number", group.alias("grp"), F.coalesce("via", F.array().cast("array<long>")).alias("via"))
+    lines = F.array_sort(F.collect_list("line"))
+    return sites.groupBy("change", "path", "pos").agg(F.first("label").alias("label"), F.slice(lines, 1, most).alias("lines"), F.count("line").alias("total"))

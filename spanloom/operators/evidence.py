@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import informative
+
 #: The weight of each kind of signature change, heaviest first.
 KIND_WEIGHTS = {
     "new-throw": 80, "optional-param": 70, "optional-param-changed": 70, "default-changed": 65, "param-removed": 55, "async-changed": 45,
@@ -39,18 +41,34 @@ def caller_states(callers: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def repeated_patterns(edits: DataFrame, pattern: str, item: str, group: str, least_items: int = 5, least_groups: int = 2) -> DataFrame:
-    """Patterns that at least ``least_items`` items in ``least_groups`` groups share, with both counts."""
-    return edits.groupBy(pattern).agg(F.countDistinct(item).alias("items"), F.countDistinct(group).alias("groups")).where((F.col("items") >= least_items) & (F.col("groups") >= least_groups))
+def repeated_patterns(edits: DataFrame, pattern: str, item: str, group: str, least_items: int = 5, least_groups: int = 2, useful: Column | None = None) -> DataFrame:
+    """Patterns that at least ``least_items`` items in ``least_groups`` groups share, with both counts.
+
+    An item lies in one group, and ``edits`` has a row for each pattern and item at most, so items are counted by group and
+    the groups' counts added up. ``useful`` is a condition on rows (:func:`~spanloom.functions.text.informative` of edit keys).
+    """
+    known = edits.where(F.col(pattern).isNotNull()) if useful is None else edits.where(F.col(pattern).isNotNull() & useful)
+    by_group = known.groupBy(pattern, group).agg(F.count("*").alias("n"))
+    counts = by_group.groupBy(pattern).agg(F.sum("n").alias("items"), F.count("*").alias("groups"))
+    return counts.where((F.col("items") >= least_items) & (F.col("groups") >= least_groups))
 
 
-def settled_keys(edits: DataFrame, item: str, literal: str, shape: str, group: str) -> DataFrame:
-    """One key per item: ``literal`` where every literal edit of the item repeats, else ``shape`` where every shape does, else null."""
-    lit_ok = repeated_patterns(edits, literal, item, group).select(literal).withColumn("lit_ok", F.lit(True))
-    shp_ok = repeated_patterns(edits, shape, item, group).select(shape).withColumn("shp_ok", F.lit(True))
-    judged = edits.join(lit_ok, literal, "left").join(shp_ok, shape, "left").groupBy(item).agg(
-        F.bool_and(F.coalesce("lit_ok", F.lit(False))).alias("by_literal"), F.bool_and(F.coalesce("shp_ok", F.lit(False))).alias("by_shape"))
-    return judged.select(item, F.when(F.col("by_literal"), "literal").when(F.col("by_shape"), "shape").alias("level"))
+def settled_keys(edits: DataFrame, item: str, record: str, literal: str, shape: str, group: str, least_items: int = 5, least_groups: int = 2) -> DataFrame:
+    """``item, record, level`` for every hunk record with edits, and its ``shape``.
+
+    ``edits`` has a row for each edit: its item (in one group), its record, its ``literal`` key (null: too long for one) and the
+    ``shape`` of the whole record (null: says nothing). A record is ``literal`` where every key of it is an informative one that
+    repeats; else ``shape`` where its shape repeats among the records that are not literal; else null.
+    """
+    keys = edits.select(item, group, literal).distinct()
+    repeats = repeated_patterns(keys, literal, item, group, least_items, least_groups, informative(F.col(literal))).select(F.col(literal).alias("__literal"))
+    marked = edits.join(repeats, F.col(literal) == F.col("__literal"), "left")
+    records = marked.groupBy(item, record).agg(F.first(group).alias(group), F.first(shape).alias(shape), F.bool_and(F.col("__literal").isNotNull()).alias("__settled"))
+    open_ = records.where(~F.col("__settled") & F.col(shape).isNotNull()).select(item, group, shape).distinct()
+    shapes = repeated_patterns(open_, shape, item, group, least_items, least_groups).select(F.col(shape).alias("__shape"))
+    judged = records.join(shapes, F.col(shape) == F.col("__shape"), "left")
+    level = F.when(F.col("__settled"), "literal").when(F.col("__shape").isNotNull(), "shape")
+    return judged.select(item, record, level.alias("level"), F.when(level == "shape", F.col(shape)).alias(shape))
 
 
 def pooled(counts: DataFrame, key: str, n: str, least: int = 8) -> DataFrame:
@@ -61,16 +79,24 @@ def pooled(counts: DataFrame, key: str, n: str, least: int = 8) -> DataFrame:
 
 
 def strength(evidence: DataFrame, pair: list[str]) -> DataFrame:
-    """Distinct kinds of counted evidence for each pair, and all pieces. ``evidence`` has ``type`` and ``counted``."""
-    return evidence.groupBy(*pair).agg(F.countDistinct(F.when(F.col("counted"), F.col("type"))).alias("strength"), F.count("*").alias("pieces"))
+    """Distinct kinds of counted evidence for each pair, and all pieces; pairs without a counted kind go.
+
+    ``evidence`` has ``type`` and ``counted`` (false for a shared folder and for a weak or broad commit).
+    """
+    found = evidence.groupBy(*pair).agg(F.countDistinct(F.when(F.col("counted"), F.col("type"))).alias("strength"), F.count("*").alias("pieces"))
+    return found.where("strength > 0")
+
+
+#: First words of subjects that say little.
+WEAK_SUBJECT = r"(?i)^(chore|docs?|style|lint|format|wip|merge|revert)\b"
 
 
 def weak_commit(subject: Column) -> Column:
-    """Chores and the like, and subjects of fewer than three words."""
+    """Subjects that begin with a word of :data:`WEAK_SUBJECT`, or have fewer than three words."""
     text = F.trim(F.coalesce(subject, F.lit("")))
-    return text.rlike(r"(?i)^(chore|docs|style|test|tests|build|ci|refactor|merge|wip|fixup)\b") | (F.size(F.split(text, r"\s+")) < 3)
+    return text.rlike(WEAK_SUBJECT) | (F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))) < 3)
 
 
 def broad_commit(commit_files: Column, changed_files: Column) -> Column:
     """More than half of the changed files, where there are ten at least."""
-    return (changed_files >= 10) & (commit_files * 2 > changed_files)
+    return F.coalesce((changed_files >= 10) & (commit_files * 2 > changed_files), F.lit(False))

@@ -1,7 +1,10 @@
 """Closed integer spans ``[lo, hi]`` under an equi key: merge, overlap, containment, subtraction, nearest.
 
 A pure deletion between lines N and N + 1 is stored on doubled positions (``2 N + 1``), so every comparison stays integral.
-All joins have the key as an equi condition; Spark then sorts and splits skewed keys, and never plans a product.
+
+Joins of points and spans do not pair all rows of a key. A span lies in one or two cells of the grid whose cells are about as
+wide as itself, a point in one cell of each grid that spans use; they are joined on key, grid and cell, so a key with very many
+spans is dealt over many tasks and compares only what is near.
 """
 
 from __future__ import annotations
@@ -23,12 +26,6 @@ def widened(lo: Column, hi: Column, context: int = 3, least: int = 1) -> tuple[C
     return F.greatest(F.lit(least), lo - context), hi + context
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left_semi", tolerance: int = 0) -> DataFrame:
-    """Join of two span tables on the keys where spans lie within ``tolerance`` of each other (0: overlap)."""
-    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    return left.join(r, _same(keys) & (F.col("lo") <= F.col("__hi") + tolerance) & (F.col("hi") >= F.col("__lo") - tolerance), how)
-
-
 def _same(keys: list[str]) -> Column:
     condition = F.lit(True)
     for k in keys:
@@ -36,15 +33,39 @@ def _same(keys: list[str]) -> Column:
     return condition
 
 
+def stabbed(points: DataFrame, spans: DataFrame, keys: list[str], point: str, carried: list[Column] = ()) -> DataFrame:
+    """Points with each span that holds them: the points' columns, ``__lo, __hi`` and what is ``carried`` of the span. Points outside all spans go."""
+    level = F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))).cast("int")
+    cell = lambda c, n: F.call_function("shiftright", c.cast("long"), n)
+    sized = spans.where("lo <= hi").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), level.alias("__grid"), *carried)
+    levels = sized.agg(F.collect_set("__grid")).scalar()
+    both = F.array_distinct(F.array(cell(F.col("__lo"), F.col("__grid")), cell(F.col("__hi"), F.col("__grid"))))
+    dealt = sized.withColumn("__cell", F.explode(both))
+    asked = points.where(F.col(point).isNotNull()).withColumn("__g", F.explode(levels)).withColumn("__c", cell(F.col(point), F.col("__g")))
+    met = asked.join(dealt, _same(keys) & (F.col("__g") == F.col("__grid")) & (F.col("__c") == F.col("__cell")) & (F.col(point) >= F.col("__lo")) & (F.col(point) <= F.col("__hi")))
+    return met.drop("__g", "__c", "__grid", "__cell", *[f"__{k}" for k in keys])
+
+
+def _touching(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int = 0) -> DataFrame:
+    """Distinct ``keys, lo, hi`` of ``left`` that lie within ``tolerance`` of a span of ``right``: one begins inside the other."""
+    own = left.where("lo IS NOT NULL AND hi IS NOT NULL").select(*keys, "lo", "hi").distinct()
+    wide = right.select(*keys, (F.col("lo") - tolerance).alias("lo"), (F.col("hi") + tolerance).alias("hi")).distinct()
+    begins = stabbed(own, wide, keys, "lo").select(*keys, "lo", "hi")
+    starts = wide.select(*keys, F.col("lo").alias("__at")).distinct()
+    holds = stabbed(starts, own, keys, "__at").select(*keys, F.col("__lo").alias("lo"), F.col("__hi").alias("hi"))
+    return begins.union(holds).distinct()
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left_semi", tolerance: int = 0) -> DataFrame:
+    """Rows of ``left`` that lie (``left_semi``), or do not lie (``left_anti``), within ``tolerance`` of a span of ``right`` (0: overlap)."""
+    return left.join(_touching(left, right, keys, tolerance), [*keys, "lo", "hi"], how).select(*left.columns)
+
+
 def site_states(sites: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``state`` to call sites: ``unknown`` without a line, ``updated`` where a changed range overlaps, else ``untouched``."""
-    merged = merge_spans(changed, keys)  # disjoint ranges
-    r = merged.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    ids = sites.withColumn("__hit", F.lit(1))
-    hit = ids.join(r, _same(keys) & (F.col("lo") <= F.col("__hi")) & (F.col("hi") >= F.col("__lo")), "left_semi")
-    missed = ids.join(r, _same(keys) & (F.col("lo") <= F.col("__hi")) & (F.col("hi") >= F.col("__lo")), "left_anti")
-    missed = missed.withColumn("state", F.when(F.col("lo").isNull() | F.col("hi").isNull(), "unknown").otherwise("untouched"))
-    return hit.withColumn("state", F.lit("updated")).unionByName(missed).drop("__hit")
+    hit = _touching(sites, changed, keys).withColumn("__hit", F.lit(True))
+    state = F.when(F.col("lo").isNull() | F.col("hi").isNull(), "unknown").when(F.col("__hit"), "updated").otherwise("untouched")
+    return sites.join(hit, [*keys, "lo", "hi"], "left").withColumn("state", state).select(*sites.columns, "state")
 
 
 def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str = "at", rank: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -53,19 +74,49 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], point: str =
     One row per distinct (keys, point).
     """
     names = [c for c in spans.columns if c not in keys]
-    packed = F.struct((F.col("hi") - F.col("lo")).alias("size"), *[F.col(c) for c in rank], *[F.col(c).alias(f"_{c}") for c in names if c not in rank])
-    s = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], "lo", "hi", packed.alias("__span"))
+    packed = F.struct((F.col("hi") - F.col("lo")).alias("size"), *[F.col(c) for c in rank], *[F.col(c).alias(f"_{c}") for c in names if c not in rank]).alias("__span")
     wanted = points.select(*keys, point).distinct()
-    found = wanted.join(s, _same(keys) & (F.col(point) >= F.col("lo")) & (F.col(point) <= F.col("hi")), "left")
-    best = found.groupBy(*keys, point).agg(F.min("__span").alias("__span"))
+    found = stabbed(wanted, spans, keys, point, [packed]).select(*keys, point, "__span")
+    none = wanted.select(*keys, point, F.lit(None).cast(found.schema["__span"].dataType).alias("__span"))
+    best = found.unionByName(none).groupBy(*keys, point).agg(F.min("__span").alias("__span"))
     return best.select(*keys, point, *[F.col(f"__span.{c if c in rank else '_' + c}").alias(c) for c in names])
 
 
+def owners_of_ranges(ranges: DataFrame, spans: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
+    """``keys, lo, hi, id`` for each changed range and each span that owns a line of it, innermost per line.
+
+    Positions are doubled lines: a range of lines has even ends; a pure deletion is one odd position, and belongs only to a span that
+    holds the lines on both sides. A range meets new owners only where a span begins or ends, so only those lines are asked.
+    """
+    own = spans.select(*keys, F.col(id_col).alias("id"), "lo", "hi")
+    lines = ranges.where("lo % 2 = 0")
+    edges = own.select(*keys, F.explode(F.array("lo", "hi", F.col("hi") + 2)).alias("at")).distinct()
+    ends = lines.select(*keys, "lo", "hi", F.explode(F.array("lo", "hi")).alias("at"))
+    inside = stabbed(edges, lines.select(*keys, "lo", "hi").distinct(), keys, "at").select(*keys, F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), "at")
+    gaps = ranges.where("lo % 2 <> 0").select(*keys, "lo", "hi", F.col("lo").alias("at"))
+    asked = ends.unionByName(inside).unionByName(gaps).distinct()
+    best = innermost(asked.select(*keys, "at"), own, keys)
+    held = best.where("id IS NOT NULL").select(*keys, "at", "id")
+    return asked.join(held, [*keys, "at"]).select(*keys, "lo", "hi", "id").distinct()
+
+
+def row_at(points: DataFrame, rows: DataFrame, outside: DataFrame, keys: list[str], point: str = "at") -> DataFrame:
+    """Where a line leads: the innermost row that holds it, else the row of top-level lines that does, else the file: ``keys, at, id, level``.
+
+    ``rows`` and ``outside`` have the keys, ``id, lo, hi``.
+    """
+    inner = innermost(points, rows.select(*keys, "id", "lo", "hi"), keys, point).select(*keys, point, F.col("id").alias("__row"))
+    outer = innermost(points, outside.select(*keys, "id", "lo", "hi"), keys, point).select(*keys, point, F.col("id").alias("__outside"))
+    level = F.when(F.col("__row").isNotNull(), "row").when(F.col("__outside").isNotNull(), "outside").otherwise("file")
+    return inner.join(outer, [*keys, point]).select(*keys, point, F.coalesce("__row", "__outside").alias("id"), level.alias("level"))
+
+
 def holders_without_smaller(spans: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
     """Spans that contain no strictly smaller span of their key."""
-    other = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    inside = (F.col("__lo") >= F.col("lo")) & (F.col("__hi") <= F.col("hi")) & (F.col("__hi") - F.col("__lo") < F.col("hi") - F.col("lo"))
-    return spans.join(other.distinct(), _same(keys) & inside, "left_anti")
+    own = spans.select(*keys, "lo", "hi").distinct()
+    others = own.select(*keys, F.col("lo").alias("__at"), F.col("hi").alias("__end"))
+    holding = stabbed(others, own, keys, "__at").where((F.col("__end") <= F.col("__hi")) & (F.col("__end") - F.col("__at") < F.col("__hi") - F.col("__lo")))
+    return spans.join(holding.select(*keys, F.col("__lo").alias("lo"), F.col("__hi").alias("hi")).distinct(), [*keys, "lo", "hi"], "left_anti").select(*spans.columns)
 
 
 def subtract(spans: DataFrame, minus: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,9 +139,44 @@ def subtract(spans: DataFrame, minus: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest_line(wanted: DataFrame, spans: DataFrame, keys: list[str], preferred: str = "preferred") -> DataFrame:
-    """Line of the key's spans that is nearest to ``preferred``; the earlier of two equally near ones. ``line`` is null without spans."""
-    s = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], "lo", "hi")
-    line = F.when(F.col("lo").isNotNull(), F.least(F.greatest(F.col(preferred), F.col("lo")), F.col("hi")))
-    found = wanted.join(s, _same(keys), "left").withColumn("__line", line)
-    best = F.min(F.struct(F.abs(F.col("__line") - F.col(preferred)).alias("d"), F.col("__line").alias("line")))
-    return found.groupBy(*keys, preferred).agg(best.alias("b")).select(*keys, preferred, "b.line")
+    """Line of the key's spans that is nearest to ``preferred``; the earlier of two equally near ones. ``line`` is null without spans.
+
+    Spans and wanted lines of a key are read once in order and once in reverse: the span that reaches furthest before a line, and
+    the next that begins behind it.
+    """
+    number = lambda: F.lit(None).cast("long")
+    asked = wanted.select(*keys, preferred).distinct().select(*keys, F.col(preferred).cast("long").alias("__at"), F.lit(1).alias("__kind"), number().alias("__lo"), number().alias("__hi"))
+    known = spans.select(*keys, F.col("lo").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.col("lo").cast("long").alias("__lo"), F.col("hi").cast("long").alias("__hi"))
+    up = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = asked.unionByName(known).withColumn("__before", F.max("__hi").over(up)).withColumn("__after", F.min("__lo").over(down)).where("__kind = 1")
+    before, after, at = F.col("__before"), F.col("__after"), F.col("__at")
+    line = F.when(before >= at, at).when(after.isNull() | (at - before <= after - at), before).otherwise(after)
+    kind = spans.schema["lo"].dataType
+    return seen.select(*keys, at.cast(wanted.schema[preferred].dataType).alias(preferred), line.cast(kind).alias("line"))
+
+
+def commentable(spans: DataFrame, documents: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines a comment may start on: diff spans of the shown side, cut to the document's ``lines``; spans outside it go."""
+    lo, hi = F.greatest(F.lit(1), F.col("lo")), F.least(F.col("lines"), F.col("hi"))
+    return spans.join(documents.select(*keys, "lines"), keys).select(*keys, lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+
+
+def accepted_comments(comments: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``accepted`` for comments ``start_line, line``: both ends in one span of the diff on that side, the start not behind the end."""
+    own = comments.select(*keys, "start_line", "line").distinct()
+    good = stabbed(own.where("start_line <= line"), spans.select(*keys, "lo", "hi"), keys, "start_line").where(F.col("line") <= F.col("__hi"))
+    marked = good.select(*keys, "start_line", "line").distinct().withColumn("accepted", F.lit(True))
+    return comments.join(marked, [*keys, "start_line", "line"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def same_lines(plans: DataFrame, lines: DataFrame, other: DataFrame) -> DataFrame:
+    """``unchanged`` for plans ``id, path, start_line, line, other_start``: every line is there and equal in both versions, line for line with the offset.
+
+    ``lines`` and ``other`` have ``path, line, text``.
+    """
+    each = plans.withColumn("at", F.explode(F.sequence("start_line", "line"))).withColumn("there", F.col("at") - F.col("start_line") + F.col("other_start"))
+    a = lines.select("path", F.col("line").alias("at"), F.col("text").alias("__a"))
+    b = other.select("path", F.col("line").alias("there"), F.col("text").alias("__b"))
+    same = F.coalesce(F.col("__a") == F.col("__b"), F.lit(False))
+    return each.join(a, ["path", "at"], "left").join(b, ["path", "there"], "left").groupBy("id").agg(F.bool_and(same).alias("unchanged"))

@@ -12,10 +12,12 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int =
     return ranked if rank else ranked.drop("__rank")
 
 
-def dominant(df: DataFrame, group: list[str], value: str, weight: str | None = None) -> DataFrame:
-    """Most frequent value of each group; ties by ``weight`` (descending, where given) and then the value."""
+def dominant(df: DataFrame, group: list[str], value: str, weight: str | None = None, by_total: bool = False) -> DataFrame:
+    """Most frequent value of each group; ties by ``weight`` (descending, where given), or by how many groups have the value at all, and then the value."""
     counts = df.groupBy(*group, value).agg(F.count("*").alias("n"), *([F.max(weight).alias("__w")] if weight else []))
-    order = [F.desc("n"), *([F.desc("__w")] if weight else []), F.col(value)]
+    if by_total:
+        counts = counts.join(counts.groupBy(value).agg(F.count("*").alias("__w")), value)
+    order = [F.desc("n"), *([F.desc("__w")] if weight or by_total else []), F.col(value)]
     return top_per_group(counts, group, order).select(*group, value, "n")
 
 
@@ -33,13 +35,42 @@ def within_budget(df: DataFrame, group: list[str], order: list[str], size: str,
     return df.withColumn("running", running).where(F.col("running") <= budget)
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 25, largest: int = 200) -> DataFrame:
-    """One page, 1-based, with ``position``, ``total`` and ``pages``. The top ``number * size`` rows are found without sorting the rest."""
-    size = max(1, min(size, largest))
+def whole_number(value: int | None, fallback: int, most: int, name: str) -> int:
+    """An argument from 1 to ``most``; ``fallback`` where it is left out, and an error where it is anything else."""
+    if value is None:
+        return fallback
+    if isinstance(value, bool) or not isinstance(value, int) or not 1 <= value <= most:
+        raise ValueError(f"{name} must be an integer from 1 to {most}")
+    return value
+
+
+def page(df: DataFrame, order: list[Column], number: int | None = None, size: int | None = None, largest: int = 200, text: Column | None = None, most_chars: int = 40_000) -> DataFrame:
+    """One page, 1-based, with ``position``, ``total``, ``pages`` (1 at least) and ``page_size``. The top ``number * size`` rows are found without sorting the rest.
+
+    With ``text``, what a row shows, the page size is halved until the page's text fits ``most_chars``, or down to one row.
+    """
+    number, size = whole_number(number, 1, 100_000, "page"), whole_number(size, 25, largest, "page size")
     total = df.agg(F.count("*")).scalar()
-    first = df.orderBy(*order).limit(number * size)
-    placed = first.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") > (number - 1) * size)
-    return placed.withColumn("total", total).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
+    first = df.orderBy(*order).limit(number * size).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    fitting = F.lit(size)
+    if text is not None:
+        sizes = [size]
+        while sizes[-1] > 1:
+            sizes.append(sizes[-1] // 2)
+        first = first.withColumn("__chars", F.length(text))
+        whole = Window.partitionBy()  # the top rows of one page and those before it
+        fitting = F.lit(1)
+        for s in reversed(sizes[:-1]):
+            used = F.sum(F.when((F.col("position") > (number - 1) * s) & (F.col("position") <= number * s), F.col("__chars"))).over(whole)
+            fitting = F.when(F.coalesce(used, F.lit(0)) <= most_chars, s).otherwise(fitting)
+    placed = first.withColumn("page_size", fitting.cast("int"))
+    placed = placed.where((F.col("position") > (number - 1) * F.col("page_size")) & (F.col("position") <= number * F.col("page_size"))).drop("__chars")
+    return placed.withColumn("total", total).withColumn("pages", F.greatest(F.ceil(F.col("total") / F.col("page_size")), F.lit(1)).cast("long"))
+
+
+def page_count(df: DataFrame, size: int = 25) -> DataFrame:
+    """``total, pages`` of a paged list in one row, also for an empty one, which has one page."""
+    return df.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("long"))
 
 
 def neighbours(df: DataFrame, group: list[str], order: list[str], id_col: str) -> DataFrame:
@@ -48,6 +79,18 @@ def neighbours(df: DataFrame, group: list[str], order: list[str], id_col: str) -
     return df.withColumn("next_id", F.coalesce(F.lead(id_col).over(w), F.first(id_col).over(whole))).withColumn("previous_id", F.coalesce(F.lag(id_col).over(w), F.last(id_col).over(whole)))
 
 
+def next_unreviewed(df: DataFrame, group: list[str], order: list[str], id_col: str, reviewed: str) -> DataFrame:
+    """For each row the next and the previous row of its group that is not reviewed, wrapping around once; null if there is no other."""
+    open_ = F.when(~F.col(reviewed), F.col(id_col))
+    up = Window.partitionBy(*group).orderBy(*order)
+    down = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nearest = lambda w: F.last(open_, ignorenulls=True).over(w)
+    other = lambda c: F.when(c != F.col(id_col), c)
+    found = df.withColumn("next_id", F.coalesce(nearest(down), other(F.first(open_, ignorenulls=True).over(whole))))
+    return found.withColumn("previous_id", F.coalesce(nearest(up.rowsBetween(Window.unboundedPreceding, -1)), other(F.last(open_, ignorenulls=True).over(whole))))
+
+
 def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Least, upper median (element n // 2 of the sorted values, from 0) and largest value of each group, without gathering a group.
 

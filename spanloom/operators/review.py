@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def verdict_level(stale: Column, risky: Column, complete: Column, callers: Column, has_graph: Column) -> Column:
-    """0 breaks callers, 1 risk unknown, 2 handled, 3 reaches callers, 4 quiet, 5 no graph. First rule that fits wins."""
-    return (
-        F.when(~has_graph, 5).when(risky & (stale > 0), 0).when(risky & ~F.coalesce(complete, F.lit(True)), 1)
-        .when(risky & (callers > 0), 2).when(callers > 0, 3).otherwise(4)
-    )
+def verdict_level(risky: Column, stale: Column, complete: Column, state: Column, has_graph: Column | None = None) -> Column:
+    """0 breaks callers, 1 risk unknown, 2 risk handled, 3 reaches callers, 4 quiet, 5 no graph.
+
+    ``state`` is resolved, none, di or unknown; only the first two are answers. ``complete`` is null in old results, which read
+    as complete. A risky change whose search is finished is handled, with callers or without; a change of the body alone is
+    quiet only if a finished search found no caller.
+    """
+    known, missing = F.coalesce(state.isin("resolved", "none"), F.lit(False)), ~F.coalesce(complete, F.lit(True))
+    of_risky = F.when(stale > 0, 0).when(missing | ~known, 1).otherwise(2)
+    of_body = F.when(known & (state == "none") & ~missing, 4).otherwise(3)
+    level = F.when(risky, of_risky).otherwise(of_body)
+    return level if has_graph is None else F.when(~has_graph, 5).otherwise(level)
 
 
 def attention(level: Column, named_by_agent: Column, analysed: Column) -> Column:
@@ -54,7 +60,7 @@ def nearest_config(paths: DataFrame, configs: DataFrame, path: str = "path", fol
     """Deepest folder above each path that has a config; null where none has."""
     wanted = paths.select(path).distinct().withColumn("__f", F.explode_outer(ancestors(F.col(path))))
     known = configs.select(F.col(folder).alias("__f")).distinct().withColumn("__known", F.lit(True))
-    found = wanted.join(known, "__f", "left").where("__known OR __f IS NULL OR true")
+    found = wanted.join(known, "__f", "left")
     return found.groupBy(path).agg(F.max_by(F.when(F.col("__known"), F.col("__f")), F.when(F.col("__known"), F.length("__f"))).alias(folder))
 
 
@@ -67,10 +73,19 @@ def thread_counts(comments: DataFrame, thread: list[str]) -> DataFrame:
     return comments.groupBy(*thread).agg(F.count_if(posted).alias("posted"), F.count_if("pending").alias("pending"), (~F.bool_or("resolved") & F.bool_or(posted)).alias("open"))
 
 
-def agreed(rows: DataFrame, group: list[str], status: str, otherwise: str = "unreadable") -> DataFrame:
-    """The status all non-empty rows of a group agree on; ``otherwise`` if they do not, null if all are empty."""
-    value = F.when(F.trim(F.col(status)) != "", F.col(status))
-    return rows.groupBy(*group).agg(F.when(F.countDistinct(value) > 1, otherwise).otherwise(F.min(value)).alias("status"))
+def agreed(rows: DataFrame, group: list[str], status: str, reason: str) -> DataFrame:
+    """The one status of a group's lines (:func:`~spanloom.functions.text.status_line`): ``none`` lines do not count, and a single other one stands.
+
+    Several must agree in status and reason and be readable; else the group is ``unreadable``.
+    """
+    said = F.col(status) != "none"
+    one = F.struct(F.col(status).alias("status"), F.col(reason).alias("reason"))
+    found = rows.groupBy(*group).agg(F.count_if(said).alias("n"), F.min(F.when(said, one)).alias("low"), F.max(F.when(said, one)).alias("high"))
+    same = F.col("low").eqNullSafe(F.col("high")) & (F.col("low.status") != "unreadable")
+    lone = (F.col("n") == 1) | same
+    status_ = F.when(F.col("n") == 0, "none").when(lone, F.col("low.status")).otherwise("unreadable")
+    reason_ = F.when(F.col("n") == 0, F.lit(None).cast("string")).when(lone, F.col("low.reason")).otherwise("conflicting status lines")
+    return found.select(*group, status_.alias("status"), reason_.alias("reason"))
 
 
 def completeness(parts: DataFrame, group: list[str]) -> DataFrame:
@@ -86,12 +101,121 @@ def rederived_state(before: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     return before.join(left, key, "left").select(key, state.alias("state"), F.coalesce("callers", F.lit(0)).alias("callers"))
 
 
-def merge_state(draft: Column, conflicts: Column, failing: Column, pending: Column, approvals_missing: Column) -> Column:
-    """First rule that fits: draft, conflicts, blocked by checks, waiting for checks, waiting for review, ready."""
-    return F.when(draft, "draft").when(conflicts, "conflicts").when(failing > 0, "blocked").when(pending > 0, "waiting").when(approvals_missing > 0, "needs-review").otherwise("ready")
+def merge_state(pulls: DataFrame, checks: DataFrame) -> DataFrame:
+    """``number, tone, reasons, retry`` of each pull request; never ``clean`` when unsure.
+
+    ``pulls`` has ``number, state, loaded, is_draft, mergeable, merge_status, review_decision, checks_read, queue, head_moved``, ``checks``
+    ``number, name, state, required, ord``. The first case that fits decides: done, not loaded, draft, conflicts, unknown,
+    blocked (with why), behind, unstable, else clean. Notes on the queue and a newer head follow.
+    """
+    needed = checks.where("required")
+    said = F.when(F.col("state") == "failed", F.struct(F.lit(0).alias("k"), "ord", F.concat(F.lit("Required check "), "name", F.lit(" failed")).alias("t"))).when(
+        F.col("state") == "pending", F.struct(F.lit(1).alias("k"), "ord", F.concat(F.lit("Required check "), "name", F.lit(" has not finished")).alias("t")))
+    why = needed.select("number", said.alias("s")).where("s IS NOT NULL").groupBy("number").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]).alias("of_checks"))
+    rows = pulls.join(why, "number", "left")
+    texts = lambda *items: F.array_compact(F.array(*items))
+    none = F.array().cast("array<string>")
+    asked = F.concat(F.coalesce("of_checks", none), texts(F.when(F.col("review_decision") == "CHANGES_REQUESTED", F.lit("Changes were requested")), F.when(F.col("review_decision") == "REVIEW_REQUIRED", F.lit("An approving review is required"))))
+    unread = F.when(F.col("checks_read"), F.lit("Branch protection blocks the merge")).otherwise(F.lit("The required checks could not all be read"))
+    blocked = F.when(F.size(asked) > 0, asked).otherwise(F.array(unread))
+    status, mergeable = F.col("merge_status"), F.col("mergeable")
+    cases = [
+        (F.col("state").isin("MERGED", "CLOSED"), "done", none, False), (~F.col("loaded"), "unknown", none, True),
+        (F.col("is_draft") | (status == "DRAFT"), "blocked", F.array(F.lit("Mark it ready for review")), False),
+        ((mergeable == "CONFLICTING") | (status == "DIRTY"), "conflict", F.array(F.lit("Resolve the conflicts")), False),
+        ((mergeable == "UNKNOWN") | (status == "UNKNOWN"), "unknown", none, True), (status == "BLOCKED", "blocked", blocked, False),
+        (status == "BEHIND", "blocked", F.array(F.lit("The branch must be updated first")), False), (status == "UNSTABLE", "clean", F.array(F.lit("Some checks that are not required fail")), False),
+    ]
+    tone, reasons, retry = F.lit("clean"), none, F.lit(False)
+    for condition, name, texts_, again in reversed(cases):
+        fits = F.coalesce(condition, F.lit(False))
+        tone, reasons, retry = F.when(fits, name).otherwise(tone), F.when(fits, texts_).otherwise(reasons), F.when(fits, F.lit(again)).otherwise(retry)
+    notes = texts(F.when(F.col("queue"), F.lit("Merge through the queue")), F.when(F.col("head_moved"), F.lit("There is a newer head than the one reviewed")))
+    answered = F.col("loaded") & ~F.col("state").isin("MERGED", "CLOSED")
+    return rows.select("number", tone.alias("tone"), F.concat(reasons, F.when(answered, notes).otherwise(none)).alias("reasons"), retry.alias("retry"))
+
+
+#: The order of reviewers by state.
+REVIEWER_STATES = ("CHANGES_REQUESTED", "AWAITING", "APPROVED", "COMMENTED", "DISMISSED")
+
+
+def reviewers(requested: DataFrame, reviewed: DataFrame, authors: DataFrame) -> DataFrame:
+    """``number, kind, name, state, position``: everyone asked or heard, once, in order of :data:`REVIEWER_STATES` and name.
+
+    ``requested`` has ``number, kind (user or team), name``, ``reviewed`` ``number, name, state, ord`` (the last of a name counts),
+    ``authors`` ``number, author``. A request wins over an older review; pending reviews and the author's own do not count.
+    """
+    asked = requested.select("number", "kind", "name").distinct().withColumn("state", F.lit("AWAITING"))
+    own = authors.select("number", F.col("author").alias("__author"))
+    heard = reviewed.join(own, "number", "left").where((F.col("state") != "PENDING") & ~F.col("name").eqNullSafe(F.col("__author")))
+    last = heard.groupBy("number", "name").agg(F.max_by("state", "ord").alias("state")).withColumn("kind", F.lit("user"))
+    new = last.join(asked.select("number", "kind", "name"), ["number", "kind", "name"], "left_anti")
+    both = asked.unionByName(new)
+    rank = F.array_position(F.array(*[F.lit(s) for s in REVIEWER_STATES]), F.col("state"))
+    return both.withColumn("position", F.row_number().over(Window.partitionBy("number").orderBy(rank, "name", "kind")))
+
+
+#: How far a caller is behind, worst last.
+CALL_STATES = ("updated-at-call", "changed-elsewhere", "unchanged")
+
+
+def file_groups(callers: DataFrame, group: list[str], path: str = "path") -> DataFrame:
+    """Callers of a change by file: ``callers, call_state`` (the worst), ``changed, is_test`` (all are), ``sites``, and ``flat`` where one caller stands alone.
+
+    ``callers`` has ``call_state, changed, is_test, sites int``.
+    """
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in CALL_STATES]), F.col("call_state")), F.lit(0))
+    return callers.groupBy(*group, path).agg(
+        F.count("*").alias("callers"), F.max_by("call_state", F.struct(rank.alias("r"), "call_state")).alias("call_state"), F.bool_or("changed").alias("changed"),
+        F.bool_and("is_test").alias("is_test"), F.sum(F.coalesce("sites", F.lit(0))).alias("sites")).withColumn("flat", F.col("callers") == 1)
+
+
+def threads_of_range(threads: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Threads on head lines of a range: ``ranges(row, path, lo, hi)`` with the threads in it that are on the right, current and of a line.
+
+    ``threads`` has ``thread, path, side, line, outdated, file_level``.
+    """
+    here = threads.where("side = 'RIGHT' AND NOT outdated AND NOT file_level AND line IS NOT NULL").select("thread", "path", "line")
+    return here.join(ranges, "path").where(F.col("line").between(F.col("lo"), F.col("hi"))).select("row", "thread", "path", "line")
+
+
+def threads_of_side(threads: DataFrame, side: str) -> DataFrame:
+    """Threads drawn on one side of each file, in order of line and id: those on a line of the current diff."""
+    shown = threads.where((F.col("side") == side) & ~F.col("outdated") & ~F.col("file_level") & F.col("line").isNotNull())
+    return shown.withColumn("position", F.row_number().over(Window.partitionBy("path").orderBy("line", "thread")))
+
+
+#: Schema of landed review data: a JSON document a pull request.
+REVIEW = "number long, state string, threads array<struct<id:string,path:string,side:string,line:int,outdated:boolean,file_level:boolean,resolved:boolean,comments:array<struct<id:string,body:string,pending:boolean>>>>"
+
+
+def review_rows(landed: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Landed review JSON as typed rows of comments, ``number, thread, path, side, line, outdated, file_level, resolved, comment, body, pending``, and the
+    documents that cannot be read (no JSON, no number, or a side that is neither LEFT nor RIGHT)."""
+    read = landed.withColumn("__r", F.from_json(text, REVIEW))
+    odd = F.exists("__r.threads", lambda t: ~F.coalesce(t["side"].isin("LEFT", "RIGHT"), F.lit(True)) | t["id"].isNull() | t["path"].isNull())
+    good = F.col("__r").isNotNull() & F.col("__r.number").isNotNull() & ~F.coalesce(odd, F.lit(False))
+    threads = read.where(good).select("__r.number", F.explode("__r.threads").alias("t"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rows = threads.select("number", F.col("t.id").alias("thread"), "t.path", "t.side", "t.line", flag(F.col("t.outdated")).alias("outdated"), flag(F.col("t.file_level")).alias("file_level"), flag(F.col("t.resolved")).alias("resolved"), F.explode_outer("t.comments").alias("c"))
+    rows = rows.select(*[c for c in rows.columns if c != "c"], F.col("c.id").alias("comment"), "c.body", flag(F.col("c.pending")).alias("pending"))
+    return rows, read.where(~good).drop("__r")
+
+
+def is_incomplete(result: dict[str, DataFrame]) -> Column:
+    """Whether anything of a run is incomplete: any of the tables (each with ``complete``) has a row that is not."""
+    parts = [F.coalesce(t.agg(F.bool_or(~F.coalesce("complete", F.lit(True)))).scalar(), F.lit(False)) for t in result.values()]
+    out = F.lit(False)
+    for p in parts:
+        out = out | p
+    return out
+
+
+#: Subsets of changes by state.
+STATE_SUBSETS = {"untested": "test_state = 'uncovered'", "test_unknown": "test_state = 'unknown'", "unknown_callers": "caller_state IN ('unknown', 'di')"}
 
 
-def one_status(requested: DataFrame, reviewed: DataFrame, key: str) -> DataFrame:
-    """Reviewers of both lists once: a request wins over an older review."""
-    r = requested.select(key).distinct().withColumn("__asked", F.lit(True))
-    return r.join(reviewed, key, "full_outer").select(key, F.when(F.col("__asked"), "requested").otherwise(F.col("state")).alias("state"))
+def state_subsets(changes: DataFrame) -> DataFrame:
+    """``subset, id`` for each of :data:`STATE_SUBSETS`; a change may be in several."""
+    names = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in STATE_SUBSETS.items()]))
+    return changes.select(F.explode(names).alias("subset"), "id")

@@ -28,11 +28,10 @@ def q70_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q71_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that the first word of each third line is on the line before, or on line six."""
+    """Claims that the first word of each line is near the line behind the next one, whether the file has such a line, and whether it is called."""
     lines = _lines(spark, sf_dir)
     word = F.regexp_extract("text", r"([A-Za-z_$][\w$]*)", 1)
-    third = lines.where("line = 3").select("path", word.alias("callee")).where("callee <> ''")
-    claims = third.withColumn("line", F.explode(F.array(F.lit(2), F.lit(6)))).select("path", "line", "callee")
+    claims = lines.select("path", (F.col("line") + 2).alias("line"), word.alias("callee")).where("callee <> ''").distinct()
     return answers.check_evidence(claims, lines)
 
 
@@ -46,7 +45,7 @@ def q72_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.floor(F.col("o_totalprice") / 1000).cast("int").alias("score"), kinds.alias("kinds"), (F.col("o_orderstatus") != "P").alias("callers_complete"))
     state = F.when(F.col("l_linestatus") == "O", "unchanged").otherwise("updated-at-call")
     callers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("change"), (F.col("l_returnflag") == "R").alias("is_test"), state.alias("call_state"))
-    return answers.list_cards(cards, members, changes, callers, 2, 30)
+    return answers.list_cards(cards, members, changes, callers, 2, 30).drop("page_size")
 
 
 def q73_folder_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,14 +59,14 @@ def q74_commit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of each nation split by the brands of one part each (as commits), with calls between consecutive ones."""
     brands = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.min("l_partkey").alias("p_partkey")).join(table(spark, sf_dir, "part"), "p_partkey").select("id", F.array(F.substring("p_brand", 1, 7)).alias("commits"))
     members = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("grp"), F.col("s_suppkey").alias("id")).join(brands, "id").select("grp", "id", "commits")
-    one = consecutive(spark, sf_dir, "supp", 1)
+    one = consecutive(spark, sf_dir, "supp")
     return splits.by_commits(members, one.union(one.select("dst", "src")), most_classes=50)
 
 
 def q75_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hubs among suppliers of each nation group, over consecutive ones."""
     members = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 3).cast("long").alias("grp"), F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("path"), F.floor("s_acctbal").cast("int").alias("score"))
-    return splits.at_hubs(members, consecutive(spark, sf_dir, "supp", 1))
+    return splits.at_hubs(members, consecutive(spark, sf_dir, "supp"))
 
 
 def q76_code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +82,11 @@ QUERIES = {f.__name__: f for f in (q69_search_code, q70_source, q71_evidence, q7
 SQL = {
     "q69_search_code": f"WITH {_LINES}, h AS (SELECT path, line, text FROM lines WHERE contains(text, 'tion') AND starts_with(path, 'src1/') ORDER BY path, line LIMIT 201) SELECT *, (SELECT count(*) > 200 FROM h) AS capped FROM h ORDER BY path, line LIMIT 200",
     "q70_source": f"WITH {_LINES} SELECT line, text, false AS cut FROM lines WHERE path = 'src0/fr/0' AND line BETWEEN 2 AND 5",
-    "q71_evidence": rf"""WITH {_LINES}, c AS (SELECT path, regexp_extract(text, '([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS callee, unnest([2, 6]) AS line FROM lines WHERE line = 3)
-        SELECT c.path, c.line, c.callee, coalesce(bool_or(list_contains(regexp_extract_all(l.text, '[A-Za-z_$][A-Za-z0-9_$]*'), c.callee)), false) AS ok FROM c LEFT JOIN lines l ON l.path = c.path AND abs(l.line - c.line) <= 1 WHERE c.callee <> '' GROUP BY 1, 2, 3""",
+    "q71_evidence": rf"""WITH {_LINES}, c AS (SELECT DISTINCT path, line + 2 AS line, regexp_extract(text, '([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS callee FROM lines), code AS (SELECT path, line, regexp_replace(text, '//.*$|#.*$', '') AS code FROM lines),
+        sizes AS (SELECT path, max(line) AS size FROM lines GROUP BY 1)
+        SELECT c.path, c.line, c.callee, coalesce(bool_or(list_contains(regexp_extract_all(code, '[A-Za-z0-9_$]+'), callee)), false) AS ok,
+            coalesce(bool_or(regexp_matches(code, '(^|[^A-Za-z0-9_$])' || replace(callee, '$', '\$') || '\s*(?:<[^>]*>)?\s*\(')), false) AS call, c.line <= any_value(size) AS complete
+        FROM c JOIN sizes USING (path) LEFT JOIN code l ON l.path = c.path AND l.line BETWEEN c.line - 1 AND c.line + 1 WHERE c.callee <> '' GROUP BY 1, 2, 3""",
     "q72_cards": """WITH s AS (SELECT l_orderkey AS k, count_if(l_returnflag <> 'R') AS callers, count_if(l_returnflag <> 'R' AND l_linestatus = 'O') AS stale, count_if(l_returnflag = 'R') AS tests FROM lineitem GROUP BY 1),
         c AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS id, count(*) AS members, CAST(sum(coalesce(callers, 0)) AS BIGINT) AS callers, CAST(sum(coalesce(stale, 0)) AS BIGINT) AS stale, CAST(sum(coalesce(tests, 0)) AS BIGINT) AS tests,
             count_if(o_orderpriority LIKE '1%') AS risky, count_if(o_orderstatus = 'P') AS incomplete, max(CAST(floor(o_totalprice / 1000) AS INT)) AS top_score FROM orders LEFT JOIN s ON k = o_orderkey GROUP BY 1)

@@ -98,9 +98,10 @@ def q50_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q57_new_throws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that a user's second half of events has and the first lacks, with the reworded ones allowed for."""
+    """Texts that a user's second half of events has and the first lacks, but for reworded ones, of users with both halves."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", F.floor("value").cast("string").alias("body"), (F.dayofmonth("ts") > 15).alias("late"))
-    return sets.new_throws(events.where("NOT late").drop("late"), events.where("late").drop("late"), ["user_id"], "event_type", "body")
+    early = events.where("NOT late").drop("late")
+    return sets.new_throws(early, events.where("late").drop("late"), ["user_id"], "event_type", "body", early)
 
 
 def q58_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,27 +117,15 @@ def q59_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q60_settled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document's lines of up to 30 characters all repeat literally, or only by their first two; q60b judges all lines."""
+    """How the lines of every document are settled: by their clauses, all of which repeat, or by their shape, or not."""
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split("text", "\n"))).alias("literal")).where("length(literal) BETWEEN 1 AND 30")
-    return evidence.settled_keys(lines.withColumn("shape", F.substring("literal", 1, 2)), "doc_id", "literal", "shape", "source")
+    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("record", "line")).where("line <> ''")
+    shape = F.regexp_replace("line", "[A-Za-z_$][A-Za-z0-9_$]*", r"\$")
+    edits = lines.select("doc_id", "source", "record", shape.alias("shape"), F.explode(F.split("line", ", ")).alias("literal"))
+    return evidence.settled_keys(edits, "doc_id", "record", "literal", "shape", "source")
 
 
 def q61_edit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal and shape keys of the first four words of consecutive turns; q61b has those of whole turns."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 4).alias("w"))
-    pairs = turns.withColumn("before", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
-    return pairs.select("conv_id", "turn", t.edit_key(F.col("before"), F.col("w")).alias("literal"), F.array_join(t.shape(F.col("w"), ["la", "the", "de"]), " ").alias("shape"))
-
-
-def q60b_settled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all lines of a document repeat literally, or only by shape (every identifier as one sign)."""
-    docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", "source", F.explode(F.array_distinct(F.split("text", "\n"))).alias("literal"))
-    return evidence.settled_keys(lines.withColumn("shape", F.regexp_replace("literal", "[A-Za-z_$][A-Za-z0-9_$]*", r"\$")), "doc_id", "literal", "shape", "source")
-
-
-def q61b_edit_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literal and shape keys of each edit between whole consecutive turns; one row with ``compared`` false where a pair is over the work limit."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.tokens(F.coalesce("text", F.lit(""))).alias("w"))
     pairs = turns.withColumn("before", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
@@ -150,7 +139,7 @@ _TOK = f"toks AS (SELECT id, source, unnest(tokens) AS token FROM ({WORDS_SQL}))
 _TURNS = "t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}')) AS w0, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM conversations)"
 _FIRST = "list_filter(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN list_position({x}, {x}[i]) = i AND NOT list_contains({y}, {x}[i]) THEN {x}[i] END), lambda v: v IS NOT NULL)"
 
-QUERIES = {f.__name__: f for f in (q08_repeated_patterns, q09_dominant, q10_similar, q10b_similar_members, q11_contained, q12_both_ways, q13_moves, q22_in_two_groups, q23_strength, q36_token_counts, q45_placement, q50_token_edits, q57_new_throws, q58_pooled, q59_mirrors, q60_settled_keys, q60b_settled_lines, q61_edit_keys, q61b_edit_keys_whole)}
+QUERIES = {f.__name__: f for f in (q08_repeated_patterns, q09_dominant, q10_similar, q10b_similar_members, q11_contained, q12_both_ways, q13_moves, q22_in_two_groups, q23_strength, q36_token_counts, q45_placement, q50_token_edits, q57_new_throws, q58_pooled, q59_mirrors, q60_settled_keys, q61_edit_keys)}
 
 SQL = {
     "q08_repeated_patterns": f"WITH {_TOK} SELECT token, count(DISTINCT id) AS items, count(DISTINCT source) AS groups FROM toks GROUP BY token HAVING count(DISTINCT id) >= 5 AND count(DISTINCT source) >= 2",
@@ -168,23 +157,22 @@ SQL = {
     "q22_in_two_groups": f"WITH {_TOK} SELECT token, min(source) AS group_a, max(source) AS group_b FROM toks GROUP BY token HAVING count(DISTINCT source) = 2",
     "q23_strength": f"""WITH {_TOK}, w AS (SELECT min(source) AS a, max(source) AS b FROM toks GROUP BY token HAVING count(DISTINCT source) = 2), s AS (SELECT min(source) AS a, max(source) AS b FROM documents GROUP BY md5(text) HAVING count(DISTINCT source) = 2),
         e AS (SELECT a, b, 'token' AS type, true AS counted FROM w UNION ALL SELECT a, b, 'pattern', true FROM s UNION ALL SELECT DISTINCT a, b, 'folder', false FROM w WHERE substr(a, 1, 4) = substr(b, 1, 4))
-        SELECT a, b, count(DISTINCT CASE WHEN counted THEN type END) AS strength, count(*) AS pieces FROM e GROUP BY a, b""",
+        SELECT a, b, count(DISTINCT CASE WHEN counted THEN type END) AS strength, count(*) AS pieces FROM e GROUP BY a, b HAVING count_if(counted) > 0""",
     "q36_token_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS INT) AS n, CAST(len(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS INT) AS n_distinct FROM documents",
     "q45_placement": """WITH e AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 <> 0), p AS (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)
         SELECT o_custkey, 'missing' AS error FROM (SELECT * FROM e EXCEPT SELECT * FROM p) UNION ALL SELECT o_custkey, 'unknown' FROM (SELECT * FROM p EXCEPT SELECT * FROM e) UNION ALL SELECT o_custkey, 'duplicate' FROM p GROUP BY 1 HAVING count(*) > 1""",
     "q57_new_throws": """WITH e AS (SELECT DISTINCT user_id, event_type, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS body, day(ts) > 15 AS late FROM events),
-        fresh AS (SELECT user_id, event_type, body, row_number() OVER (PARTITION BY user_id, event_type ORDER BY body) AS n FROM e WHERE late AND NOT EXISTS (SELECT 1 FROM e b WHERE NOT b.late AND b.user_id = e.user_id AND b.body = e.body)),
-        gone AS (SELECT user_id, event_type, count(DISTINCT body) AS allowed FROM e WHERE NOT late AND NOT EXISTS (SELECT 1 FROM e b WHERE b.late AND b.user_id = e.user_id AND b.body = e.body) GROUP BY 1, 2)
-        SELECT user_id, event_type, body FROM fresh LEFT JOIN gone USING (user_id, event_type) WHERE n > coalesce(allowed, 0)""",
+        fresh AS (SELECT * FROM e WHERE late AND NOT EXISTS (SELECT 1 FROM e b WHERE NOT b.late AND b.user_id = e.user_id AND b.body = e.body) AND user_id IN (SELECT user_id FROM e WHERE NOT late)),
+        gone AS (SELECT user_id, event_type, count(*) AS n FROM e WHERE NOT late AND NOT EXISTS (SELECT 1 FROM e b WHERE b.late AND b.user_id = e.user_id AND b.body = e.body) GROUP BY 1, 2)
+        SELECT user_id, event_type, body FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS come FROM fresh) LEFT JOIN gone USING (user_id, event_type) WHERE come > coalesce(n, 0)""",
     "q58_pooled": """WITH c AS (SELECT p_type, count(*) AS n FROM part WHERE p_size <= 10 GROUP BY 1) SELECT p_type, n FROM c WHERE n >= 15 UNION ALL SELECT 'other', CAST(sum(n) AS BIGINT) FROM c WHERE n < 15 HAVING sum(n) >= 15""",
     "q59_mirrors": """WITH p AS (SELECT p_partkey AS id, p_type || '|' || p_size AS tail, p_brand AS top, list_distinct(string_split(lower(p_type), ' ')) AS names FROM part), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tail ORDER BY id) AS n FROM p) WHERE n <= 8)
         SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.names, b.names)) AS INT) AS common, CAST(least(len(a.names), len(b.names)) AS INT) AS smaller FROM f a JOIN f b ON a.tail = b.tail AND a.id < b.id AND a.top <> b.top WHERE len(list_intersect(a.names, b.names)) * 10 >= least(len(a.names), len(b.names)) * 8""",
-    "q60_settled_keys": """WITH l AS (SELECT DISTINCT doc_id, source, literal, substr(literal, 1, 2) AS shape FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS literal FROM documents) WHERE length(literal) BETWEEN 1 AND 30),
-        a AS (SELECT literal FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2), s AS (SELECT shape FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2)
-        SELECT doc_id, CASE WHEN bool_and(literal IN (FROM a)) THEN 'literal' WHEN bool_and(shape IN (FROM s)) THEN 'shape' END AS level FROM l GROUP BY doc_id""",
-    "q60b_settled_lines": """WITH l AS (SELECT DISTINCT doc_id, source, literal, regexp_replace(literal, '[A-Za-z_$][A-Za-z0-9_$]*', '$', 'g') AS shape FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS literal FROM documents)),
-        a AS (SELECT literal FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2), s AS (SELECT shape FROM l GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2)
-        SELECT doc_id, CASE WHEN bool_and(literal IN (FROM a)) THEN 'literal' WHEN bool_and(shape IN (FROM s)) THEN 'shape' END AS level FROM l GROUP BY doc_id""",
-    "q61_edit_keys": """WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:4] AS w FROM conversations), p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t)
-        SELECT conv_id, turn, array_to_string(b, ' ') || ' → ' || array_to_string(w, ' ') AS literal, array_to_string(list_transform(w, lambda x: CASE WHEN x IN ('la', 'the', 'de') THEN x ELSE '$' END), ' ') AS shape FROM p WHERE b IS NOT NULL""",
+    "q60_settled_keys": r"""WITH lines AS (SELECT doc_id, source, CAST(generate_subscripts(l, 1) - 1 AS INT) AS record, unnest(l) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)),
+        e AS (SELECT doc_id, source, record, regexp_replace(line, '[A-Za-z_$][A-Za-z0-9_$]*', '$', 'g') AS shape, unnest(string_split(line, ', ')) AS literal FROM lines WHERE line <> ''),
+        k AS (SELECT DISTINCT doc_id, source, literal FROM e WHERE len(list_filter(regexp_extract_all(replace(literal, '→', ' '), '[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|`(?:[^`\\]|\\.)*`|[^\s\w]'), lambda x: regexp_matches(x, '^[A-Za-z0-9_$"''`]'))) >= 2),
+        lit AS (SELECT literal FROM k GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2),
+        r AS (SELECT doc_id, source, record, any_value(shape) AS shape, bool_and(literal IN (FROM lit)) AS settled FROM e GROUP BY 1, 2, 3),
+        shp AS (SELECT shape FROM r WHERE NOT settled GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT source) >= 2)
+        SELECT doc_id, record, CASE WHEN settled THEN 'literal' WHEN shape IN (FROM shp) THEN 'shape' END AS level, CASE WHEN NOT settled AND shape IN (FROM shp) THEN shape END AS shape FROM r""",
 }

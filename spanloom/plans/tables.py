@@ -25,15 +25,14 @@ SPANS_SQL = """spans AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY
     CAST(l_quantity AS INT) AS lo, CAST(l_quantity AS INT) + l_linenumber AS hi, l_returnflag AS flag, l_partkey AS part, l_suppkey AS supp FROM lineitem)"""
 
 
-def consecutive(spark: SparkSession, sf_dir: str, item: str, every: int) -> DataFrame:
-    """Edges ``src -> dst`` between consecutive items of every n-th order; 1 is the whole graph, more a slice whose SQL recursion ends soon."""
-    spans = line_spans(spark, sf_dir).where(F.col("k") % every == 0)
-    step = spans.withColumn("dst", F.lead(item).over(Window.partitionBy("k").orderBy("ord")))
+def consecutive(spark: SparkSession, sf_dir: str, item: str) -> DataFrame:
+    """Edges ``src -> dst`` between consecutive items of every order."""
+    step = line_spans(spark, sf_dir).withColumn("dst", F.lead(item).over(Window.partitionBy("k").orderBy("ord")))
     return step.where("dst IS NOT NULL").select(F.col(item).alias("src"), "dst").where("src <> dst").distinct()
 
 
-def edges_sql(item: str, every: int) -> str:
-    return f"""{SPANS_SQL}, edges AS (SELECT DISTINCT src, dst FROM (SELECT {item} AS src, lead({item}) OVER (PARTITION BY k ORDER BY ord) AS dst FROM spans WHERE k % {every} = 0) WHERE dst IS NOT NULL AND src <> dst)"""
+def edges_sql(item: str) -> str:
+    return f"""{SPANS_SQL}, edges AS (SELECT DISTINCT src, dst FROM (SELECT {item} AS src, lead({item}) OVER (PARTITION BY k ORDER BY ord) AS dst FROM spans) WHERE dst IS NOT NULL AND src <> dst)"""
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,94 @@ def picked_files(files: DataFrame, names: DataFrame, most_files: int = 3000, mos
     taken = judged.withColumn("taken", small | F.col("keep") | F.coalesce("mentions", F.lit(False)))
     counts = taken.groupBy("run_id").agg(F.count_if(~F.col("taken")).alias("not_indexed"))
     return taken.where("taken").select("run_id", "path", "text").join(counts, "run_id")
+
+
+def zero_context(patches: DataFrame) -> DataFrame:
+    """``run_id, path, text, known``: patches with context lines as diffs without, a header and hunks of the changed lines only.
+
+    ``patches`` has ``run_id, path, old_path, status, patch``. An empty side names the line before it. Without a patch there is no
+    text, and ``known`` is false.
+    """
+
+    def diff(path: str, old: str | None, status: str, patch: str) -> str:
+        out = [f"diff --git a/{old or path} b/{path}", "--- /dev/null" if status == "added" else f"--- a/{old or path}", "+++ /dev/null" if status in ("removed", "deleted") else f"+++ b/{path}"]
+        at, begin, run = [0, 0], [0, 0], ([], [])
+
+        def emit() -> None:
+            if run[0] or run[1]:
+                sides = [f"{begin[k] - (not run[k])},{len(run[k])}" for k in (0, 1)]
+                out.append(f"@@ -{sides[0]} +{sides[1]} @@")
+                out.extend([*(f"-{x}" for x in run[0]), *(f"+{x}" for x in run[1])])
+                run[0].clear()
+                run[1].clear()
+
+        for line in patch.split("\n"):
+            if m := _HEADER.match(line):
+                emit()
+                at = [int(m[1]) + (m[2] == "0"), int(m[3]) + (m[4] == "0")]
+            elif line[:1] in ("-", "+"):
+                if not run[0] and not run[1]:
+                    begin = list(at)
+                k = int(line[0] == "+")
+                run[k].append(line[1:])
+                at[k] += 1
+            elif line[:1] == " ":
+                emit()
+                at = [at[0] + 1, at[1] + 1]
+        emit()
+        return "\n".join(out)
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(r.run_id, r.path, None if r.patch is None else diff(r.path, r.old_path, r.status, r.patch), r.patch is not None) for r in frame.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["run_id", "path", "text", "known"])
+
+    return patches.select(F.col("run_id").cast("string"), "path", "old_path", "status", "patch").mapInPandas(parse, "run_id string, path string, text string, known boolean")
+
+
+def file_diffs(diffs: DataFrame) -> DataFrame:
+    """``run_id, n, text``: whole diffs split into one text a file, in order; what stands before the first header goes."""
+    parts = F.filter(F.split("text", r"(?m)(?=^diff --git )"), lambda p: p.startswith("diff --git "))
+    return diffs.select("run_id", F.posexplode(parts).alias("n", "text"))
+
+
+def function_hunks(functions: DataFrame, diffs: DataFrame, most_chars: int = 6000) -> DataFrame:
+    """``id, text, complete``: the hunks of a file's diff that meet a function's lines, cut at ``most_chars``; null and incomplete where there is no diff.
+
+    ``functions`` has ``id, path, start_line, end_line``, ``diffs`` ``path, text``.
+    """
+    each = diffs.select("path", F.lit(True).alias("__known"), F.posexplode(F.split("text", r"\n(?=@@ )")).alias("__n", "__h"))
+    start = F.regexp_extract("__h", r"^@@ -\d+(?:,\d+)? \+(\d+)", 1)
+    count = F.regexp_extract("__h", r"^@@ -\d+(?:,\d+)? \+\d+,(\d+) @@", 1)
+    lo = F.when(start != "", start.cast("int"))
+    hi = lo + F.greatest(F.when(count != "", count.cast("int")).otherwise(1) - 1, F.lit(0))
+    joined = functions.join(each.withColumn("__lo", lo).withColumn("__hi", hi), "path", "left")
+    meets = (F.col("__hi") >= F.col("start_line")) & (F.col("__lo") <= F.col("end_line"))
+    found = joined.groupBy("id").agg(F.bool_or("__known").alias("known"), F.array_sort(F.collect_list(F.when(meets, F.struct("__n", "__h")))).alias("hs"))
+    text = F.array_join(F.transform("hs", lambda x: x["__h"]), "\n")
+    cut = F.length(text) > most_chars
+    shown = F.when(cut, F.concat(F.substring(text, 1, most_chars), F.lit(f"\n… (cut at {most_chars} characters)"))).otherwise(text)
+    known = F.coalesce("known", F.lit(False))
+    return found.select("id", F.when(known, shown).alias("text"), (known & ~cut).alias("complete"))
+
+
+def package_facts(files: DataFrame) -> DataFrame:
+    """Facts of landed configuration files ``path, text``: ``path, kind, name, entries``: a package's name and programs, a module's name, a project's.
+
+    JSON, with comments allowed, is read by Spark; of TOML and go.mod the few lines that name a project.
+    """
+    base, text = F.substring_index("path", "/", -1), F.col("text")
+    js = base.isin("package.json", "tsconfig.json", "jsconfig.json")
+    read = F.from_json(text, "name string, main string, bin string", {"allowComments": "true"})
+    first = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    kind = F.when(js, "javascript").when(base == "go.mod", "go").when(base == "pyproject.toml", "python").when(base.endswith(".csproj"), "csharp")
+    name = F.when(js, read["name"]).when(kind == "go", first(r"(?m)^module[ \t]+(\S+)")).when(kind == "python", first(r"(?ms)^\[project\][^\[]*?^name[ \t]*=[ \t]*[\"']([^\"']+)")).otherwise(first("(?s)<AssemblyName>([^<]+)</AssemblyName>"))
+    programs = F.regexp_extract_all(F.coalesce(read["bin"], F.lit("")), F.lit(r"\"([^\"]+)\"\s*:"), F.lit(1))
+    return files.where(kind.isNotNull()).select("path", kind.alias("kind"), name.alias("name"), F.when(js, programs).otherwise(F.array().cast("array<string>")).alias("entries"))
+
+
+def toml_strings(text, key: str):
+    """Strings of a one- or many-line TOML array ``key = ["a", 'b']``; null without the key, comments left out."""
+    body = F.regexp_extract(text, rf"(?ms)^[ \t]*{re.escape(key)}[ \t]*=[ \t]*\[(.*?)^?[^\]]*?\]", 0)
+    plain = F.regexp_replace(F.regexp_replace(body, r"(?m)^[ \t]*#.*$", ""), r"^[^=]*=", "")
+    return F.when(body != "", F.transform(F.regexp_extract_all(plain, F.lit(r"\"([^\"]*)\"|'([^']*)'"), F.lit(0)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2)))

@@ -37,3 +37,19 @@ def viewed_sync(events: DataFrame) -> DataFrame:
 def latest_runs(results: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Newest run per key and time window of a stream of results ``(key, run, ts)``; late runs beyond the watermark are dropped by it."""
     return results.withWatermark("ts", delay).groupBy(F.window("ts", "5 minutes"), "key").agg(F.max_by("run", "ts").alias("run"), F.max("ts").alias("ts"))
+
+
+#: What a run publishes, in order.
+PUBLISHED = ("pending", "resolved", "final")
+
+
+def published(results: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Per run the latest of its published results and how far it is: ``run, stage, payload, ts``, updated as they come.
+
+    ``results`` is a stream ``run, stage, payload, ts`` with stages of :data:`PUBLISHED`; a stage that comes late does not take the place of a
+    later one. Runs beyond the watermark are forgotten.
+    """
+    rank = F.array_position(F.array(*[F.lit(s) for s in PUBLISHED]), F.col("stage"))
+    newest = F.max_by(F.struct("stage", "payload", "ts"), F.struct(rank.alias("rank"), "ts"))
+    found = results.where(rank > 0).withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "run").agg(newest.alias("r"))
+    return found.select("run", "r.stage", "r.payload", "r.ts")

@@ -1,5 +1,7 @@
 """Caller lists on hand-made rows."""
 
+from pyspark.sql import functions as F
+
 from spanloom.operators import callers
 
 
@@ -52,7 +54,26 @@ def test_unlisted_hits_and_cards(spark):
 
 
 def test_requests_through_parent_teams(spark):
-    prs = spark.createDataFrame([(1, "a", ["me"], []), (2, "a", [], [7]), (3, "me", [], []), (4, "a", [], [9])], "number int, author string, reviewers array<string>, teams array<long>")
+    schema = "number int, author string, reviewers array<string>, teams array<struct<id: long, name: string>>"
+    prs = spark.createDataFrame([(1, "a", ["ME"], []), (2, "a", [], [(7, "core")]), (3, "Me", ["me"], [(7, "core")]), (4, "a", [], [(9, "web")]), (5, None, ["me"], [(5, "ui"), (7, "core")])], schema)
     teams = spark.createDataFrame([(5, 7)], "id long, parent_id long")
     got = {r.number: (r.grp, r.via) for r in callers.grouped_requests(prs, teams, "me").collect()}
-    assert got == {1: ("requested", []), 2: ("requested", [7]), 3: ("own", []), 4: ("others", [])}
+    assert got == {1: ("requested", ["you"]), 2: ("requested", ["core"]), 3: ("own", []), 4: ("others", []), 5: ("requested", ["you", "ui", "core"])}
+    alone = {r.number: r.grp for r in callers.grouped_requests(prs, None, "me").collect()}
+    assert alone == {1: "requested", 2: "others", 3: "own", 4: "others", 5: "requested"}
+
+
+def test_generated_files(spark):
+    cases = [("a.pb.go", "", True), ("a.go", "// Code generated by x. DO NOT EDIT.\npackage a", True), ("a.go", "package a\n// Code generated by x. DO NOT EDIT.", False), ("x_pb2.pyi", "", True), ("a.py", "#!/bin/sh\n\n# Generated by y\nimport z", True),
+             ("a.py", "import z\n# Generated by y", False), ("A.Designer.cs", "", True), ("A.cs", "using X;\n// <auto-generated />\nclass A {}", True), ("A.cs", "class A { } // <auto-generated", False), ("a.ts", "// @generated", False)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, path string, text string, want boolean")
+    got = df.select("i", "want", callers.is_generated(F.col("path"), F.col("text")).alias("got")).orderBy("i").collect()
+    assert all(r.got == r.want for r in got), [cases[r.i] for r in got if r.got != r.want]
+
+
+def test_changed_keys_and_edges(spark):
+    symbols = spark.createDataFrame([("m", "f", 10, None, False, 0), ("c", "f", 20, 5, True, 1), ("d", "f", 5, None, False, 2)], "id string, path string, name_pos int, class_name_pos int, is_constructor boolean, ord int")
+    keys = callers.changed_keys(symbols)
+    assert {(r.key, r.id) for r in keys.collect()} == {("f#10", "m"), ("f#20", "c"), ("f#5", "d")}
+    rows = spark.createDataFrame([("m", "f", 20, False), ("m", "f", 10, False), ("m", "f", 5, True), ("c", "f", 10, False), ("c", "f", 10, False)], "change string, path string, pos int, is_test boolean")
+    assert {tuple(r) for r in callers.change_edges(rows, keys).collect()} == {("m", "c"), ("c", "m")}

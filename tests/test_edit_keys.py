@@ -1,23 +1,13 @@
-"""Edit keys of whole turns and whole documents on hand-made rows."""
+"""Edit keys of whole turns on hand-made rows."""
 
-from spanloom.plans.set_queries import q60b_settled_lines, q61b_edit_keys_whole
+from spanloom.plans.set_queries import q61_edit_keys
 
 
 def test_edits_behind_the_fourth_word_and_long_edits(spark, tmp_path):
     many = " ".join(f"w{i}" for i in range(7))
     turns = ["a b c d e f", "a b c d x f", "a b c d the f", "a b c d the f", f"a b c d {many} f", None, " ".join(f"x{i}" for i in range(600)), " ".join(f"y{i}" for i in range(600))]
     spark.createDataFrame([(1, i, x) for i, x in enumerate(turns)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = [tuple(r)[1:] for r in q61b_edit_keys_whole(spark, str(tmp_path)).orderBy("turn", "n").collect()]
+    got = [tuple(r)[1:] for r in q61_edit_keys(spark, str(tmp_path)).orderBy("turn", "n").collect()]
     assert got == [
         (1, 0, True, "e → x", "$ → $"), (2, 0, True, "x → the", "$ → the"), (4, 0, True, None, None), (5, 0, True, None, None), (6, 0, True, None, None), (7, None, False, None, None),
     ]
-
-
-def test_long_lines_decide_too(spark, tmp_path):
-    long, docs = "x" * 40, []
-    for i in range(5):
-        docs.append((i, f"s{i % 2}", f"short\n{long}"))
-    docs += [(5, "s0", "short\n" + "1" * 40), (6, "s0", "y" * 50), (7, "s0", "2" * 50), (8, "s0", None)]
-    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.level for r in q60b_settled_lines(spark, str(tmp_path)).collect()}
-    assert got == {**{i: "literal" for i in range(5)}, 5: None, 6: "shape", 7: None}
