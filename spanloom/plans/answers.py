@@ -138,7 +138,7 @@ def impact_paths(path: str, line: int, changes: DataFrame, edges: DataFrame, fac
     """Paths from the innermost function at a line up to entry points, and whether they are all: the ends of :func:`~spanloom.operators.impact.walked`."""
     start = _innermost_change(path, line, changes, name).select(F.col("change").alias("id"), F.col("change").alias("node"), F.lit(False).alias("risky"))
     ends = impact.walked(start, edges, facts, max_depth, max_nodes)
-    return ends.join(impact.summary(ends).select("id", "complete", "reasons"), "id")
+    return ends.join(impact.summary(ends, starts=start).select("id", "complete", "reasons"), "id", "right")
 
 
 #: Kinds of callers an answer may name.
@@ -218,5 +218,5 @@ def run(changes: DataFrame, callers: DataFrame, edges: DataFrame, facts: DataFra
     if impact_paths:
         starts = findings.select("id", F.col("id").alias("node"), F.lit(True).alias("risky"))
         out["ends"] = impact.walked(starts, edges, facts, max_depth, max_nodes)
-        out["impact"] = impact.summary(out["ends"])
+        out["impact"] = impact.summary(out["ends"], starts=starts)
     return out
