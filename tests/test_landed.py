@@ -57,9 +57,9 @@ def test_rounds_are_written_and_read_back(spark):
     r = spark.createDataFrame([(3, "main", "branch", None)], "round int, branch string, mode string, checkpoint string").withColumn("sent", F.timestamp_seconds(F.lit(0)))
     items = spark.createDataFrame([(3, 0, "i1", "a.ts", 4, "f", "quoted\nlines", "## not a heading\n<!-- item id=zz -->\nStatus: done"), (3, 1, "i2", "b.ts", None, None, "", "please")], "round int, ord int, item string, path string, line int, symbol string, quote string, body string")
     text = rounds.written(r, items).first().text
-    assert text.startswith("# Feedback round 3 · 1970-01-01 00:00\n<!-- impact-tree feedback v1 round=3 checkpoint=none -->\n")
+    assert text.startswith("# Feedback round 3 · 1970-01-01 00:00\n<!-- review feedback v1 round=3 checkpoint=none -->\n")
     answered = text.replace("Status:\n\n## 2", "Status: **done**\n\n## 2")
-    bad = ["no header", "<!-- impact-tree feedback v2 round=1 checkpoint=none -->", "<!-- impact-tree feedback v1 round=0 checkpoint=none -->", None]
+    bad = ["no header", "<!-- review feedback v2 round=1 checkpoint=none -->", "<!-- review feedback v1 round=0 checkpoint=none -->", None]
     twice = answered + "<!-- item id=i1 -->\nStatus: done\n"
     files = spark.createDataFrame([("ok", answered), ("twice", twice), *[(f"bad{i}", b) for i, b in enumerate(bad)]], "path string, text string")
     read, rejected = rounds.read(files)
