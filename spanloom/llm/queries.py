@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, linededup, minhash, mixing, quality, shards, urls
+from . import ann, chat, decontam, importance, langid, linededup, minhash, mixing, quality, shards, urls
 from .scratch import new_folder
 
 
@@ -82,6 +82,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resampling of all documents towards the benchmark: weight, score and rank of every document."""
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -94,10 +99,22 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_nearest": op10_nearest,
+    "op11_importance": op11_importance,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
 
+#: DuckDB has no CRC-32: its table of 256 entries, and the checksum of each distinct ``w`` of a relation, from its bytes.
+_CRC_TABLE = """crc_table AS (
+            SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+        )"""
+
+
+def _crc32(relation: str) -> str:
+    return f"""SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(hex(w)), 2), lambda i: CAST('0x' || substr(hex(w), i, 2) AS BIGINT)),
+                lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) AS crc FROM {relation}, crc_table"""
+
+
 SQL = {
     "op2_chat_format": r"""
         WITH turns AS (
@@ -185,4 +202,28 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
             sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY nr), '')) AS kept_sha256
         FROM keyed LEFT JOIN frequent f USING (key) GROUP BY row_id, doc_id""",
+    "op11_importance": rf"""
+        WITH {_CRC_TABLE}, docs AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+        ), own AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(words) AS w FROM docs) GROUP BY r, w),
+        theirs AS (
+            SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w
+        ), strings AS (SELECT w FROM own UNION SELECT w FROM theirs),
+        hashed AS MATERIALIZED (SELECT w, crc % 10000 AS b FROM ({_crc32("strings")})),
+        s AS (SELECT b, sum(n)::DOUBLE AS s FROM own JOIN hashed USING (w) GROUP BY b),
+        t AS (SELECT b, sum(n)::DOUBLE AS t FROM theirs JOIN hashed USING (w) GROUP BY b),
+        gains AS MATERIALIZED (
+            SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + 10000) / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS BIGINT) AS gain
+            FROM s LEFT JOIN t USING (b)
+        ), weights AS (
+            SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM own JOIN hashed USING (w) JOIN gains USING (b) GROUP BY r
+        ), scored AS (
+            SELECT doc_id, r, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+            FROM docs LEFT JOIN weights USING (r)
+        ), placed AS (
+            SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM placed""",
 }
