@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, importance, langid, linededup, minhash, mixing, quality, shards, urls
+from . import ann, chat, decontam, importance, langid, linededup, minhash, mixing, quality, shards, simhash, trie, urls
 from .scratch import new_folder
 
 
@@ -87,6 +87,16 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 64-bit SimHash fingerprints over 3-word shingles differ in at most three bits."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each rebuilt on the first turns of its family of five."""
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"), family=5, cycle=9)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -100,6 +110,8 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_nearest": op10_nearest,
     "op11_importance": op11_importance,
+    "op12_simhash": op12_simhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -226,4 +238,28 @@ SQL = {
             SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM scored
         )
         SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM placed""",
+    "op13_prefix_trie": rf"""
+        WITH {_CRC_TABLE}, own AS MATERIALIZED (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS w FROM own),
+        convs AS MATERIALIZED (SELECT c, crc % 9 AS h, c - c % 5 AS b FROM ids JOIN ({_crc32("ids")}) USING (w)),
+        built AS (
+            SELECT v.c, 0 AS part, n, role, text FROM convs v JOIN own o ON o.c = v.b AND o.n <= v.h
+            UNION ALL SELECT v.c, 1, n, role, text FROM convs v JOIN own o ON o.c = v.c AND o.n > v.h
+        ), turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, n) AS d, strlen(text) AS bytes, md5(length(role) || ':' || role || text) AS t FROM built),
+        paths AS (
+            SELECT c, d, bytes, md5(string_agg(t, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM turns UNION ALL SELECT c, 0, 0, 'root' FROM convs
+        ), members AS MATERIALIZED (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS above, lead(d) OVER (PARTITION BY c ORDER BY d) IS NULL AS final FROM paths),
+        nodes AS MATERIALIZED (
+            SELECT key, d, min(c) AS c, count(*) AS n, max(bytes) AS bytes, any_value(above) AS above,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE final), '')) AS ends FROM members GROUP BY key, d
+        ), children AS (SELECT above AS key, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+        known AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+        subtrees AS (
+            SELECT m.key, CAST(sum((u.n - 1) * u.bytes) AS BIGINT) AS saved, count(*) FILTER (WHERE u.n_children = 0) AS leaves
+            FROM members m JOIN known u ON u.c = m.c AND u.d >= m.d GROUP BY m.key
+        )
+        SELECT k.c AS conv_id, k.d AS depth, p.c AS parent_conv_id, k.n AS n_convs, k.n_children, leaves AS n_leaves, saved AS saved_tokens, k.ends AS ends_sha256
+        FROM known k JOIN subtrees USING (key) LEFT JOIN nodes p ON p.key = k.above""",
 }
