@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .evidence import broad_commit, weak_commit
 from .ranking import capped_list
+from .ranks import positioned
 
 #: The most pieces of a kind listed for a pair, the files a rare word may lie in, and when a commit is large.
 MOST = {"commit": 5, "token": 5, "pattern": 3, "signature-change": 3, "test": 5}
@@ -21,8 +22,8 @@ EVIDENCE_TYPES = ("commit", "token", "pattern", "signature-change", "test", "fol
 
 
 def card_order(card: Column) -> Column:
-    """Sort key of a card's name: its letter, and its number as a number."""
-    return F.concat(F.substring(card, 1, 1), F.lpad(F.substring(card, 2, 20), 6, "0"))
+    """Sort key of a card's name: its letter, its number as a number, and the name itself, which tells names without a number apart."""
+    return F.struct(F.substring(card, 1, 1).alias("letter"), F.regexp_extract(card, r"^.(\d{1,38})$", 1).try_cast("decimal(38,0)").alias("number"), card.alias("name"))
 
 
 def in_pairs(owners: DataFrame, item: list[str], card: str = "card") -> DataFrame:
@@ -84,8 +85,7 @@ def hints(evidence: list[DataFrame]) -> DataFrame:
     found = ranked.groupBy("a", "b").agg(
         F.countDistinct(F.when(F.col("shown") & F.col("counted"), F.col("type"))).alias("strength"), pieces.cast("long").alias("pieces"),
         F.count_if(~F.col("shown") & (F.col("type") == "commit")).alias("omitted"), F.transform(F.array_sort(F.collect_list(listed)), lambda x: x["text"]).alias("evidence")).where("strength > 0")
-    order = Window.orderBy(F.desc("strength"), F.desc("pieces"), card_order(F.col("a")), card_order(F.col("b")))
-    return found.withColumn("position", F.row_number().over(order))
+    return positioned(found, [F.desc("strength"), F.desc("pieces"), card_order(F.col("a")), card_order(F.col("b"))])
 
 
 def type_seams(members: DataFrame, via: int = 10, least_name: int = 3) -> DataFrame:
@@ -109,8 +109,7 @@ def type_seams(members: DataFrame, via: int = 10, least_name: int = 3) -> DataFr
 def seam_order(seams: DataFrame) -> DataFrame:
     """``seams(type, cards array, place, ...)`` with ``position``: by kind, then the cards' numbers, then the place."""
     rank = F.array_position(F.array(*[F.lit(x) for x in SEAM_TYPES]), F.col("type"))
-    names = F.array_join(F.transform("cards", card_order), ",")
-    return seams.withColumn("position", F.row_number().over(Window.orderBy(rank, names, F.coalesce("place", F.lit("")))))
+    return positioned(seams, [rank, F.transform("cards", card_order), F.coalesce("place", F.lit(""))])
 
 
 def seam_counts(seams: DataFrame) -> DataFrame:

@@ -9,16 +9,24 @@ spans is dealt over many tasks and compares only what is near.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import Scan
 
-def merge_spans(spans: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", gap: int = 1) -> DataFrame:
-    """Overlapping or adjacent spans of a key as one (``lo <= previous hi + gap``)."""
-    before = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
-    up_to = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = F.when(F.col(lo) <= F.max(hi).over(before) + gap, 0).otherwise(1)
-    return spans.select(*keys, lo, hi).distinct().withColumn("__new", starts).withColumn("__island", F.sum("__new").over(up_to)).groupBy(*keys, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__island")
+
+def merge_spans(spans: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", gap: int = 1, bucket_rows: int | None = None) -> DataFrame:
+    """Overlapping or adjacent spans of a key as one (``lo <= furthest hi before + gap``).
+
+    Spans of one start are one row. A span that begins beyond all before it starts an island, and every other one belongs to the
+    last start before it. Both are running maxima, so a key with very many spans is dealt over many tasks.
+    """
+    furthest = spans.where(F.col(lo).isNotNull()).groupBy(*keys, lo).agg(F.max(hi).alias(hi))
+    scan = Scan(furthest, keys, lo, bucket_rows)
+    seen = scan.running(scan.rows, {"__reach": ("max", hi)}, before=True)
+    begins = seen.withColumn("__begin", F.when(F.col("__reach").isNull() | (F.col(lo) > F.col("__reach") + gap), F.col(lo)))
+    placed = scan.running(begins, {"__island": ("max", "__begin")})
+    return placed.groupBy(*keys, F.col("__island").alias(lo)).agg(F.max(hi).alias(hi))
 
 
 def widened(lo: Column, hi: Column, context: int = 3, least: int = 1) -> tuple[Column, Column]:
@@ -119,37 +127,76 @@ def holders_without_smaller(spans: DataFrame, keys: list[str], id_col: str = "id
     return spans.join(holding.select(*keys, F.col("__lo").alias("lo"), F.col("__hi").alias("hi")).distinct(), [*keys, "lo", "hi"], "left_anti").select(*spans.columns)
 
 
-def subtract(spans: DataFrame, minus: DataFrame, keys: list[str]) -> DataFrame:
-    """What is left of each key's merged spans after taking away ``minus``: maximal spans, sorted and disjoint.
+def subtract(spans: DataFrame, minus: DataFrame, keys: list[str], bucket_rows: int | None = None) -> DataFrame:
+    """What is left of each key's spans after taking away ``minus``: maximal spans, sorted and disjoint.
+
+    A sweep: starts and ends of both sides are summed by position, and running counts tell which stretch lies in a span and
+    in nothing to take away. Spans whose ``lo`` is behind their ``hi``, or with a null end, are nothing.
+    """
+    side = lambda df, own, other: df.where("lo <= hi").select(*keys, F.explode(F.array(F.struct(F.col("lo").cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col("hi").cast("long") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", F.col("e.d").alias(own), F.lit(0).alias(other))
+    steps = side(spans, "held", "taken").unionByName(side(minus, "taken", "held")).groupBy(*keys, "at").agg(F.sum("held").alias("held"), F.sum("taken").alias("taken"))
+    scan = Scan(steps, keys, "at", bucket_rows)
+    counted = scan.running(scan.rows, {"__held": ("sum", "held"), "__taken": ("sum", "taken")})
+    # A stretch reaches to the next position; it is kept, or it is where a kept one ends.
+    kept = counted.withColumn("__kept", (F.col("__held") > 0) & (F.col("__taken") <= 0))
+    off = kept.withColumn("__off", F.when(~F.col("__kept"), F.col("at")))
+    on = scan.running(off, {"__end": ("min", "__off")}, before=True, reverse=True).where("__kept")
+    kind = spans.schema["lo"].dataType
+    return on.groupBy(*keys, "__end").agg(F.min("at").alias("lo")).select(*keys, F.col("lo").cast(kind).alias("lo"), (F.col("__end") - 1).cast(spans.schema["hi"].dataType).alias("hi"))
+
+
+#: Fixed value: a line that is blank or only opens, continues or is a comment.
+TRIVIA = r"^\s*(//|/\*|\*|$)"
+
+
+def outside_lines(ranges: DataFrame, spans: DataFrame, keys: list[str], deletions: DataFrame, deleted: DataFrame, base_spans: DataFrame, base_lines: DataFrame, trivia: str = TRIVIA) -> DataFrame:
+    """``keys, lo, hi``: what of the changed ``ranges`` no span stands for; positions are doubled lines, as in :func:`owners_of_ranges`.
+
+    ``ranges`` (changed lines, even ends, or a pure deletion at one odd position) and ``spans`` (changed functions at the head) have ``lo,
+    hi``; ``deletions`` has ``at`` (odd), ``old_start, old_end`` (lines removed from the base) and ``new_end`` (last added line of a
+    replacement, null where only lines went); ``deleted`` (functions that went) and ``base_spans`` (all functions of the base) have
+    ``lo, hi`` in lines, ``base_lines`` has ``line, text``.
 
-    Works on span ends, never on single positions: both sides are merged, the gaps around the pieces to take away follow
-    from neighbouring rows, and each left span is cut to the gaps it meets.
+    Changed lines: those outside all spans, as maximal ranges. A pure deletion counts unless a span holds the lines on both sides,
+    or it is explained: it removed lines of deleted functions, and beside these only trivia. A replacement that is not explained
+    counts at its place if nothing outside was added there and it removed a line outside all functions of the base (trivia
+    beside a deleted function belongs to that one). A key without ``base_lines`` explains nothing.
     """
-    left, right = merge_spans(spans, keys), merge_spans(minus, keys)
-    order = Window.partitionBy(*keys).orderBy("lo")
-    # The open space before each piece, and after the last one.
-    gaps = right.withColumn("__from", F.coalesce(F.lag("hi").over(order) + 1, F.lit(-(1 << 60)))).withColumn("__to", F.col("lo") - 1)
-    tail = right.groupBy(*keys).agg((F.max("hi") + 1).alias("__from")).withColumn("__to", F.lit(1 << 60))
-    space = gaps.select(*keys, "__from", "__to").unionByName(tail.select(*keys, "__from", "__to"))
-    r = space.select(*[F.col(k).alias(f"__{k}") for k in keys], "__from", "__to")
-    met = left.join(r, _same(keys) & (F.col("lo") <= F.col("__to")) & (F.col("hi") >= F.col("__from")), "inner")
-    cut = met.select(*keys, F.greatest("lo", "__from").alias("lo"), F.least("hi", "__to").alias("hi"))
-    whole = left.join(right.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), _same(keys), "left_anti").select(*keys, "lo", "hi")
-    return whole.unionByName(cut.where("lo <= hi").withColumn("lo", F.col("lo").cast(left.schema["lo"].dataType)).withColumn("hi", F.col("hi").cast(left.schema["hi"].dataType)))
-
-
-def nearest_line(wanted: DataFrame, spans: DataFrame, keys: list[str], preferred: str = "preferred") -> DataFrame:
+    even = lambda df: df.where("lo % 2 = 0").select(*keys, (F.col("lo") / 2).cast("long").alias("lo"), (F.col("hi") / 2).cast("long").alias("hi"))
+    loose = subtract(even(ranges), even(spans), keys)
+    gaps = ranges.where("lo % 2 <> 0").select(*keys, F.col("lo").cast("long").alias("at")).distinct()
+    inside = stabbed(gaps, spans.select(*keys, "lo", "hi"), keys, "at").select(*keys, "at").distinct()
+
+    removed = deletions.select(*keys, F.col("at").cast("long").alias("at"), F.explode(F.sequence(F.col("old_start").cast("long"), F.col("old_end").cast("long"))).alias("line")).distinct()
+    whole = lambda df: merge_spans(df.where("lo <= hi").select(*keys, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")), keys)
+    held = lambda df, name: stabbed(removed, whole(df), keys, "line").select(*keys, "at", "line", F.lit(True).alias(name))
+    texts = base_lines.select(*keys, F.col("line").cast("long").alias("line"), F.coalesce("text", F.lit("")).rlike(trivia).alias("__trivial")).dropDuplicates([*keys, "line"])
+    known = base_lines.select(*keys).distinct().withColumn("__known", F.lit(True))
+    lines = removed.join(held(deleted, "__gone"), [*keys, "at", "line"], "left").join(held(base_spans, "__own"), [*keys, "at", "line"], "left").join(texts, [*keys, "line"], "left").join(known, keys, "left")
+    gone, own, has = (F.coalesce(c, F.lit(False)) for c in ("__gone", "__own", "__known"))
+    trivial = has & F.coalesce("__trivial", F.lit(True))  # beyond the last line there is nothing
+    judged = lines.groupBy(*keys, "at").agg(F.bool_or(gone).alias("__touches"), F.bool_and(gone | trivial).alias("__all"), F.bool_or(has).alias("__has"), F.bool_or(~own & ~trivial).alias("__other"), F.bool_or(~own).alias("__out"))
+    explained = F.col("__has") & F.col("__all") & F.col("__touches")
+    pure = gaps.join(inside, [*keys, "at"], "left_anti").join(judged.where(explained).select(*keys, "at"), [*keys, "at"], "left_anti")
+    bare = judged.where(~explained & F.when(F.col("__touches"), F.col("__other")).otherwise(F.col("__out"))).select(*keys, "at")
+    swapped = deletions.where("new_end IS NOT NULL").select(*keys, F.col("at").cast("long").alias("at"), ((F.col("at") + 1) / 2).cast("long").alias("lo"), F.col("new_end").cast("long").alias("hi")).join(bare, [*keys, "at"])
+    swapped = overlapping(swapped, loose, keys, "left_anti")
+    marks = pure.select(*keys, "at").unionByName(swapped.select(*keys, "at")).distinct().select(*keys, F.col("at").alias("lo"), F.col("at").alias("hi"))
+    return loose.select(*keys, (F.col("lo") * 2).alias("lo"), (F.col("hi") * 2).alias("hi")).unionByName(marks)
+
+
+def nearest_line(wanted: DataFrame, spans: DataFrame, keys: list[str], preferred: str = "preferred", bucket_rows: int | None = None) -> DataFrame:
     """Line of the key's spans that is nearest to ``preferred``; the earlier of two equally near ones. ``line`` is null without spans.
 
-    Spans and wanted lines of a key are read once in order and once in reverse: the span that reaches furthest before a line, and
-    the next that begins behind it.
+    Running values over the spans' starts and the wanted lines: the furthest end of the spans that begin up to a line, and the
+    first start behind it.
     """
     number = lambda: F.lit(None).cast("long")
-    asked = wanted.select(*keys, preferred).distinct().select(*keys, F.col(preferred).cast("long").alias("__at"), F.lit(1).alias("__kind"), number().alias("__lo"), number().alias("__hi"))
-    known = spans.select(*keys, F.col("lo").cast("long").alias("__at"), F.lit(0).alias("__kind"), F.col("lo").cast("long").alias("__lo"), F.col("hi").cast("long").alias("__hi"))
-    up = Window.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = asked.unionByName(known).withColumn("__before", F.max("__hi").over(up)).withColumn("__after", F.min("__lo").over(down)).where("__kind = 1")
+    asked = wanted.where(F.col(preferred).isNotNull()).select(*keys, F.col(preferred).cast("long").alias("__at"), F.lit(True).alias("__asked"), number().alias("__lo"), number().alias("__hi"))
+    known = spans.where("lo <= hi").select(*keys, F.col("lo").cast("long").alias("__at"), F.lit(False).alias("__asked"), F.col("lo").cast("long").alias("__lo"), F.col("hi").cast("long").alias("__hi"))
+    marks = asked.unionByName(known).groupBy(*keys, "__at").agg(F.bool_or("__asked").alias("__asked"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    scan = Scan(marks, keys, "__at", bucket_rows)
+    seen = scan.running(scan.running(scan.rows, {"__before": ("max", "__hi")}), {"__after": ("min", "__lo")}, before=True, reverse=True).where("__asked")
     before, after, at = F.col("__before"), F.col("__after"), F.col("__at")
     line = F.when(before >= at, at).when(after.isNull() | (at - before <= after - at), before).otherwise(after)
     kind = spans.schema["lo"].dataType

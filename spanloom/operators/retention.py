@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import positioned
+
 
 def older_than(created: Column, now: Column, milliseconds: int) -> Column:
     """Strictly older: a row of exactly that age stays."""
@@ -109,8 +111,8 @@ def picker_rows(pulls: DataFrame, recent_numbers: DataFrame) -> DataFrame:
     last = pulls.join(recent_numbers.select("number", F.col("position").alias("__recent")), "number", "left")
     section = F.when(F.col("__recent").isNotNull(), "recent").otherwise(F.col("grp"))
     rank = F.array_position(F.array(*[F.lit(x) for x in PICKER_GROUPS]), section)
-    order = Window.orderBy(rank, F.coalesce("__recent", "ord"), "number")
-    return last.select(section.alias("section"), "number", F.row_number().over(order).alias("position"))
+    listed = last.select(section.alias("section"), "number", rank.alias("__rank"), F.coalesce("__recent", "ord").alias("__ord"))
+    return positioned(listed, [F.col("__rank"), F.col("__ord"), F.col("number")]).select("section", "number", "position")
 
 
 def round_rows(items: DataFrame, statuses: DataFrame, changed: DataFrame) -> DataFrame:

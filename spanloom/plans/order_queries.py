@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -24,6 +24,19 @@ def q92_changes_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.changes(_customers(spark, sf_dir)).select("id", "position")
 
 
+def _mixed_name(number: Column) -> Column:
+    """Names that people order differently than codes do: small and capital letters mixed, of several lengths."""
+    letter = F.substring(F.lit("bBaAdDcC"), (number % 8 + 1).cast("int"), F.lit(1))
+    return F.concat(letter, F.repeat(F.lit("x"), (number % 3).cast("int")), (number % 5).cast("string"), F.when(number % 2 == 0, F.lit("e")).otherwise(F.lit("E")))
+
+
+def q92b_mixed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by year and a name in which small and capital letters mix."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.year("o_orderdate").alias("score"), _mixed_name(k).alias("label"), k.alias("ord"))
+    return orders.changes(rows).select("id", "label", "position")
+
+
 def q93_files_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as files: level, attention, rows, path."""
     return orders.files(_customers(spark, sf_dir)).select("id", "position")
@@ -202,7 +215,7 @@ def q119_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q92_changes_order, q93_files_order, q94_tree_order, q95_card_groups, q96_card_rows, q97_file_rows, q98_reading, q99_callers_order, q100_seam_order, q101_overloads, q102_containers, q103_file_groups, q104_threads_of_ranges, q105_threads_of_side, q106_subsets,
+    q92_changes_order, q92b_mixed_names, q93_files_order, q94_tree_order, q95_card_groups, q96_card_rows, q97_file_rows, q98_reading, q99_callers_order, q100_seam_order, q101_overloads, q102_containers, q103_file_groups, q104_threads_of_ranges, q105_threads_of_side, q106_subsets,
     q107_routed, q108_recent, q109_picker, q110_used_keys, q111_round_rows, q112_next_unreviewed, q113_first_seen, q114_with_cards, q115_caller_rows, q116_names, q117_shape_words, q118_worktrees, q119_run_counts)}
 
 _THREADS = "threads AS (SELECT event_id AS thread, 'p' || (user_id % 20) AS path, CASE WHEN event_id % 3 = 0 THEN 'LEFT' ELSE 'RIGHT' END AS side, CASE WHEN event_id % 10 <> 0 THEN CAST(floor(value) AS INT) END AS line FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0)"
@@ -210,6 +223,8 @@ _LINES = "lines AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_or
 
 SQL = {
     "q92_changes_order": "SELECT c_custkey AS id, row_number() OVER (ORDER BY floor(c_acctbal) DESC, c_name, c_custkey) AS position FROM customer",
+    "q92b_mixed_names": """WITH n AS (SELECT o_orderkey AS id, year(o_orderdate) AS score, substr('bBaAdDcC', CAST(o_orderkey % 8 + 1 AS INT), 1) || repeat('x', CAST(o_orderkey % 3 AS INT)) || (o_orderkey % 5) || CASE WHEN o_orderkey % 2 = 0 THEN 'e' ELSE 'E' END AS label FROM orders)
+        SELECT id, label, row_number() OVER (ORDER BY score DESC, lower(label), translate(label, 'abcdeABCDE', 'ABCDEabcde'), id) AS position FROM n""",
     "q93_files_order": "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_nationkey % 5, c_custkey % 4 DESC, c_custkey % 7 DESC, c_name) AS position FROM customer",
     "q94_tree_order": "SELECT c_nationkey AS parent, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_nationkey % 5, c_custkey % 4 DESC, CASE c_custkey % 3 WHEN 0 THEN c_custkey % 11 WHEN 1 THEN c_custkey % 7 ELSE 1 END DESC, c_name) AS position FROM customer",
     "q95_card_groups": "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey % 9 = 0, c_custkey % 4 = 0 DESC, c_custkey % 7 DESC, c_custkey) AS position FROM customer",

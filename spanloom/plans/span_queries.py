@@ -38,6 +38,26 @@ def q04_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.subtract(spans, spans.where("flag = 'R'"), ["k"])
 
 
+def q04b_outside_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed lines of each order that no changed function stands for, with deletions explained by deleted functions.
+
+    N spans are changed ranges, A spans functions at the head. Every R line is a deletion behind its first line, at odd numbers a
+    replacement of three lines; functions of the base lie at twenty to forty, the deleted one at thirty to forty, and every third line is blank.
+    """
+    spans = line_spans(spark, sf_dir)
+    doubled = lambda df: df.select("k", (F.col("lo") * 2).alias("lo"), (F.col("hi") * 2).alias("hi"))
+    gone = spans.where("flag = 'R'")
+    at = F.col("lo") * 2 + 1
+    replaced = F.col("lo") % 2 == 1
+    deletions = gone.select("k", at.alias("at"), F.col("lo").alias("old_start"), F.col("hi").alias("old_end"), F.when(replaced, F.col("lo") + 3).alias("new_end"), "ord")
+    first = deletions.groupBy("k", "at").agg(F.min_by(F.struct("old_start", "old_end", "new_end"), "ord").alias("d")).select("k", "at", "d.*")
+    ranges = doubled(spans.where("flag = 'N'")).union(gone.where(~replaced).select("k", at, at)).union(gone.where(replaced).select("k", at + 1, F.col("lo") * 2 + 6))
+    orders = spans.select("k").distinct()
+    whole = lambda a, b: orders.select("k", F.lit(a).alias("lo"), F.lit(b).alias("hi"))
+    texts = orders.where("k % 2 = 0").select("k", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("line")).withColumn("text", F.when(F.col("line") % 3 == 0, "  ").otherwise("x = 1"))
+    return intervals.outside_lines(ranges, doubled(spans.where("flag = 'A'")), ["k"], first, whole(30, 40), whole(20, 40), texts)
+
+
 def q05_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with an event of another type of the same user whose value lies within three."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.floor("value").cast("int").alias("lo")).withColumn("hi", F.col("lo"))
@@ -145,7 +165,7 @@ _PAGES = "pages_ AS (SELECT page_id, url, regexp_extract(url, '://([^?#]*)', 1)
 _FOLDERS = "above AS (SELECT page_id, url, path, array_to_string(parts[1:i], '/') AS folder FROM (SELECT *, string_split(path, '/') AS parts FROM pages_), generate_series(1, 40) AS g(i) WHERE i < len(parts))"
 _INNER = "SELECT w.k, w.at, s.lo, s.hi, s.id FROM w LEFT JOIN LATERAL (SELECT lo, hi, ord AS id FROM spans s WHERE s.k = w.k AND w.at BETWEEN s.lo AND s.hi {extra} ORDER BY hi - lo, ord LIMIT 1) s ON true"
 
-QUERIES = {f.__name__: f for f in (q01_merge_spans, q02_site_states, q03_innermost, q03b_leaf_spans, q04_subtract, q05_near, q06_stale_findings, q07_not_renumbered, q24_ancestor, q25_folders, q35_row_at_line, q51_widened, q52_nearest_line, q53_ownership, q54_paired_overloads, q55_twins, q56_line_positions)}
+QUERIES = {f.__name__: f for f in (q01_merge_spans, q02_site_states, q03_innermost, q03b_leaf_spans, q04_subtract, q04b_outside_lines, q05_near, q06_stale_findings, q07_not_renumbered, q24_ancestor, q25_folders, q35_row_at_line, q51_widened, q52_nearest_line, q53_ownership, q54_paired_overloads, q55_twins, q56_line_positions)}
 
 SQL = {
     "q01_merge_spans": f"WITH {SPANS_SQL}, {_MERGE.format(name='m', source='spans')} SELECT k, lo, hi FROM m",
@@ -154,6 +174,16 @@ SQL = {
     "q03b_leaf_spans": f"WITH {SPANS_SQL} SELECT k, ord, lo, hi FROM spans p WHERE NOT EXISTS (SELECT 1 FROM spans q WHERE q.k = p.k AND q.lo >= p.lo AND q.hi <= p.hi AND q.hi - q.lo < p.hi - p.lo)",
     "q04_subtract": f"""WITH {SPANS_SQL}, points AS (SELECT DISTINCT k, unnest(generate_series(lo, hi)) AS x FROM spans), gone AS (SELECT DISTINCT k, unnest(generate_series(lo, hi)) AS x FROM spans WHERE flag = 'R'),
         kept AS (SELECT * FROM points EXCEPT SELECT * FROM gone) SELECT k, CAST(min(x) AS INT) AS lo, CAST(max(x) AS INT) AS hi FROM (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS island FROM kept) GROUP BY k, island""",
+    "q04b_outside_lines": f"""WITH {SPANS_SQL}, gone AS (SELECT k, lo, arg_min(hi, ord) AS hi FROM spans WHERE flag = 'R' GROUP BY k, lo),
+        added AS (SELECT k, lo, hi FROM spans WHERE flag = 'N' UNION ALL SELECT k, lo + 1, lo + 3 FROM gone WHERE lo % 2 = 1),
+        points AS (SELECT DISTINCT k, unnest(generate_series(lo, hi)) AS x FROM added), kept AS (FROM points EXCEPT SELECT k, unnest(generate_series(lo, hi)) FROM spans WHERE flag = 'A'),
+        loose AS (SELECT k, min(x) * 2 AS lo, max(x) * 2 AS hi FROM (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS island FROM kept) GROUP BY k, island),
+        judged AS (SELECT k, lo, bool_or(x BETWEEN 30 AND 40) AS touches, bool_and(x BETWEEN 30 AND 40 OR (k % 2 = 0 AND (x % 3 = 0 OR x > 60))) AS covered,
+            bool_or(x NOT BETWEEN 20 AND 40) AS outside, bool_or(x NOT BETWEEN 20 AND 40 AND NOT (k % 2 = 0 AND (x % 3 = 0 OR x > 60))) AS other FROM (SELECT k, lo, unnest(generate_series(lo, hi)) AS x FROM gone) GROUP BY k, lo),
+        marks AS (SELECT k, lo * 2 + 1 AS m FROM judged j WHERE NOT (k % 2 = 0 AND covered AND touches) AND CASE WHEN lo % 2 = 0
+            THEN NOT EXISTS (SELECT 1 FROM spans s WHERE s.k = j.k AND s.flag = 'A' AND s.lo <= j.lo AND s.hi > j.lo)
+            ELSE CASE WHEN touches THEN other ELSE outside END AND NOT EXISTS (SELECT 1 FROM kept p WHERE p.k = j.k AND p.x BETWEEN j.lo + 1 AND j.lo + 3) END)
+        SELECT k, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM loose UNION ALL SELECT k, m, m FROM marks""",
     "q05_near": "SELECT event_id, user_id, CAST(floor(value) AS INT) AS value FROM events e WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id AND o.event_type <> 'click' AND floor(o.value) BETWEEN floor(e.value) - 3 AND floor(e.value) + 3)",
     "q06_stale_findings": """WITH sides AS (SELECT o_custkey, o_orderpriority, month(o_orderdate) % 2 AS side, count(*) AS n, max(o_orderkey) AS order_key FROM orders GROUP BY ALL),
         change AS (SELECT h.o_custkey, h.o_orderpriority, h.order_key, CASE WHEN b.n IS NULL THEN 'added' ELSE 'changed' END AS status FROM (SELECT * FROM sides WHERE side = 1) h
