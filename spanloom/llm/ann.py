@@ -201,19 +201,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     """``query_id, rank, vec_id, score``: for each row of ``queries`` its k nearest found rows of ``vectors``, itself left out.
 
     The measure is the cosine in double precision, summed row by row, so equal vectors have equal scores wherever they lie;
-    ties go to the smaller id. Rotation and radius are fitted to at most ``sample`` vectors, by hash order of the id, for
-    each vector length of which the sample has ``least_sample``; vectors of a rarer length are ranked without an index.
-    Every valid vector is searched, each length apart. Vectors that are null, zero, or hold null or non-finite components
+    ties go to the smaller id. Rotation and radius are fitted to at most ``sample`` vectors of each vector
+    length, by hash order of the id; lengths of which the table has fewer than ``least_sample`` rows are ranked without an
+    index. Every valid vector is searched, each length apart. Vectors that are null, zero, or hold null or non-finite components
     take no part, nor do rows without an id. Where there are fewer than k other rows of the query's length all are returned.
     Repeated rows are candidates each; a repeated query returns once. Empty tables give no rows. Columns other than the id
     and the vector are not read, so clashing names do not matter.
     """
     spark = vectors.sparkSession
     rows, asked = _valid(vectors, id_col, vector_col), _valid(queries, id_col, vector_col).dropDuplicates(["id"])
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    lengths = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
     by_length: dict[int, list] = {}
-    for v in chosen["vector"]:
-        by_length.setdefault(len(v), []).append(v)
+    for d, n in sorted(lengths.collect()):  # a row a length; each has a sample of its own
+        if n >= least_sample:
+            by_length[d] = rows.where(F.size("vector") == d).orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["vector"].tolist()
     coders = spark.sparkContext.broadcast({d: learned(np.array(vs, dtype=np.float64), k=k) for d, vs in by_length.items() if len(vs) >= least_sample})
     size = asked.agg(F.sum(F.size("vector") * 8 + 64)).first()[0] or 0
     chunks = max(1, math.ceil(size / chunk_bytes))

@@ -12,8 +12,8 @@ indexed once, under their smallest id, however many there are; :func:`item_class
 
 A benchmark of at most ``block_chars`` characters (counted) is broadcast, and the join takes place inside one scan of the
 documents. A larger one is never broadcast: seed rows of both sides, each with the words around it, are joined by Spark on
-their hash. A bitmap of fixed size, built from the benchmark's seeds, keeps document seeds without a partner out of that
-shuffle. Both ways return the same rows.
+their hash. A bitmap of fixed size, built from the benchmark's seeds in chunks by tasks, keeps document seeds without a
+partner out of that shuffle. Both ways return the same rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap
 from .scratch import written
 from .text import fold_alnum, mixed, run_hash, slices, word_hashes
 
@@ -177,13 +178,14 @@ def _index(items: DataFrame, window: int, least: int) -> Index:
     return Index(rows.column("item_id").to_pylist(), [np.asarray(w.values, np.int64).view(np.uint64) for w in rows.column("words")], window, least)
 
 
-#: Words of a seed row before and after the seed's first word.
-_BEFORE, _AFTER = WINDOW - 1, WINDOW
 _SEED = "id long, seed long, at int, n int, low int, words array<long>"
 
 
-def _seed_rows(h: np.ndarray, starts: np.ndarray, rows: list[tuple[str, int]], bits: np.ndarray | None, texts=None) -> Iterator[tuple]:
-    """(text, seed, position, words of the text, position of the first word given, words around) of each seed of each text."""
+def _seed_rows(h: np.ndarray, starts: np.ndarray, rows: list[tuple[str, int]], bits: np.ndarray | None, window: int, texts=None) -> Iterator[tuple]:
+    """(text, seed, position, words of the text, position of the first word given, words around) of each seed of each text.
+
+    The words around are those of every window that holds the seed's first word.
+    """
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     for mask, salt in rows:
         own = seeds(h, mask, salt)
@@ -196,7 +198,7 @@ def _seed_rows(h: np.ndarray, starts: np.ndarray, rows: list[tuple[str, int]], b
             at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         for p in at.tolist():
             t = int(owner[p])
-            low, high = max(int(starts[t]), p - _BEFORE), min(int(starts[t + 1]), p + _AFTER)
+            low, high = max(int(starts[t]), p - window + 1), min(int(starts[t + 1]), p + window)
             yield t, int(own[p : p + 1].view(np.int64)[0]), p - int(starts[t]), int(starts[t + 1] - starts[t]), low - int(starts[t]), h[low:high].view(np.int64)
 
 
@@ -225,7 +227,7 @@ def _benchmark_seeds(items: DataFrame, window: int, least: int) -> DataFrame:
                 if len(h) < least:
                     rows.append((item, _whole_seed(h), 0, len(h), 0, h.view(np.int64)))
                 else:
-                    rows += [(item, *r[1:]) for r in _seed_rows(h, starts, _masks(len(h) < window), None)]
+                    rows += [(item, *r[1:]) for r in _seed_rows(h, starts, _masks(len(h) < window), None, window)]
                 if len(rows) > 50_000:
                     yield _emit(rows)
                     rows = []
@@ -234,7 +236,7 @@ def _benchmark_seeds(items: DataFrame, window: int, least: int) -> DataFrame:
     return items.mapInArrow(read, _SEED)
 
 
-def _document_seeds(rows: DataFrame, bits, least: int) -> DataFrame:
+def _document_seeds(rows: DataFrame, bits, window: int, least: int) -> DataFrame:
     """Seed rows of ``rows(key, text)`` that the map lets through; ``key`` is binary."""
     schema = _SEED.replace("id long", "key binary")
 
@@ -243,7 +245,7 @@ def _document_seeds(rows: DataFrame, bits, least: int) -> DataFrame:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for begin, h, starts in _sequences(batch, 1):
-                out = list(_seed_rows(h, starts, every, bits.value))
+                out = list(_seed_rows(h, starts, every, bits.value, window))
                 for t in np.flatnonzero((np.diff(starts) > 0) & (np.diff(starts) < least)).tolist():
                     own = h[starts[t] : starts[t + 1]]
                     out.append((t, _whole_seed(own), 0, len(own), 0, own.view(np.int64)))
@@ -279,16 +281,12 @@ def _compared(window: int, percent: int, least: int):
 
 def _joined(rows: DataFrame, items: DataFrame, window: int, percent: int, least: int) -> DataFrame:
     """``key`` and the columns of a match for texts ``rows(key, text)``, by a shuffled join on seeds."""
-    if window > WINDOW:
-        raise ValueError(f"seed rows hold windows of at most {WINDOW} words")
     spark = rows.sparkSession
     own = written(_benchmark_seeds(items, window, least), "decontam-seeds")
     # Spark's pmod of the signed hash is the remainder of the unsigned one: the map's size divides 2^64.
     place = F.pmod(F.col("seed"), F.lit(_MAP_BITS))
-    words = own.groupBy(F.floor(place / 8).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))).alias("bits")).toPandas()
-    held = np.zeros(_MAP_BITS // 8, np.uint8)
-    held[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.uint8)
-    theirs = _document_seeds(rows, spark.sparkContext.broadcast(held), least)
+    held = bitmap(own, place, _MAP_BITS)
+    theirs = _document_seeds(rows, spark.sparkContext.broadcast(held), window, least)
     right = own.select(F.col("id").alias("item_id"), "seed", F.col("at").alias("i_at"), F.col("n").alias("i_n"), F.col("low").alias("i_low"), F.col("words").alias("i_words"))
     hits = theirs.join(right, "seed").select("key", "item_id", "at", "low", "words", "n", "i_at", "i_n", "i_low", "i_words")
     found = hits.mapInArrow(_compared(window, percent, least), "key binary, " + MATCHES.split(", ", 1)[1])

@@ -112,10 +112,22 @@ def buckets_of(texts: list[str], n_buckets: int, orders: tuple[int, ...]) -> Ite
         yield emit(numbers, parts)
 
 
+#: Languages whose counts a task holds at once; a further one hands the others on to the aggregation.
+_HELD = 256
+
+
 def _count(n_buckets: int, orders: tuple[int, ...]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, total in totals.items():
+                at = np.flatnonzero(total[:n_buckets])
+                yield pa.record_batch([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], docs[lang]), pa.int64())], ["lang", "bucket", "n"])
+            totals.clear()
+            docs.clear()
+
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for begin, part in slices(batch, 0):
@@ -123,13 +135,13 @@ def _count(n_buckets: int, orders: tuple[int, ...]):
                 for text, lang in zip(part, langs[begin:], strict=False):
                     by_lang.setdefault(lang, []).append(text)
                 for lang, texts in by_lang.items():
+                    if lang not in totals and len(totals) >= _HELD:
+                        yield from emit()
                     total = totals.setdefault(lang, np.zeros(n_buckets + 1, np.int64))
                     docs[lang] = docs.get(lang, 0) + len(texts)
                     for _, _, buckets, _ in buckets_of(texts, n_buckets, orders):
                         total += np.bincount(buckets.ravel(), minlength=n_buckets + 1)
-        for lang, total in totals.items():
-            at = np.flatnonzero(total[:n_buckets])
-            yield pa.record_batch([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], docs[lang]), pa.int64())], ["lang", "bucket", "n"])
+        yield from emit()
 
     return count
 

@@ -3,7 +3,8 @@
 All lines are hashed in one scan and dealt once, by digest, into a table of sorted buckets: ``part, digest, docs``, how many
 documents of each batch of arrivals hold the line. Every later step is a merge of tables with these buckets and needs no
 further shuffle. A run is such a table of one batch. A new batch is merge-anti-joined with the digests already known as
-frequent, which need no further counting, and what is left becomes a run of level 0. Whenever a level holds ``fanout`` runs
+frequent, which need no further counting, and what is left becomes a run of level 0. (With a threshold of two, known digests
+would be all those of the runs, and this the plain anti-join of a batch with them; with ten a digest must be counted until then.) Whenever a level holds ``fanout`` runs
 they are merged into one run of the next level, so a digest is rewritten once per level, and the digests found frequent
 then are a run of their own for the anti-joins to come.
 
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap
 from .scratch import drop, new_folder, written
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -164,7 +166,7 @@ def _clean(min_chars: int, shared):
     return clean
 
 
-#: Bits of the map in front of the shuffled join of lines and frequent digests: 16 MB, whatever their number.
+#: Bits of the map in front of the shuffled join of lines and frequent digests: 16 MB, whatever their number, made in chunks by tasks.
 _MAP_BITS = 1 << 27
 
 
@@ -187,11 +189,7 @@ def _hits(min_chars: int, held):
 
 def _map_of(frequent: DataFrame) -> np.ndarray:
     place = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(_MAP_BITS))
-    bit = F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))
-    words = frequent.groupBy(F.floor(place / 8).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    held = np.zeros(_MAP_BITS // 8, np.uint8)
-    held[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.uint8)
-    return held
+    return bitmap(frequent, place, _MAP_BITS)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1,

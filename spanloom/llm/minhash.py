@@ -170,6 +170,8 @@ def _settle(percent: int):
     return settle
 
 
+#: Families of several blocks that are broadcast.
+_MOST_BROADCAST = 100_000
 #: Shingles of a task, and what a block may hold at most when a family would otherwise have more than ``_MANY`` blocks.
 _TASK_SHINGLES, _MOST_SHINGLES, _MANY = 100_000, 4_000_000, 64
 
@@ -184,9 +186,10 @@ def _links(rows: DataFrame, percent: int, block_shingles: int) -> DataFrame:
     blocks = F.greatest(F.least(F.ceil(F.col("total") / block_shingles), F.lit(_MANY)), F.ceil(F.col("total") / _MOST_SHINGLES)).cast("int")
     sizes = sizes.withColumn("blocks", blocks)
     bins = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // block_shingles))
-    # Families of one block share bins, those of several get every pair of their blocks. The latter are few: each has more
-    # than ``block_shingles`` shingles.
-    several = F.broadcast(sizes.where("blocks > 1").select(F.col("family").alias("__large"), "blocks"))
+    # Families of one block share bins, those of several get every pair of their blocks. Up to a counted number the latter are
+    # broadcast; more of them are joined like any table.
+    several = written(sizes.where("blocks > 1").select(F.col("family").alias("__large"), "blocks"), "minhash-large")
+    several = F.broadcast(several) if several.count() <= _MOST_BROADCAST else several
     dealt = rows.join(several, F.col("family") == F.col("__large"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     one = F.struct(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.col("family").alias("key"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))

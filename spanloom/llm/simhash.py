@@ -269,7 +269,7 @@ def links(codes: DataFrame, *, radius: int = 3, trees: int = 2, shard_size: int
     depth = ceil(log2(max(1, n / shard_size)))
     forest = spark.sparkContext.broadcast([Tree(drawn, _tests(part, radius), depth) for part in _parts(trees, radius)])
     placed = codes.select("code").mapInArrow(_placed(forest), _PLACED)
-    return placed.groupBy("tree", "shard").applyInArrow(_settled(forest, radius), "a long, b long").distinct()
+    return written(placed.groupBy("tree", "shard").applyInArrow(_settled(forest, radius), "a long, b long"), "simhash-links")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, trees: int = 2,
