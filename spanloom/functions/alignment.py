@@ -23,7 +23,7 @@ def edits(a: list[str], b: list[str]) -> list[dict] | None:
     x, y = a[low : len(a) - high], b[low : len(b) - high]
     if not x and not y:
         return []
-    if (len(x) + 1) * (len(y) + 1) > MOST_CELLS:
+    if len(x) * len(y) > MOST_CELLS:
         return None
     common = np.zeros((len(x) + 1, len(y) + 1), np.int32)
     codes = {t: n for n, t in enumerate(dict.fromkeys([*x, *y]))}

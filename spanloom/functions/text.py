@@ -277,10 +277,18 @@ def signature(params: Column, returns: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """Equal text for JSON objects of equal fields: keys in order at the top, values as they stand; null for what is no object."""
-    fields = F.from_json(text, "map<string,string>")
-    pairs = F.array_sort(F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
-    return F.when(fields.isNotNull(), F.to_json(F.map_from_entries(pairs)))
+    """Equal text for equal JSON values: keys in order at every depth, types kept, numbers in one form; null for what is no JSON or repeats a key."""
+    return F.to_json(F.try_parse_json(text))
+
+
+#: A JSON string, which may hold what looks like a comment or a comma.
+_JSON_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
+
+
+def commented_json(text: Column) -> Column:
+    """JSON with comments and commas behind the last element, as a variant; null for what is no JSON even so."""
+    plain = F.regexp_replace(text, _JSON_STRING + r"|//[^\n]*+|(?s:/\*.*?\*/)", "$1")
+    return F.try_parse_json(F.regexp_replace(plain, _JSON_STRING + r"|,(?=\s*[}\]])", "$1"))
 
 
 def symbol_identity(path: Column, key: Column, prefix: Column, text: Column) -> Column:

@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 from .graph import components
 from .ranks import positioned
 from .scans import Scan
-from .tables import dropped, stored
+from .tables import dropped, stored, stored_with_count
 
 
 def _compressed(up: DataFrame) -> DataFrame:
     """``c, p``: the end of each chain of ``c -> p``, by pointer doubling; chains have no cycle."""
     while True:
         then = up.select(F.col("c").alias("p"), F.col("p").alias("q"))
-        moved = stored(up.join(then, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "forest-up")
+        moved, n = stored_with_count(up.join(then, "p", "left").select("c", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "forest-up", F.col("moved"))
         up = moved.select("c", "p")
-        if moved.where("moved").isEmpty():
+        if not n:
             return up
 
 
@@ -35,9 +35,9 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     Each round every tree hooks itself to a neighbour with a smaller hash (another one each round), by one edge each; hashes fall
     along the hooks, so these make no cycle, and about half of the trees vanish.
     """
-    live = stored(edges.where("a <> b").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "forest-edges")
+    live, n = stored_with_count(edges.where("a <> b").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "forest-edges", F.lit(True))
     found, k = live.select("a", "b").limit(0), 0
-    while not live.isEmpty():
+    while n:
         rank = lambda c, k=k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("n"))
         both = live.select(F.col("ca").alias("c"), F.col("cb").alias("o"), "a", "b").unionByName(live.select(F.col("cb").alias("c"), F.col("ca").alias("o"), "a", "b"))
         least = both.where(rank("o") < rank("c")).groupBy("c").agg(F.min(F.struct(rank("o").alias("o"), "a", "b")).alias("m"))
@@ -45,7 +45,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         found = found.unionByName(hooks.select("a", "b"))
         up = _compressed(hooks.select("c", "p"))
         moved = live.join(up.select(F.col("c").alias("ca"), F.col("p").alias("pa")), "ca", "left").join(up.select(F.col("c").alias("cb"), F.col("p").alias("pb")), "cb", "left")
-        after = stored(moved.select("a", "b", F.coalesce("pa", "ca").alias("ca"), F.coalesce("pb", "cb").alias("cb")).where("ca <> cb"), "forest-edges")
+        after, n = stored_with_count(moved.select("a", "b", F.coalesce("pa", "ca").alias("ca"), F.coalesce("pb", "cb").alias("cb")).where("ca <> cb"), "forest-edges", F.lit(True))
         dropped(live)
         live, k = after, k + 1
     return found
@@ -53,10 +53,11 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 def _ranked(arcs: DataFrame) -> DataFrame:
     """``u, v, left``: how many arcs of the tour come after each, by pointer doubling over ``u, v, nu, nv`` (the next arc; null at the end)."""
-    now = stored(arcs.withColumn("left", F.col("nu").isNotNull().cast("long")), "tour")
-    while not now.where("nu IS NOT NULL").isEmpty():
+    now, n = stored_with_count(arcs.withColumn("left", F.col("nu").isNotNull().cast("long")), "tour", F.col("nu").isNotNull())
+    while n:
         then = now.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("mu"), F.col("nv").alias("mv"), F.col("left").alias("more"))
-        after = stored(now.join(then, ["nu", "nv"], "left").select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "tour")
+        further = now.join(then, ["nu", "nv"], "left").select("u", "v", F.col("mu").alias("nu"), F.col("mv").alias("nv"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
+        after, n = stored_with_count(further, "tour", F.col("nu").isNotNull())
         dropped(now)
         now = after
     return now.select("u", "v", "left")
@@ -90,7 +91,7 @@ def _over_subtrees(hung: DataFrame) -> DataFrame:
     for k in range(deepest + 1):
         own = hung.where(level(F.col("size")) == k).select("v", "g", (F.col("g") + F.col("size") - (1 << k)).alias("h"))
         end = runs.select(F.col("g").alias("h"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-        found = own.join(runs, "g").join(end, "h").select("v", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high"))
+        found = stored(own.join(runs, "g").join(end, "h").select("v", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high")), "runs-found")
         out = found if out is None else out.unionByName(found)
         if k < deepest:
             ahead = runs.select((F.col("g") - (1 << k)).alias("g"), F.col("low").alias("low2"), F.col("high").alias("high2"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import top_per_group
 from .tables import dropped, stored
 
 
@@ -73,15 +74,78 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def reach_states(starts: DataFrame, edges: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
-    """Test reach of every start: ``covered`` if a test lies within ``depth``, else ``unknown`` if any searched node's callers are
-    incomplete, else ``uncovered``. ``facts`` has ``node, is_test, complete``; a node without facts is complete and no test."""
-    found = reach(starts, edges, depth).unionByName(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
-    known = found.join(facts, "node", "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)) & (F.col("depth") > 0))
-    # A node at the last level is not searched itself, so its own incompleteness does not matter.
-    open_ = ~F.coalesce("complete", F.lit(True)) & (F.col("depth") < depth)
-    state = F.when(F.bool_or("is_test"), "covered").when(F.bool_or(open_), "unknown").otherwise("uncovered")
-    return known.groupBy("start").agg(state.alias("state"), F.min(F.when(F.col("is_test"), F.col("depth"))).alias("test_depth"))
+def _first_steps(step: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct targets of each source. A walk that may admit fewer nodes than that is full behind any source with more."""
+    return top_per_group(step.distinct(), ["src"], [F.col("dst")], most)
+
+
+def reach_within(starts: DataFrame, edges: DataFrame, depth: int, budget: int) -> DataFrame:
+    """``start, reached, capped``: how many nodes lie within ``depth`` steps of each start, the start itself if a way leads back to it.
+
+    Breadth first. A start with ``budget`` nodes is full: it leaves the walk before the next join, with ``reached`` the budget
+    and ``capped``, which is a lower bound. A level thus has at most ``budget`` squared rows a start, whatever the degrees.
+    """
+    step = stored(_first_steps(edges.select("src", "dst").where("src <> dst"), budget), "within-steps")
+    done = None
+    frontier = starts.select("start", F.col("start").alias("node")).distinct()
+    seen = frontier.limit(0)
+    for _ in range(depth):
+        new = frontier.join(step, frontier.node == step.src).select("start", F.col("dst").alias("node")).distinct()
+        new = stored(new.join(seen, ["start", "node"], "left_anti"), "within-new")
+        if new.isEmpty():
+            break
+        total = seen.unionByName(new).groupBy("start").agg(F.count("*").alias("n"))
+        full = stored(total.where(F.col("n") >= budget).select("start", F.lit(budget).cast("long").alias("reached"), F.lit(True).alias("capped")), "within-full")
+        done = full if done is None else done.unionByName(full)
+        open_ = lambda df: df.join(full.select("start"), "start", "left_anti")  # noqa: E731, B023
+        seen, frontier = stored(open_(seen.unionByName(new)), "within-seen"), open_(new)
+    rest = seen.groupBy("start").agg(F.count("*").alias("reached")).withColumn("capped", F.lit(False))
+    known = rest if done is None else done.unionByName(rest)
+    return starts.select("start").distinct().join(known, "start", "left").select("start", F.coalesce("reached", F.lit(0)).alias("reached"), F.coalesce("capped", F.lit(False)).alias("capped"))
+
+
+#: Callers that a search for tests may visit, and why it is not sure.
+REACH_BUDGET = 120
+UNFINISHED = "a caller query did not finish"
+
+
+def reach_states(starts: DataFrame, edges: DataFrame, facts: DataFrame, depth: int, budget: int = REACH_BUDGET) -> DataFrame:
+    """Test reach of every start, ``start, state, test_depth, reason``: ``covered`` if a test calls a searched node, else ``unknown`` if the search stopped at its
+    budget or met a node whose callers are incomplete, else ``uncovered``. ``facts`` has ``node, is_test, complete``; a node without
+    facts is complete and no test.
+
+    Breadth first: nodes less than ``depth`` steps away are searched, level by level. A test among a level's callers counts whatever
+    the budget has left; without one, more than ``budget`` callers in all stop the search. The start leaves as soon as it is settled.
+    """
+    step = edges.select("src", "dst").where("src <> dst").distinct()
+    known = facts.select("node", F.coalesce("is_test", F.lit(False)).alias("is_test"), F.coalesce("complete", F.lit(True)).alias("complete"))
+    tests = step.join(known.where("is_test").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), F.lit(True).alias("tested")).distinct()
+    notes = stored(known.where("NOT complete").select("node", F.lit(True).alias("partial")).join(tests, "node", "full_outer"), "reach-notes")
+    step = stored(_first_steps(step, budget + 1), "reach-steps")
+    frontier = starts.select("start", F.col("start").alias("node")).distinct()
+    seen, noted, done = frontier, frontier.select("start").limit(0), None
+    row = lambda df, state, at, why: df.select("start", F.lit(state).alias("state"), F.lit(at).cast("int").alias("test_depth"), F.lit(why).cast("string").alias("reason"))
+    add = lambda done, df: df if done is None else done.unionByName(df)
+    for d in range(1, depth + 1):
+        level = frontier.join(notes, "node", "left").groupBy("start").agg(F.bool_or(F.coalesce("tested", F.lit(False))).alias("tested"), F.bool_or(F.coalesce("partial", F.lit(False))).alias("partial"))
+        level = stored(level, "reach-level")
+        covered = level.where("tested").select("start")
+        done = add(done, row(covered, "covered", d, None))
+        noted = stored(noted.unionByName(level.where("partial AND NOT tested").select("start")).distinct(), "reach-noted")
+        new = frontier.join(covered, "start", "left_anti").join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        new = stored(new.join(seen, ["start", "node"], "left_anti"), "reach-new")
+        # The start is seen and was not admitted.
+        over = stored(seen.unionByName(new).join(covered, "start", "left_anti").groupBy("start").agg((F.count("*") - 1).alias("n")).where(F.col("n") > budget).select("start"), "reach-over")
+        first = over.join(noted, "start", "left_semi")
+        done = add(done, row(first, "unknown", None, UNFINISHED)).unionByName(row(over.join(noted, "start", "left_anti"), "unknown", None, f"the budget of {budget} visited callers stopped the walk"))
+        settled = covered.unionByName(over)
+        noted = stored(noted.join(settled, "start", "left_anti"), "reach-noted")
+        seen, frontier = stored(seen.unionByName(new).join(settled, "start", "left_anti"), "reach-seen"), new.join(settled, "start", "left_anti")
+        if new.isEmpty():
+            break
+    rest = seen.select("start").distinct()
+    done = add(done, row(rest.join(noted, "start", "left_semi"), "unknown", None, UNFINISHED)).unionByName(row(rest.join(noted, "start", "left_anti"), "uncovered", None, None))
+    return done
 
 
 def shortest_entries(starts: DataFrame, edges: DataFrame, entries: DataFrame, depth: int) -> DataFrame:

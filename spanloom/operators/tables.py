@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 _MADE: list[str] = []
@@ -40,6 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_with_count(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """:func:`stored`, and how many rows meet a condition, counted while they are written: no further job."""
+    seen = Observation()
+    path = new_folder(df.sparkSession, name)
+    df.observe(seen, F.count_if(condition).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("n") or 0
+
+
 def swept(spark: SparkSession) -> int:
     """Deletes every folder that :func:`new_folder` named in this process and that is still there; returns how many.
 

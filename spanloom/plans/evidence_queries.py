@@ -99,6 +99,13 @@ def q84_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.blast_radius(starts, consecutive(spark, sf_dir, "supp").withColumn("is_test", F.col("dst") % 10 == 0), 1, 30)
 
 
+def q84b_blast_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers within two levels of every supplier, forty at most, over the orders' consecutive suppliers of the same nation's parity."""
+    starts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("start"))
+    edges = consecutive(spark, sf_dir, "supp").where("(src * 7 + dst) % 11 = 0").withColumn("is_test", F.col("dst") % 10 == 0)
+    return impact.blast_radius(starts, edges, 2, 40)
+
+
 def q85_shown_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as roots by thousands of balance: the first six with their blast radius, in order."""
     ranked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.floor(F.col("s_acctbal") / 1000).alias("score"))
@@ -149,7 +156,7 @@ def q91_change_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callers.change_edges(calls, callers.changed_keys(symbols))
 
 
-QUERIES = {f.__name__: f for f in (q77_commit_evidence, q78_token_evidence, q79_hints, q80_type_seams, q81_impact, q82_impact_entries, q83_card_impact, q84_blast, q85_shown_roots, q86_owners, q87_row_at, q88_comments, q89_word_files, q90_mirror_cards, q91_change_edges)}
+QUERIES = {f.__name__: f for f in (q77_commit_evidence, q78_token_evidence, q79_hints, q80_type_seams, q81_impact, q82_impact_entries, q83_card_impact, q84_blast, q84b_blast_budget, q85_shown_roots, q86_owners, q87_row_at, q88_comments, q89_word_files, q90_mirror_cards, q91_change_edges)}
 
 _CARDS = r"cards AS (SELECT 'K' || regexp_extract(source, '(\d+)$', 1) AS card, CAST(regexp_extract(source, '(\d+)$', 1) AS INT) AS n, doc_id, lang, text FROM documents)"
 _COMMITS = """touched AS (SELECT DISTINCT doc_id // 7 AS sha, card, n FROM cards), commits AS (SELECT doc_id // 7 AS sha, count(DISTINCT doc_id) AS files FROM documents GROUP BY 1),
@@ -194,6 +201,8 @@ SQL = {
             coalesce(any_value(k), 0) AS entry_points, false AS complete, '1 member(s) have no impact paths (deleted or not walked)' || coalesce('; ' || any_value(t), '') AS reasons
         FROM own LEFT JOIN texts ON texts.card = s % 4 LEFT JOIN pts ON pts.card = s % 4 GROUP BY 1""",
     "q84_blast": f"WITH {edges_sql('supp')}, c AS (SELECT s_suppkey AS start, count(dst) AS n FROM supplier LEFT JOIN edges ON src = s_suppkey AND dst % 10 <> 0 GROUP BY 1) SELECT start, least(n, 30) AS blast, n >= 30 AS capped FROM c",
+    "q84b_blast_budget": f"""WITH {edges_sql('supp')}, e AS (SELECT * FROM edges WHERE (src * 7 + dst) % 11 = 0 AND dst % 10 <> 0), near AS (SELECT src AS s, dst AS n FROM e UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src),
+        c AS (SELECT s_suppkey AS start, count(n) AS n FROM supplier LEFT JOIN near ON s = s_suppkey GROUP BY 1) SELECT start, least(n, 40) AS blast, n >= 40 AS capped FROM c""",
     "q85_shown_roots": f"""WITH {edges_sql('supp')}, c AS (SELECT s_suppkey AS node, CAST(floor(s_acctbal / 1000) AS BIGINT) AS score, count(dst) AS n FROM supplier LEFT JOIN edges ON src = s_suppkey AND dst % 10 <> 0 GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (ORDER BY score DESC, node) AS place FROM c), b AS (SELECT node, score, CASE WHEN place <= 6 THEN least(n, 30) END AS blast, CASE WHEN place <= 6 THEN n >= 30 END AS capped FROM r)
         SELECT *, row_number() OVER (ORDER BY score DESC, coalesce(blast, 0) DESC, node) AS position FROM b""",

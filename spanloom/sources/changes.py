@@ -175,7 +175,7 @@ def commits(logs: DataFrame, most: int = 2000) -> DataFrame:
     records = F.filter(F.split("text", "\u0001"), lambda r: F.length(F.trim(r)) > 0)
     rows = logs.select("run_id", (F.size(records) > most).alias("truncated"), F.posexplode(F.slice(records, 1, most)).alias("ord", "record"))
     head = F.split(F.substring_index("record", "\n", 1), "\u0002")
-    files = F.filter(F.slice(F.split("record", "\n"), 2, 1_000_000), lambda f: F.length(f) > 0)
+    files = F.filter(F.slice(F.split("record", "\n"), 2, F.size(F.split("record", "\n"))), lambda f: F.length(f) > 0)
     return rows.select("run_id", F.element_at(head, 1).alias("sha"), F.coalesce(F.try_element_at(head, F.lit(2)), F.lit("")).alias("subject"), files.alias("files"), "ord", "truncated")
 
 

@@ -43,13 +43,31 @@ def latest_runs(results: DataFrame, delay: str = "10 minutes") -> DataFrame:
 PUBLISHED = ("pending", "resolved", "final")
 
 
-def published(results: DataFrame, delay: str = "10 minutes") -> DataFrame:
+_RUN = "run string, stage string, payload string, ts timestamp"
+
+
+def published(results: DataFrame, delay: str = "10 minutes", forget_ms: int = 86_400_000) -> DataFrame:
     """Per run the latest of its published results and how far it is: ``run, stage, payload, ts``, updated as they come.
 
     ``results`` is a stream ``run, stage, payload, ts`` with stages of :data:`PUBLISHED`; a stage that comes late does not take the place of a
-    later one. Runs beyond the watermark are forgotten.
+    later one, and of one stage the newest counts. State is one row a run, whatever days it spans; it is forgotten ``forget_ms``
+    behind the watermark after its newest result. A batch without news of a run has no row of it.
     """
-    rank = F.array_position(F.array(*[F.lit(s) for s in PUBLISHED]), F.col("stage"))
-    newest = F.max_by(F.struct("stage", "payload", "ts"), F.struct(rank.alias("rank"), "ts"))
-    found = results.where(rank > 0).withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "run").agg(newest.alias("r"))
-    return found.select("run", "r.stage", "r.payload", "r.ts")
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = before = state.get if state.exists else (0, None, None, None)
+        for frame in frames:
+            for stage, payload, ts in zip(frame["stage"], frame["payload"], frame["ts"], strict=True):
+                rank, at = PUBLISHED.index(stage) + 1, pd.Timestamp(ts).value // 1000
+                if best[0] == 0 or (rank, at) >= (best[0], best[3]):
+                    best = (rank, stage, payload, at)
+        state.update(best)
+        state.setTimeoutTimestamp(max(best[3] // 1000, state.getCurrentWatermarkMs()) + forget_ms)
+        if best != before:
+            yield pd.DataFrame([(key[0], best[1], best[2], pd.Timestamp(best[3] * 1000))], columns=["run", "stage", "payload", "ts"])
+
+    known = results.where(F.col("stage").isin(*PUBLISHED) & F.col("run").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", delay)
+    return known.groupBy("run").applyInPandasWithState(update, _RUN, "rank int, stage string, payload string, at long", "update", GroupStateTimeout.EventTimeTimeout)

@@ -54,7 +54,7 @@ def random_group(r, g, n, dense, files=10):
     return nodes, links
 
 
-@pytest.mark.parametrize("seed", [8, 9])
+@pytest.mark.parametrize("seed", [8])
 def test_hubs_equal_brute_force(spark, seed):
     r = random.Random(seed)
     members, edges, want = [], set(), {}

@@ -1,5 +1,7 @@
 """Landed diffs, rounds, answers, walks and hints on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +156,91 @@ def test_small_text_functions(spark):
 def test_facts_shrink_by_steps(spark, budget, cut):
     rows = spark.createDataFrame([(0, "ab", "x" * 14), (1, "c", "y" * 14)], "ord int, text string, hunk string")
     assert answers.facts_within(rows, budget, (20, 10, 0)).agg(F.sum("cut")).first()[0] == cut
+
+
+def plain_walk(starts, edges, facts, max_depth, max_nodes):
+    """Ends ``(start, node, end)`` of a walk with a queue, one start after the other."""
+    out = []
+    for start in starts:
+        queue, seen, admitted = [(start, 0)], {start}, 0
+        while queue:
+            node, depth = queue.pop(0)
+            fact = facts.get(node, {})
+            if fact.get("module_level"):
+                out.append((start, node, "top-unidentified"))
+                continue
+            if depth == max_depth:
+                out.append((start, node, "budget"))
+                continue
+            callers = [d for s, d in edges if s == node]
+            if not fact.get("complete", True):
+                out.append((start, node, "unknown"))
+            elif not callers:
+                out.append((start, node, "top-unidentified"))
+            full = False
+            for c in callers:
+                if c in seen:
+                    continue
+                if admitted >= max_nodes:
+                    full = True
+                    break
+                seen.add(c)
+                admitted += 1
+                if facts.get(c, {}).get("entry_type"):
+                    out.append((start, c, "entry"))
+                else:
+                    queue.append((c, depth + 1))
+            if full:
+                out += [(start, n, "budget") for n in [node, *(q for q, _ in queue)]]
+                break
+    return out
+
+
+@pytest.mark.parametrize(("max_depth", "max_nodes"), [(4, 3), (4, 6), (3, 9), (2, 100)])
+def test_walks_with_limits_equal_a_queue(spark, max_depth, max_nodes):
+    r = random.Random(max_nodes)
+    names = [f"n{i:02}" for i in range(26)]
+    edges = sorted({(a, b) for a in names for b in r.sample(names, 2) if a != b})
+    facts = {n: {"node": n, "entry_type": "http" if i % 9 == 0 else None, "entry_name": n, "module_level": i % 7 == 3, "complete": i % 5 != 1} for i, n in enumerate(names)}
+    starts = [n for n in names if not facts[n]["entry_type"]]
+    ord_of = {e: k for k, e in enumerate(edges)}
+    e = spark.createDataFrame([(a, b, ord_of[a, b], False, False) for a, b in edges], "src string, dst string, ord int, is_test boolean, updated boolean")
+    f = spark.createDataFrame([(x["node"], x["node"], "f", x["entry_type"], x["entry_name"], False, x["module_level"], False, x["complete"], None, "none", 0) for x in facts.values()],
+                              "node string, label string, file string, entry_type string, entry_name string, passes boolean, module_level boolean, starts_app boolean, complete boolean, reason string, caller_state string, test_callers int")
+    s = spark.createDataFrame([(n, n, False) for n in starts], "id string, node string, risky boolean")
+    got = sorted((x.id, x.node, x.end) for x in impact.walked(s, e, f, max_depth, max_nodes).collect())
+    assert got == sorted(plain_walk(starts, edges, facts, max_depth, max_nodes))
+
+
+def test_entries_are_ordered_as_people_order_names(spark):
+    ends = spark.createDataFrame([(1, n, "entry", None, None, "http", n, "f", 2, ["x"], False) for n in ("beta", "Alpha", "alpha", "Zeta", "Beta2")], "id int, node string, end string, reason string, top_kind string, entry_type string, entry_name string, file string, depth int, via array<string>, through_stale boolean")
+    assert [x.name for x in impact.entries(ends).orderBy("position").collect()] == ["alpha", "Alpha", "beta", "Beta2", "Zeta"]
+
+
+def test_card_numbers_of_any_size(spark):
+    own = spark.createDataFrame([("s", "K1234567"), ("s", "K1234568"), ("s", "K9"), ("s", "Kx")], "item string, card string")
+    got = {(x.a, x.b) for x in hints.in_pairs(own, ["item"]).collect()}
+    assert got == {("K9", "K1234567"), ("K9", "K1234568"), ("K1234567", "K1234568"), ("Kx", "K9"), ("Kx", "K1234567"), ("Kx", "K1234568")}
+
+
+def test_json_values_in_one_form(spark):
+    texts = ['{"a": 1}', '{"a": "1"}', '{"b": {"y": [2, {"q": 1, "p": null}], "x": 1.50}, "a": true}', '{"a":true,"b":{"x":1.5,"y":[2,{"p":null,"q":1}]}}', "[3, 1]", "no json", None, '"é\\"/* no */"']
+    got = [x.j for x in spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", t.canonical_json(F.col("s")).alias("j")).orderBy("i").collect()]
+    assert got == ['{"a":1}', '{"a":"1"}', '{"a":true,"b":{"x":1.5,"y":[2,{"p":null,"q":1}]}}', '{"a":true,"b":{"x":1.5,"y":[2,{"p":null,"q":1}]}}', "[3,1]", None, None, '"é\\"/* no */"']
+    config = '{ // first\n "paths": {"@/*": ["src/*",], /* a, b */}, "url": "http://x/*y*/", }'
+    read = spark.createDataFrame([(config,), ("{",)], "s string").select(F.to_json(t.commented_json(F.col("s"))).alias("j")).collect()
+    assert [x.j for x in read] == ['{"paths":{"@/*":["src/*"]},"url":"http://x/*y*/"}', None]
+
+
+def test_commits_keep_every_file(spark):
+    text = "\x01abc\x02Many files\n" + "\n".join(f"f{i}" for i in range(3)) + "\n\x01def\x02None\n"
+    got = changes.commits(spark.createDataFrame([(1, text)], "run_id int, text string")).orderBy("ord").collect()
+    assert [(x.sha, x.subject, x.files) for x in got] == [("abc", "Many files", ["f0", "f1", "f2"]), ("def", "None", [])]
+
+
+def test_edits_are_limited_by_the_product_of_lengths():
+    from spanloom.functions import alignment
+
+    side = int(alignment.MOST_CELLS**0.5)
+    a, b = [f"a{i}" for i in range(side)], [f"b{i}" for i in range(side)]
+    assert alignment.edits(a, b) is not None and alignment.edits([*a, "x"], b) is None
