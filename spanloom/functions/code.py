@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.filters import possibly_in
+from ..operators.tables import stored
+
 #: File types by the comments they have.
 HASH_FILES = re.compile(r"\.(py|sh|rb|ya?ml|toml)$")
 SLASH_FILES = re.compile(r"\.(go|[cm]?[jt]sx?|java|kt|rs|c|h|cc|cpp|cs|swift|php|scala)$")
@@ -153,24 +156,44 @@ def added_words(hunk_rows: DataFrame, common: list[str] = ()) -> DataFrame:
     return hunk_rows.where("path IS NOT NULL").select("run_id", "path", "hunk_no", "added").groupBy("run_id", "path").applyInPandas(read, ADDED)
 
 
-def word_files(wanted: DataFrame, files: DataFrame, truncated: bool = False) -> DataFrame:
-    """``token, files, partial``: in how many files each wanted word or phrase occurs, between characters that are no part of words; 0 where in none.
+def postings(files: DataFrame) -> DataFrame:
+    """``word, path, at, before, after, opens, closes``: every word of ``files(path, text)`` with its number among the file's pieces, and what stands around it.
+
+    Pieces are words and the runs of other characters between them; ``before`` and ``after`` are such runs (null at the text's ends), and
+    ``opens`` and ``closes`` tell that no word lies beyond them. Texts go no further than their scan. Stored by word
+    (``bucketBy``), this is an index for :func:`word_files`.
+    """
+    parts = files.where("text IS NOT NULL").select("path", F.regexp_extract_all("text", F.lit(r"\w+|\W+"), F.lit(0)).alias("p"))
+    sides = lambda i: (F.when(i > 0, F.get("p", i - 1)).alias("before"), F.get("p", i + 1).alias("after"), (i <= 1).alias("opens"), (i + 2 >= F.size("p")).alias("closes"))
+    each = F.filter(F.transform("p", lambda x, i: F.struct(x.alias("word"), i.alias("at"), *sides(i))), lambda e: e["word"].rlike(r"^\w"))
+    return parts.select("path", F.explode(each).alias("e")).select("e.word", "path", "e.at", "e.before", "e.after", "e.opens", "e.closes")
+
+
+def word_files(wanted: DataFrame, files: DataFrame | None = None, truncated: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """``token, files, partial``: in how many files each wanted word or phrase occurs; 0 where in none.
 
-    ``files`` has ``path, text``. Words are looked up by an equi join on each text's words; only phrases with other characters
-    are searched in the texts. ``partial`` repeats whether the files are known to be cut short.
+    ``files`` has ``path, text``; ``index`` are their :func:`postings`, if they were stored. An occurrence has no word character before it
+    nor behind it. Words are looked up by an equi join. A phrase is verified on its words' places: they must follow each other with
+    just the phrase's characters between them. Only occurrences of wanted words leave the scan, behind a bitmap. ``partial``: the files
+    are known to be cut short, or the token has no word or a line break, and was not searched.
     """
-    tokens = wanted.select("token").distinct()
-    words = tokens.where(F.col("token").rlike(r"^\w+$"))
-    of_words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("token")).join(words, "token").select("token", "path").distinct()
-    # A phrase is joined on its first word, then looked for in the text.
-    phrases = tokens.where(~F.col("token").rlike(r"^\w+$")).withColumn("head", F.regexp_extract("token", r"(\w+)", 1))
-    edge = lambda c: F.when(c.rlike(r"^\w"), F.lit(r"(?<!\w)")).otherwise(F.lit(""))
-    tail = lambda c: F.when(c.rlike(r"\w$"), F.lit(r"(?!\w)")).otherwise(F.lit(""))
-    pattern = F.concat(edge(F.col("token")), F.lit(r"\Q"), F.col("token"), F.lit(r"\E"), tail(F.col("token")))
-    heads = files.select("path", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("head"))
-    of_phrases = heads.join(phrases, "head").where(F.regexp_like("text", pattern)).select("token", "path").distinct()
-    counts = of_words.union(of_phrases).groupBy("token").agg(F.count("*").alias("files"))
-    return tokens.join(counts, "token", "left").select("token", F.coalesce("files", F.lit(0)).alias("files"), F.lit(truncated).alias("partial"))
+    tokens = wanted.select("token").where("token IS NOT NULL").distinct()
+    parts = tokens.select("token", F.regexp_extract_all("token", F.lit(r"\w+|\W+"), F.lit(0)).alias("p"))
+    parts = stored(parts.withColumn("sought", F.exists("p", lambda x: x.rlike(r"^\w")) & ~F.col("token").contains("\n")), "word-tokens")
+    # Of each word of a phrase what stands before and behind it there; before a later word that is behind the one before.
+    each = lambda x, i: F.struct(x.alias("word"), i.alias("i"), F.when(i == 1, F.get("p", i - 1)).alias("lead"), F.get("p", i + 1).alias("tail"), (i + 2 < F.size("p")).alias("more"))
+    words = parts.where("sought").select("token", F.explode(F.filter(F.transform("p", each), lambda e: e["word"].rlike(r"^\w"))).alias("e")).select("token", "e.*")
+    words = stored(words.withColumn("__h", F.xxhash64("word")), "word-parts")
+    counted = words.groupBy("token").agg(F.count("*").alias("k"))
+    occurring = (postings(files) if index is None else index).withColumnRenamed("word", "__w").withColumn("__g", F.xxhash64("__w"))
+    found = possibly_in(occurring, "__g", words, "__h").join(words, F.col("__w") == F.col("word"))
+    before, after = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
+    starts = F.col("lead").isNull() | (before.endswith(F.col("lead")) & ((F.length(before) > F.length("lead")) | F.col("opens")))
+    ends = F.col("tail").isNull() | F.when(F.col("more"), after == F.col("tail")).otherwise(after.startswith(F.col("tail")) & ((F.length(after) > F.length("tail")) | F.col("closes")))
+    met = found.where(starts & ends).select("token", "path", (F.col("at") - F.col("i")).alias("start"))
+    whole = met.groupBy("token", "path", "start").agg(F.count("*").alias("n")).join(counted, "token").where("n = k").select("token", "path").distinct()
+    counts = whole.groupBy("token").agg(F.count("*").alias("files"))
+    return parts.join(counts, "token", "left").select("token", F.coalesce("files", F.lit(0)).alias("files"), (F.lit(truncated) | ~F.col("sought")).alias("partial"))
 
 
 def call_changes(base: DataFrame, head: DataFrame, keys: list[str], most: int = 12) -> DataFrame:

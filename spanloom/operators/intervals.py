@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scans import Scan
+from .tables import stored
 
 
 def merge_spans(spans: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", gap: int = 1, bucket_rows: int | None = None) -> DataFrame:
@@ -163,11 +164,12 @@ def outside_lines(ranges: DataFrame, spans: DataFrame, keys: list[str], deletion
     beside a deleted function belongs to that one). A key without ``base_lines`` explains nothing.
     """
     even = lambda df: df.where("lo % 2 = 0").select(*keys, (F.col("lo") / 2).cast("long").alias("lo"), (F.col("hi") / 2).cast("long").alias("hi"))
-    loose = subtract(even(ranges), even(spans), keys)
+    loose = stored(subtract(even(ranges), even(spans), keys), "outside-loose")
     gaps = ranges.where("lo % 2 <> 0").select(*keys, F.col("lo").cast("long").alias("at")).distinct()
     inside = stabbed(gaps, spans.select(*keys, "lo", "hi"), keys, "at").select(*keys, "at").distinct()
 
     removed = deletions.select(*keys, F.col("at").cast("long").alias("at"), F.explode(F.sequence(F.col("old_start").cast("long"), F.col("old_end").cast("long"))).alias("line")).distinct()
+    removed = stored(removed, "outside-removed")
     whole = lambda df: merge_spans(df.where("lo <= hi").select(*keys, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")), keys)
     held = lambda df, name: stabbed(removed, whole(df), keys, "line").select(*keys, "at", "line", F.lit(True).alias(name))
     texts = base_lines.select(*keys, F.col("line").cast("long").alias("line"), F.coalesce("text", F.lit("")).rlike(trivia).alias("__trivial")).dropDuplicates([*keys, "line"])
@@ -176,6 +178,7 @@ def outside_lines(ranges: DataFrame, spans: DataFrame, keys: list[str], deletion
     gone, own, has = (F.coalesce(c, F.lit(False)) for c in ("__gone", "__own", "__known"))
     trivial = has & F.coalesce("__trivial", F.lit(True))  # beyond the last line there is nothing
     judged = lines.groupBy(*keys, "at").agg(F.bool_or(gone).alias("__touches"), F.bool_and(gone | trivial).alias("__all"), F.bool_or(has).alias("__has"), F.bool_or(~own & ~trivial).alias("__other"), F.bool_or(~own).alias("__out"))
+    judged = stored(judged, "outside-judged")
     explained = F.col("__has") & F.col("__all") & F.col("__touches")
     pure = gaps.join(inside, [*keys, "at"], "left_anti").join(judged.where(explained).select(*keys, "at"), [*keys, "at"], "left_anti")
     bare = judged.where(~explained & F.when(F.col("__touches"), F.col("__other")).otherwise(F.col("__out"))).select(*keys, "at")

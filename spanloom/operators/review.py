@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stored, stored_with_count
+
 
 def verdict_level(risky: Column, stale: Column, complete: Column, state: Column, has_graph: Column | None = None) -> Column:
     """0 breaks callers, 1 risk unknown, 2 risk handled, 3 reaches callers, 4 quiet, 5 no graph.
@@ -46,14 +48,35 @@ def folder_rollup(files: DataFrame, path: str = "path", level: str = "level", we
 
 
 def compacted_folders(rollup: DataFrame, direct: DataFrame) -> DataFrame:
-    """Folders without those whose only child is one folder: they are shown as part of that child's name.
+    """The folders that are shown, ``rollup``'s columns with ``name``, ``shown_parent`` and ``depth``: chains of single folders are one row.
 
-    ``direct`` has ``folder, files`` lying in the folder itself. A folder goes when it has no files and one subfolder.
+    A folder without files of its own and with one subfolder is drawn as part of that one's name (``a/b``). ``rollup`` has ``folder`` (a row
+    for every folder that holds anything below it), ``direct`` has ``folder, files`` that lie in the folder itself. ``shown_parent`` is
+    the shown folder above (null at the top) and ``depth`` the number of shown folders above. Both follow from pointer doubling up
+    the folders, so deep paths take few rounds.
     """
-    parent = F.regexp_extract("folder", r"^(.*)/[^/]+$", 1)
-    subs = rollup.where(F.col("folder").contains("/")).groupBy(parent.alias("folder")).agg(F.count("*").alias("subfolders"))
-    joined = rollup.join(subs, "folder", "left").join(direct.select("folder", F.col("files").alias("own")), "folder", "left")
-    return joined.where((F.coalesce("subfolders", F.lit(0)) != 1) | (F.coalesce("own", F.lit(0)) > 0)).select(*rollup.columns)
+    parent = F.nullif(F.regexp_extract("folder", r"^(.*)/[^/]+$", 1), F.lit(""))
+    known = rollup.select("folder", parent.alias("parent"))
+    subs = known.where("parent IS NOT NULL").groupBy(F.col("parent").alias("folder")).agg(F.count("*").alias("subfolders"))
+    own = direct.groupBy("folder").agg(F.sum("files").alias("own"))
+    marked = known.join(subs, "folder", "left").join(own, "folder", "left").withColumn("folds", (F.coalesce("subfolders", F.lit(0)) == 1) & (F.coalesce("own", F.lit(0)) == 0))
+    marked = marked.join(marked.select(F.col("folder").alias("parent"), F.lit(True).alias("there")), "parent", "left")
+    now = stored(marked.select("folder", "folds", F.when(F.col("there"), F.col("parent")).alias("up")), "folders")
+    near, n = now.select("folder", "up"), 1
+    while n:  # a folder that folds points as far up as it has come, so the way that is left halves
+        above = near.join(now.select("folder", "folds"), "folder").select(F.col("folder").alias("up"), F.col("folds").alias("moved"), F.col("up").alias("next"))
+        moved = near.join(above, "up", "left").select("folder", F.when(F.col("moved"), F.col("next")).otherwise(F.col("up")).alias("up"), F.coalesce("moved", F.lit(False)).alias("moved"))
+        moved, n = stored_with_count(moved, "folders-near", F.col("moved"))
+        near = moved.select("folder", "up")
+    tree = near.join(now.where("NOT folds").select("folder"), "folder", "left_semi").select("folder", F.col("up").alias("shown_parent"))
+    deep, n = tree.select("folder", F.col("shown_parent").alias("up"), F.col("shown_parent").isNotNull().cast("int").alias("depth")), 1
+    while n:
+        step = deep.select(F.col("folder").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        further = deep.join(step, "up", "left").select("folder", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        deep, n = stored_with_count(further, "folders-depth", F.col("up").isNotNull())
+    named = tree.join(deep.select("folder", "depth"), "folder")
+    name = F.when(F.col("shown_parent").isNull(), F.col("folder")).otherwise(F.substr("folder", F.length("shown_parent") + 2))
+    return rollup.join(named.select("folder", name.alias("name"), "shown_parent", "depth"), "folder")
 
 
 def nearest_config(paths: DataFrame, configs: DataFrame, path: str = "path", folder: str = "folder") -> DataFrame:

@@ -142,6 +142,13 @@ def q89_word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.word_files(words, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text")))
 
 
+def q89b_phrase_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents phrases of the documents occur: the first two words of each with what is between and behind them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    phrases = docs.select(F.regexp_extract("text", r"^\W*(\w+[^\w\n]+\w+[^\w\n]?)", 1).alias("token")).where("length(token) > 0")
+    return code.word_files(phrases, docs)
+
+
 def q90_mirror_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands as cards of parts that lie below four top folders; one of them is generated."""
     path = F.concat(F.get(F.array(F.lit("src"), F.lit("lib"), F.lit("gen"), F.lit("old")), (F.col("p_partkey") % 4).cast("int")), F.lit("/"), F.col("p_type"), F.lit("/"), F.col("p_size").cast("string"))
@@ -156,7 +163,7 @@ def q91_change_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callers.change_edges(calls, callers.changed_keys(symbols))
 
 
-QUERIES = {f.__name__: f for f in (q77_commit_evidence, q78_token_evidence, q79_hints, q80_type_seams, q81_impact, q82_impact_entries, q83_card_impact, q84_blast, q84b_blast_budget, q85_shown_roots, q86_owners, q87_row_at, q88_comments, q89_word_files, q90_mirror_cards, q91_change_edges)}
+QUERIES = {f.__name__: f for f in (q77_commit_evidence, q78_token_evidence, q79_hints, q80_type_seams, q81_impact, q82_impact_entries, q83_card_impact, q84_blast, q84b_blast_budget, q85_shown_roots, q86_owners, q87_row_at, q88_comments, q89_word_files, q89b_phrase_files, q90_mirror_cards, q91_change_edges)}
 
 _CARDS = r"cards AS (SELECT 'K' || regexp_extract(source, '(\d+)$', 1) AS card, CAST(regexp_extract(source, '(\d+)$', 1) AS INT) AS n, doc_id, lang, text FROM documents)"
 _COMMITS = """touched AS (SELECT DISTINCT doc_id // 7 AS sha, card, n FROM cards), commits AS (SELECT doc_id // 7 AS sha, count(DISTINCT doc_id) AS files FROM documents GROUP BY 1),
@@ -216,6 +223,9 @@ SQL = {
     "q88_comments": f"WITH {SPANS_SQL} SELECT k, ord, lo AS start_line, hi AS line, EXISTS (SELECT 1 FROM spans s WHERE s.k = p.k AND s.flag = 'N' AND greatest(1, s.lo) <= p.lo AND p.hi <= least(48, s.hi)) AS accepted FROM spans p WHERE flag = 'A'",
     "q89_word_files": r"""WITH t AS (SELECT DISTINCT regexp_extract(text, '^(\w+)', 1) AS token FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '\w+')) AS ws FROM documents)
         SELECT token, (SELECT count(*) FROM d WHERE list_contains(ws, token)) AS files, false AS partial FROM t WHERE token <> ''""",
+    "q89b_phrase_files": r"""WITH p AS (SELECT DISTINCT regexp_extract(text, '^[^0-9A-Za-z_]*([0-9A-Za-z_]+[^0-9A-Za-z_\n]+[0-9A-Za-z_]+[^0-9A-Za-z_\n]?)', 1) AS token FROM documents), t AS (SELECT token FROM p WHERE token <> ''),
+        d AS (SELECT DISTINCT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text), hits AS (SELECT token, sum(n) AS files FROM t JOIN d ON contains(text, token) AND regexp_matches(text, '(^|[^0-9A-Za-z_])' || regexp_escape(token) || '($|[^0-9A-Za-z_])') GROUP BY token)
+        SELECT token, coalesce(CAST(files AS BIGINT), 0) AS files, false AS partial FROM t LEFT JOIN hits USING (token)""",
     "q90_mirror_cards": r"""WITH m AS (SELECT CAST(regexp_extract(p_brand, '(\d+)$', 1) AS BIGINT) AS card, ['src', 'lib', 'gen', 'old'][p_partkey % 4 + 1] AS top, p_type || '/' || p_size AS tail, p_name AS name FROM part),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tail ORDER BY card, top) AS r FROM (SELECT DISTINCT card, top, tail FROM m)) WHERE r <= 8),
         p AS (SELECT x.card AS a, y.card AS b, x.top AS top_a, y.top AS top_b, count(*) AS files FROM f x JOIN f y ON x.tail = y.tail AND x.card < y.card AND x.top <> y.top WHERE (x.top IN ('gen', 'old')) = (y.top IN ('gen', 'old')) GROUP BY ALL),

@@ -109,6 +109,15 @@ def q25_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.folder_rollup(pages)
 
 
+def q25b_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of urls as they are shown: single chains as one row, with joined names and depth."""
+    from ..operators import review
+
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_extract("url", r"://([^?#]*)", 1), "/+", "/").alias("path"), F.col("page_id").alias("level"), F.lit(1).alias("attention"))
+    direct = pages.where("path LIKE '%/%'").groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"))
+    return review.compacted_folders(review.folder_rollup(pages), direct).select("folder", "files", "name", "shown_parent", "depth")
+
+
 def q35_row_at_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each supplier's first line position of an order, the innermost span of the order."""
     spans = line_spans(spark, sf_dir)
@@ -165,7 +174,7 @@ _PAGES = "pages_ AS (SELECT page_id, url, regexp_extract(url, '://([^?#]*)', 1)
 _FOLDERS = "above AS (SELECT page_id, url, path, array_to_string(parts[1:i], '/') AS folder FROM (SELECT *, string_split(path, '/') AS parts FROM pages_), generate_series(1, 40) AS g(i) WHERE i < len(parts))"
 _INNER = "SELECT w.k, w.at, s.lo, s.hi, s.id FROM w LEFT JOIN LATERAL (SELECT lo, hi, ord AS id FROM spans s WHERE s.k = w.k AND w.at BETWEEN s.lo AND s.hi {extra} ORDER BY hi - lo, ord LIMIT 1) s ON true"
 
-QUERIES = {f.__name__: f for f in (q01_merge_spans, q02_site_states, q03_innermost, q03b_leaf_spans, q04_subtract, q04b_outside_lines, q05_near, q06_stale_findings, q07_not_renumbered, q24_ancestor, q25_folders, q35_row_at_line, q51_widened, q52_nearest_line, q53_ownership, q54_paired_overloads, q55_twins, q56_line_positions)}
+QUERIES = {f.__name__: f for f in (q01_merge_spans, q02_site_states, q03_innermost, q03b_leaf_spans, q04_subtract, q04b_outside_lines, q05_near, q06_stale_findings, q07_not_renumbered, q24_ancestor, q25_folders, q25b_compacted, q35_row_at_line, q51_widened, q52_nearest_line, q53_ownership, q54_paired_overloads, q55_twins, q56_line_positions)}
 
 SQL = {
     "q01_merge_spans": f"WITH {SPANS_SQL}, {_MERGE.format(name='m', source='spans')} SELECT k, lo, hi FROM m",
@@ -196,6 +205,11 @@ SQL = {
     "q07_not_renumbered": r"WITH d AS (SELECT doc_id, lang, md5(text) AS h, CAST(regexp_extract(source, '(\d+)$', 1) AS INT) % 2 AS side FROM documents) SELECT lang, h, doc_id FROM d WHERE side = 1 AND NOT EXISTS (SELECT 1 FROM d b WHERE b.side = 0 AND b.lang = d.lang AND b.h = d.h)",
     "q24_ancestor": f"WITH {_PAGES}, {_FOLDERS}, known AS (SELECT folder FROM above GROUP BY folder HAVING count(*) >= 3) SELECT p.path, arg_max(k.folder, length(k.folder)) AS folder FROM (SELECT DISTINCT path FROM pages_) p LEFT JOIN above a ON a.path = p.path LEFT JOIN known k ON k.folder = a.folder GROUP BY p.path",
     "q25_folders": f"WITH {_PAGES}, {_FOLDERS} SELECT folder, count(*) AS files, min(page_id) AS worst, CAST(sum(CASE WHEN contains(url, '?') THEN 1 ELSE 0 END) AS BIGINT) AS attention FROM above GROUP BY folder",
+    "q25b_compacted": f"""WITH p AS (SELECT regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+', '/', 'g') AS path FROM pages), s AS (SELECT path, string_split(path, '/') AS parts FROM p),
+        above AS (SELECT array_to_string(parts[1:i], '/') AS folder, i = len(parts) - 1 AS direct FROM s, generate_series(1, 40) AS g(i) WHERE i < len(parts)), r AS (SELECT folder, count(*) AS files, count_if(direct) AS own FROM above GROUP BY folder),
+        subs AS (SELECT regexp_extract(folder, '^(.*)/[^/]+$', 1) AS folder, count(*) AS n FROM r WHERE contains(folder, '/') GROUP BY 1), shown AS (SELECT r.folder, files FROM r LEFT JOIN subs USING (folder) WHERE NOT (coalesce(n, 0) = 1 AND own = 0)),
+        up AS (SELECT f.folder, f.files, arg_max(a.folder, length(a.folder)) AS shown_parent, count(a.folder) AS depth FROM shown f LEFT JOIN shown a ON starts_with(f.folder, a.folder || '/') GROUP BY ALL)
+        SELECT folder, files, CASE WHEN shown_parent IS NULL THEN folder ELSE substr(folder, length(shown_parent) + 2) END AS name, shown_parent, CAST(depth AS INT) AS depth FROM up""",
     "q35_row_at_line": f"WITH {SPANS_SQL}, w AS (SELECT DISTINCT k, min(lo) AS \"at\" FROM spans GROUP BY k, supp) {_INNER.format(extra=chr(65) + 'ND flag <> ' + chr(39) + 'A' + chr(39))}".replace("w.at", 'w."at"'),
     "q51_widened": f"WITH {SPANS_SQL}, wide AS (SELECT k, greatest(1, lo - 3) AS lo, hi + 3 AS hi FROM spans), {_MERGE.format(name='m', source='wide')} SELECT k, lo, hi FROM m",
     "q52_nearest_line": f"WITH {SPANS_SQL} SELECT k, 20 AS preferred, (SELECT arg_min(least(greatest(20, lo), hi), abs(least(greatest(20, lo), hi) - 20) * 1000 + least(greatest(20, lo), hi)) FROM spans q WHERE q.k = w.k AND flag = 'N') AS line FROM (SELECT DISTINCT k FROM spans) w",

@@ -244,3 +244,28 @@ def test_edits_are_limited_by_the_product_of_lengths():
     side = int(alignment.MOST_CELLS**0.5)
     a, b = [f"a{i}" for i in range(side)], [f"b{i}" for i in range(side)]
     assert alignment.edits(a, b) is not None and alignment.edits([*a, "x"], b) is None
+
+
+def test_phrases_are_verified_on_their_words(spark):
+    files = {"a": "rate-limit and rate - limit", "b": "prelimit -limit\nx", "c": "rate-limited (rate-limit)", "d": "rate-limit", "e": "", "f": None, "g": "rate-\nlimit say: rate-limit, twice rate-limit,,", "h": "é rate-limité ok"}
+    table = spark.createDataFrame(list(files.items()), "path string, text string")
+    wanted = ["rate-limit", "-limit", "limit", "rate-limit,", "(rate", "rate-limit)", "rate", "twice rate-limit", "absent", "a b c", "=>", "rate-\nlimit"]
+    import re
+
+    def brute(token):
+        return sum(bool(re.search(r"(?<!\w)" + re.escape(token) + r"(?!\w)", x or "", re.ASCII)) for x in files.values())
+
+    for index in (None, code.postings(table)):
+        got = {x.token: (x.files, x.partial) for x in code.word_files(spark.createDataFrame([(w,) for w in wanted], "token string"), table, index=index).collect()}
+        assert got == {w: (0, True) if w in ("=>", "rate-\nlimit") else (brute(w), False) for w in wanted}
+    plan = code.word_files(spark.createDataFrame([("rate-limit",)], "token string"), table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan.split("Join")[1].split("Generate")[0]
+
+
+def test_folder_chains_are_one_row(spark):
+    paths = ["a/b/c/x.py", "a/b/c/y.py", "a/b/d/e/f/z.py", "q/r/s.py", "q/t.py", "u/v/w/k.py", "top.py"] + ["/".join(f"d{i}" for i in range(60)) + "/deep.py"]
+    files = spark.createDataFrame([(p, 1, 0) for p in paths], "path string, level int, attention int")
+    direct = files.where("path LIKE '%/%'").groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("files"))
+    got = {x.folder: (x.name, x.shown_parent, x.depth) for x in review.compacted_folders(review.folder_rollup(files), direct).collect()}
+    deep = "/".join(f"d{i}" for i in range(60))
+    assert got == {"a/b": ("a/b", None, 0), "a/b/c": ("c", "a/b", 1), "a/b/d/e/f": ("d/e/f", "a/b", 1), "q": ("q", None, 0), "q/r": ("r", "q", 1), "u/v/w": ("u/v/w", None, 0), deep: (deep, None, 0)}
