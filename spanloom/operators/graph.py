@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import top_per_group
-from .tables import dropped, stored
+from .tables import dropped, stored, stored_with_count
 
 
 #: At most so many nodes have their edges joined by broadcast in a round of :func:`components`.
@@ -200,16 +200,78 @@ def resolved(aliases: DataFrame, depth: int = 16) -> DataFrame:
 def strong_components(edges: DataFrame, trims: int = 8) -> DataFrame:
     """``node, scc`` for every node of a directed graph; ``scc`` is the smallest node of its strongly connected component.
 
-    Nodes without edges in or out of what is left are components of their own and go first. Then every node takes the
-    smallest node that reaches it as its colour; those that reach their colour's node backwards form one component and
-    leave, and the rest goes again. Only colours are carried, never the quadratic closure.
+    Chains are contracted first: nodes with one way out (then those with one way in, and so on while that shortens much) point
+    to where their chain ends, by pointer doubling, so chains and rings take a logarithmic number of rounds however long they are.
+    The rest is trimmed and coloured: every node takes the smallest node that reaches it as its colour, those that reach
+    their colour's node backwards form one component and leave, and what is left goes again. Contracted nodes then get the
+    component of their chain's end if a way from that component leads through them. Only colours and pointers are carried,
+    never the quadratic closure.
     """
     nodes = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "scc-nodes")
     step = stored(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
+    frames, out, idle, n = [], True, 0, nodes.count()
+    while n and idle < 2:
+        frame = _contracted(nodes, step, out, n)
+        idle, out = (0, not out) if frame else (idle + 1, not out)
+        if frame:
+            frames.append(frame)
+            nodes, step, n = frame["nodes"], frame["step"], frame["count"]
+    found = _coloured(nodes, step, trims)
+    for frame in reversed(frames):
+        found = _unfolded(frame, stored(found, "scc-folded"))
+    return found
+
+
+def _contracted(nodes: DataFrame, step: DataFrame, out: bool, n: int) -> dict | None:
+    """The graph without its nodes of one way out (or in), whose edges go on to where their chains end; None if these are under a twentieth."""
+    flow = step if out else step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ones = flow.groupBy("src").agg(F.count("*").alias("k"), F.min("dst").alias("to")).where("k = 1").select(F.col("src").alias("v"), "to")
+    ones, many = stored_with_count(ones, "scc-chains", F.lit(True))
+    if not many or many * 20 < n:
+        return None
+    # ``to``: where so many steps lead; ``done``: that is no chain node; ``low``: the least node passed on the way.
+    chain = ones.select(F.col("v").alias("to"), F.lit(True).alias("__on"))
+    now, left = stored_with_count(ones.join(chain, "to", "left").select("v", "to", F.col("__on").isNull().alias("done"), F.col("v").alias("low")), "scc-jumps", ~F.col("done"))
+    levels, steps = [now], 1
+    while left and steps < many:
+        then = now.select(F.col("v").alias("to"), F.col("to").alias("far"), F.col("done").alias("ends"), F.col("low").alias("below"))
+        open_ = now.where("NOT done").join(then, "to").select("v", F.col("far").alias("to"), F.col("ends").alias("done"), F.least("low", "below").alias("low"))
+        now, left = stored_with_count(open_.unionByName(now.where("done")), "scc-jumps", ~F.col("done"))
+        levels.append(now)
+        steps *= 2
+    rings = now.where("NOT done").select(F.col("to").alias("v")).distinct().join(now.select("v", "low"), "v").select(F.col("v").alias("node"), F.col("low").alias("scc"))
+    kept = stored(nodes.join(ones.select(F.col("v").alias("node")), "node", "left_anti"), "scc-nodes")
+    entering = flow.join(ones.select(F.col("v").alias("src")), "src", "left_anti")
+    ends = now.select(F.col("v").alias("dst"), F.col("to").alias("end"), "done")
+    moved = stored(entering.join(ends, "dst", "left").where("done IS NULL OR done").select("src", "dst", F.coalesce("end", "dst").alias("end"), F.col("end").isNotNull().alias("through")), "scc-entering")
+    after = moved.where("src <> end").select("src", F.col("end").alias("dst")).distinct()
+    after = stored(after if out else after.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-edges")
+    return {"nodes": kept, "step": after, "count": n - many, "levels": levels, "rings": stored(rings, "scc-rings"), "through": moved.where("through").select("src", F.col("dst").alias("v"), "end")}
+
+
+def _unfolded(frame: dict, found: DataFrame) -> DataFrame:
+    """Components of a graph from those of its contraction: a chain node is in its end's component if a way from there enters the chain at or before it."""
+    side = lambda c, name: found.select(F.col("node").alias(c), F.col("scc").alias(name))
+    entered = frame["through"].join(side("src", "a"), "src").join(side("end", "b"), "end").where("a = b").select("v").distinct()
+    marked, n = stored_with_count(entered, "scc-marked", F.lit(True))
+    for level in reversed(frame["levels"]) if n else ():
+        ahead = marked.join(level.where("NOT done"), "v").select(F.col("to").alias("v"))
+        marked = stored(marked.union(ahead).distinct(), "scc-marked")
+    last = frame["levels"][-1]
+    inside = stored(marked.join(last.where("done").select("v", F.col("to").alias("end")), "v").join(side("end", "scc"), "end").select(F.col("v").alias("node"), "scc"), "scc-inside")
+    lowest = inside.groupBy("scc").agg(F.min("node").alias("low"))
+    joined = found.unionByName(inside).join(lowest, "scc", "left").select("node", F.least("scc", "low").alias("scc"))
+    settled = inside.select("node").union(frame["rings"].select("node"))
+    alone = last.select(F.col("v").alias("node")).join(settled, "node", "left_anti").withColumn("scc", F.col("node"))
+    return joined.unionByName(frame["rings"]).unionByName(alone)
+
+
+def _coloured(nodes: DataFrame, step: DataFrame, trims: int) -> DataFrame:
+    """Components by trimming and colouring, round by round along the ways that are left."""
     done = nodes.limit(0).withColumn("scc", F.col("node"))
     while True:
         size = step.count()
-        for _ in range(trims):
+        for _ in range(trims if size else 0):
             inner = step.select("src").intersect(step.select("dst")).withColumnRenamed("src", "node")
             kept = step.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
             step = stored(kept, "scc-edges")

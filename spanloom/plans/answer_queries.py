@@ -55,6 +55,14 @@ def q73_folder_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.by_folder(members, 3)
 
 
+def q73b_size_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand by folder (their type) and file (their size), where a brand has more than twelve; brands that end in 5 are new code."""
+    brand = F.col("p_brand")
+    path = F.concat(F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/f"), (F.col("p_size") % 7).cast("string"))
+    rows = table(spark, sf_dir, "part").select(brand.alias("grp"), F.col("p_partkey").alias("id"), path.alias("path"), (brand.endswith("5") | (F.col("p_partkey") % 3 == 0)).alias("added"))
+    return splits.by_size(rows).select("grp", "id", "folder", "file")
+
+
 def q74_commit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of each nation split by the brands of one part each (as commits), with calls between consecutive ones."""
     brands = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.min("l_partkey").alias("p_partkey")).join(table(spark, sf_dir, "part"), "p_partkey").select("id", F.array(F.substring("p_brand", 1, 7)).alias("commits"))
@@ -77,9 +85,18 @@ def q76_code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LINES = "lines AS (SELECT path, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM (SELECT source || '/' || lang || '/' || doc_id AS path, string_split(text, chr(10)) AS l FROM documents))"
 
-QUERIES = {f.__name__: f for f in (q69_search_code, q70_source, q71_evidence, q72_cards, q73_folder_split, q74_commit_split, q75_hubs, q76_code_lines)}
+QUERIES = {f.__name__: f for f in (q69_search_code, q70_source, q71_evidence, q72_cards, q73_folder_split, q73b_size_split, q74_commit_split, q75_hubs, q76_code_lines)}
 
 SQL = {
+    "q73b_size_split": """WITH m AS (SELECT p_brand AS grp, p_partkey AS id, replace(p_type, ' ', '/') || '/f' || (p_size % 7) AS path, ends_with(p_brand, '5') OR p_partkey % 3 = 0 AS added, replace(p_type, ' ', '/') AS f3, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
+        a AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY grp, f3) < 3 AND len(string_split(f3, '/')) >= 3 THEN regexp_extract(f3, '^(.*)/[^/]*$', 1) ELSE f3 END AS f2 FROM m WHERE size > 12),
+        b AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY grp, f2) < 3 AND len(string_split(f2, '/')) = 2 THEN regexp_extract(f2, '^(.*)/[^/]*$', 1) ELSE f2 END AS f1 FROM a),
+        c AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY grp, f1) < 3 AND NOT contains(f1, '/') THEN '' ELSE f1 END AS folder FROM b),
+        d AS (SELECT *, count(*) OVER p AS n, count_if(added) OVER p AS fresh, count(*) OVER (PARTITION BY grp, folder, path) AS own FROM c WINDOW p AS (PARTITION BY grp, folder)),
+        e AS (SELECT *, bool_or(NOT added AND EXISTS (SELECT 1 FROM d x WHERE x.grp = d.grp AND x.folder = d.folder AND x.f3 = d.f3 AND x.added)) OVER (PARTITION BY grp, folder) AS mixed,
+            min({'k': -own, 'path': path}) OVER (PARTITION BY grp, folder) AS largest, min(path) OVER (PARTITION BY grp, folder) <> max(path) OVER (PARTITION BY grp, folder) AS several FROM d)
+        SELECT grp, id, folder, CASE WHEN n > 12 AND several AND NOT (fresh * 2 > n AND NOT mixed) THEN CASE WHEN own < 3 THEN largest.path ELSE path END END AS file FROM e
+        UNION ALL SELECT grp, id, NULL, NULL FROM m WHERE size <= 12""",
     "q69_search_code": f"WITH {_LINES}, h AS (SELECT path, line, text FROM lines WHERE contains(text, 'tion') AND starts_with(path, 'src1/') ORDER BY path, line LIMIT 201) SELECT *, (SELECT count(*) > 200 FROM h) AS capped FROM h ORDER BY path, line LIMIT 200",
     "q70_source": f"WITH {_LINES} SELECT line, text, false AS cut FROM lines WHERE path = 'src0/fr/0' AND line BETWEEN 2 AND 5",
     "q71_evidence": rf"""WITH {_LINES}, c AS (SELECT DISTINCT path, line + 2 AS line, regexp_extract(text, '([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS callee FROM lines), code AS (SELECT path, line, regexp_replace(text, '//.*$|#.*$', '') AS code FROM lines),

@@ -1,10 +1,12 @@
 """Queries over the whole order graph against brute force on the smallest tables."""
 
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.operators import graph
 from spanloom.plans import answer_queries, catalogue, graph_queries
 from tests.parity import connection
 
@@ -124,3 +126,33 @@ def test_splits_see_every_edge(spark, con, monkeypatch, name, operator, times):
     monkeypatch.setattr(answer_queries.splits, operator, lambda members, links, **_: seen.append(links) or members)
     catalogue.QUERIES[name](spark, SF)
     assert seen[0].count() == times * sum(map(len, edges(con, "l_suppkey").values()))
+
+
+def closure_components(edges):
+    out, nodes = defaultdict(set), {x for e in edges for x in e}
+    for a, b in edges:
+        out[a].add(b)
+    near = {n: set(depths(out, n)) for n in nodes}
+    return sorted((n, min(m for m in near[n] if n in near[m])) for n in nodes)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_strong_components_of_chains_rings_and_what_hangs_on_them(spark, seed):
+    r = random.Random(seed)
+    edges = [(i, i + 1) for i in range(30)] + [(40 + i, 40 + (i + 1) % 9) for i in range(9)] + [(60, 41), (61, 60), (70, 70), (80, 81), (81, 82), (82, 80), (82, 90), (90, 91), (91, 81)]
+    edges += [(r.randrange(100), r.randrange(100)) for _ in range(40 * seed)]
+    got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert sorted(map(tuple, got.collect())) == closure_components(edges)
+
+
+def test_long_chains_and_rings_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    keep = graph.stored_with_count
+    monkeypatch.setattr(graph, "stored_with_count", lambda df, name, c: rounds.append(name) or keep(df, name, c))
+    n = 100_000
+    chain = spark.range(n).select("id", (F.col("id") + 1).alias("dst")).toDF("src", "dst")
+    ring = spark.range(n).select((F.col("id") + 2 * n).alias("src"), ((F.col("id") + 1) % n + 2 * n).alias("dst"))
+    found = graph.strong_components(chain.union(ring))
+    assert found.where("node < 150000").where("node = scc").count() == n + 1
+    assert found.where(f"scc = {2 * n}").count() == n
+    assert len(rounds) < 25
