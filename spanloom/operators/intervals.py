@@ -65,6 +65,17 @@ def _touching(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int
     return begins.union(holds).distinct()
 
 
+def meeting(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every pair of a span of ``left`` and one of ``right`` of their key that share a position: ``keys, left_id, right_id``, once each.
+
+    Both have ``id, lo, hi``. Of two spans that meet one begins inside the other, so all pairs come from two joins by cells.
+    """
+    a, b = (df.where("lo <= hi").select(*keys, "id", "lo", "hi") for df in (left, right))
+    begins = stabbed(b.withColumnRenamed("id", "right_id"), a, keys, "lo", [F.col("id").alias("left_id")]).select(*keys, "left_id", "right_id")
+    holds = stabbed(a.withColumnRenamed("id", "left_id"), b, keys, "lo", [F.col("id").alias("right_id")]).where(F.col("lo") > F.col("__lo")).select(*keys, "left_id", "right_id")
+    return begins.unionByName(holds)
+
+
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left_semi", tolerance: int = 0) -> DataFrame:
     """Rows of ``left`` that lie (``left_semi``), or do not lie (``left_anti``), within ``tolerance`` of a span of ``right`` (0: overlap)."""
     return left.join(_touching(left, right, keys, tolerance), [*keys, "lo", "hi"], how).select(*left.columns)

@@ -32,12 +32,12 @@ def positioned(df: DataFrame, order: list[Column], group: tuple[str, ...] = (),
     counts = sorted(rows.groupBy(task.alias("t")).count().collect())  # a row for each task of the shuffle
     before = accumulate((n for _, n in counts), initial=0)
     moved = [(t, b) for (t, _), b in zip(counts, before, strict=False)]
-    offsets = df.sparkSession.createDataFrame(moved, "__task long, __before long")
-    place = F.col("__before") + F.col(_AT).bitwiseAND((1 << _TASK_BITS) - 1) + 1
-    rows = rows.withColumn("__task", task).join(F.broadcast(offsets), "__task").withColumn(name, place.cast("long")).drop("__task", "__before", _AT)
+    offsets = df.sparkSession.createDataFrame(moved, "__spanloom_task long, __spanloom_before long")
+    place = F.col("__spanloom_before") + F.col(_AT).bitwiseAND((1 << _TASK_BITS) - 1) + 1
+    rows = rows.withColumn("__spanloom_task", task).join(F.broadcast(offsets), "__spanloom_task").withColumn(name, place.cast("long")).drop("__spanloom_task", "__spanloom_before", _AT)
     if not group:
         return rows
-    named = [f"__group{i}" for i in range(len(group))]
-    firsts = rows.groupBy(*[F.col(g).alias(n) for g, n in zip(group, named, strict=True)]).agg(F.min(name).alias("__first"))
+    named = [f"__spanloom_group{i}" for i in range(len(group))]
+    firsts = rows.groupBy(*[F.col(g).alias(n) for g, n in zip(group, named, strict=True)]).agg(F.min(name).alias("__spanloom_first"))
     same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, named, strict=True)]
-    return rows.join(firsts, same).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first", *named)
+    return rows.join(firsts, same).withColumn(name, F.col(name) - F.col("__spanloom_first") + 1).drop("__spanloom_first", *named)

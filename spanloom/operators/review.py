@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import stabbed
 from .tables import stored, stored_with_count
 
 
@@ -30,6 +31,24 @@ def parents_with_matching_children(parents: DataFrame, children: DataFrame, key:
     return parents.join(children.where(keep).select(key).distinct(), key, "left_semi")
 
 
+#: What the list of files may be filtered by.
+FILTERS = ("all", "attention", "unreviewed", "threads")
+
+
+def filtered_files(files: DataFrame, rows: DataFrame, mode: str = "all") -> tuple[DataFrame, DataFrame]:
+    """The files that pass a filter, and the rows that do: ``attention`` (needs attention and is not reviewed), ``unreviewed``, ``threads`` (has open ones) or ``all``.
+
+    ``files`` has ``path, threads`` (open threads that sit on none of its rows), ``rows`` ``path, attention, reviewed, threads``. A file
+    stays if one of its rows passes; by threads also if it has open ones of its own. A null counts as no, or none.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    some = F.coalesce("threads", F.lit(0)) > 0
+    passes = {"all": F.lit(True), "attention": yes("attention") & ~yes("reviewed"), "unreviewed": ~yes("reviewed"), "threads": some}[mode]
+    kept = rows.where(passes)
+    here = kept.select("path").union(files.where(some).select("path")) if mode == "threads" else kept.select("path")
+    return files.join(here.distinct(), "path", "left_semi"), kept
+
+
 def review_counts(rows: DataFrame) -> DataFrame:
     """Totals of rows with ``reviewed`` and ``attention``."""
     return rows.agg(F.count("*").alias("total"), F.count_if(~F.col("reviewed")).alias("unreviewed"), F.count_if("attention").alias("attention"), F.count_if(F.col("attention") & ~F.col("reviewed")).alias("attention_left"))
@@ -42,9 +61,13 @@ def ancestors(path: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def folder_rollup(files: DataFrame, path: str = "path", level: str = "level", weight: str = "attention") -> DataFrame:
-    """Each folder's file count, worst (least) level and summed attention over everything below it."""
-    return files.withColumn("folder", F.explode(ancestors(F.col(path)))).groupBy("folder").agg(F.count("*").alias("files"), F.min(level).alias("worst"), F.sum(weight).alias("attention"))
+def folder_rollup(files: DataFrame, path: str = "path", level: str = "level", weight: str = "attention", row: str | None = None) -> DataFrame:
+    """Each folder's file count, worst (least) level and summed attention over everything below it; ``worst_row`` where ``row`` names the rows.
+
+    The worst row is the one of the least level, of several the one that comes first in the order of ``row``.
+    """
+    worst = [F.min_by(F.col(row), F.struct(level, row)).alias("worst_row")] if row else []
+    return files.withColumn("folder", F.explode(ancestors(F.col(path)))).groupBy("folder").agg(F.count("*").alias("files"), F.min(level).alias("worst"), F.sum(weight).alias("attention"), *worst)
 
 
 def compacted_folders(rollup: DataFrame, direct: DataFrame) -> DataFrame:
@@ -199,7 +222,7 @@ def threads_of_range(threads: DataFrame, ranges: DataFrame) -> DataFrame:
     ``threads`` has ``thread, path, side, line, outdated, file_level``.
     """
     here = threads.where("side = 'RIGHT' AND NOT outdated AND NOT file_level AND line IS NOT NULL").select("thread", "path", "line")
-    return here.join(ranges, "path").where(F.col("line").between(F.col("lo"), F.col("hi"))).select("row", "thread", "path", "line")
+    return stabbed(here, ranges.select("row", "path", "lo", "hi"), ["path"], "line", [F.col("row").alias("row")]).select("row", "thread", "path", "line")
 
 
 def threads_of_side(threads: DataFrame, side: str) -> DataFrame:

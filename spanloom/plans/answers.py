@@ -38,14 +38,48 @@ def get_card(card: str, members: DataFrame, changes: DataFrame, page: int | None
     return ranking.page(rows, [F.desc("score"), F.col("id")], page, size)
 
 
-def get_change(change: str, changes: DataFrame, callers: DataFrame) -> DataFrame:
-    """One row: signatures, kinds, caller counts; a deleted change is incomplete, with the reason."""
+def card_facts(card: str, impact_rows: DataFrame, ends: DataFrame, members: DataFrame, seams: DataFrame, hints_: DataFrame, most_seams: int = 30, most_hints: int = 10) -> dict[str, DataFrame]:
+    """What a card's answer has beside its members: ``impact`` (one row), ``entries``, ``paths``, ``seams`` and ``hints``, each in its order.
+
+    ``impact_rows`` is :func:`~spanloom.operators.impact.card_impact`, ``ends`` and ``members`` what it was made from; ``seams`` has ``type,
+    cards, place, via_count``, ``hints_`` is :func:`~spanloom.operators.hints.hints`, of which six pieces of evidence are shown.
+    """
+    own = members.where(F.col("card") == card)
+    reached = ends.join(own.select(F.col("change").alias("id")), "id", "left_semi")
+    shown = seams.where(F.array_contains("cards", card)).orderBy(F.array_position(F.array(*[F.lit(x) for x in hints.SEAM_TYPES]), F.col("type")), F.transform("cards", hints.card_order), F.coalesce("place", F.lit(""))).limit(most_seams)
+    together = hints_.where((F.col("a") == card) | (F.col("b") == card)).orderBy("position").limit(most_hints).select("a", "b", "strength", F.slice("evidence", 1, 6).alias("evidence"))
+    return {
+        "impact": impact_rows.where(F.col("card") == card), "entries": impact.card_entries(own, reached).orderBy("position"), "paths": impact.card_paths(own, reached).orderBy("position"),
+        "seams": shown, "hints": together,
+    }
+
+
+def get_change(change: str, changes: DataFrame, callers: DataFrame, hunks: DataFrame | None = None, calls: DataFrame | None = None, reach: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """One row: signatures, kinds, caller counts; a deleted change is incomplete, with the reason.
+
+    Where they are given also ``hunk, hunk_complete`` (:func:`~spanloom.sources.changes.function_hunks`), calls gained and lost
+    (:func:`~spanloom.functions.code.call_changes` by ``id``), the test reach (:func:`~spanloom.operators.graph.reach_states`) and the ``paths``
+    shown (:func:`~spanloom.operators.impact.top_paths`). A deleted change has none of them: its former callers are not searched.
+    """
     row = changes.where(F.col("id") == change)
     states = evidence.caller_states(callers.where(F.col("change") == change), ["change"])
     complete = F.col("callers_complete") & ~F.col("deleted")
     reasons = F.array_compact(F.array(F.when(F.col("deleted"), F.lit("deleted: callers were not searched")), F.when(~F.col("callers_complete"), F.coalesce("reason", F.lit("search did not finish")))))
     joined = row.join(states, row.id == states.change, "left").fillna(0, ["callers", "stale", "tests"])
-    return joined.select("id", "label", "path", "base_sig", "head_sig", "kinds", "callers", "stale", "tests", complete.alias("complete"), reasons.alias("reasons"))
+    out = joined.select("id", "label", "path", "base_sig", "head_sig", "kinds", "callers", "stale", "tests", "deleted", complete.alias("complete"), reasons.alias("reasons"))
+    live = ~F.coalesce("deleted", F.lit(False))
+    only = lambda df, key: df.where(F.col(key) == change).withColumnRenamed(key, "id")
+    if hunks is not None:
+        out = out.join(only(hunks, "id").select("id", F.col("text").alias("__hunk"), F.col("complete").alias("__whole")), "id", "left").select(*out.columns, F.when(live, F.col("__hunk")).alias("hunk"), (live & F.coalesce("__whole", F.lit(False))).alias("hunk_complete"))
+    if calls is not None:
+        fields = ["added", "added_more", "removed", "removed_more"]
+        out = out.join(only(calls, "id").select("id", *[F.col(c).alias(f"__{c}") for c in fields]), "id", "left").select(*out.columns, *[F.when(live, F.col(f"__{c}")).alias(f"calls_{c}") for c in fields])
+    if reach is not None:
+        out = out.join(only(reach, "start").select("id", F.col("state").alias("__state"), F.col("reason").alias("__why")), "id", "left").select(*out.columns, F.when(live, F.coalesce("__state", F.lit("unknown"))).alias("test_state"), F.when(live, F.col("__why")).alias("test_reason"))
+    if paths is not None:
+        listed = only(paths, "id").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "end", "via", "through_stale"))), lambda p: F.struct(p["end"].alias("end"), p["via"].alias("via"), p["through_stale"].alias("through_stale"))).alias("__paths"))
+        out = out.join(listed, "id", "left").select(*out.columns, F.when(live, F.col("__paths")).alias("paths"))
+    return out.drop("deleted")
 
 
 def callers_of(path: str, line: int, changes: DataFrame, callers: DataFrame, name: str | None = None) -> DataFrame:

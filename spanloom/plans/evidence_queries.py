@@ -93,6 +93,12 @@ def q83_card_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("card", "members", "walked", "entry", "top_unidentified", "unknown", "budget", "entry_points", "complete", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def q83b_card_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry points of suppliers' four cards, in the order in which the members reach them."""
+    members = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).alias("card"), F.col("s_suppkey").alias("change"))
+    return impact.card_entries(members, _walk(spark, sf_dir))
+
+
 def q84_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers one level above every supplier, thirty at most."""
     starts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("start"))
@@ -163,7 +169,7 @@ def q91_change_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callers.change_edges(calls, callers.changed_keys(symbols))
 
 
-QUERIES = {f.__name__: f for f in (q77_commit_evidence, q78_token_evidence, q79_hints, q80_type_seams, q81_impact, q82_impact_entries, q83_card_impact, q84_blast, q84b_blast_budget, q85_shown_roots, q86_owners, q87_row_at, q88_comments, q89_word_files, q89b_phrase_files, q90_mirror_cards, q91_change_edges)}
+QUERIES = {f.__name__: f for f in (q77_commit_evidence, q78_token_evidence, q79_hints, q80_type_seams, q81_impact, q82_impact_entries, q83_card_impact, q83b_card_entries, q84_blast, q84b_blast_budget, q85_shown_roots, q86_owners, q87_row_at, q88_comments, q89_word_files, q89b_phrase_files, q90_mirror_cards, q91_change_edges)}
 
 _CARDS = r"cards AS (SELECT 'K' || regexp_extract(source, '(\d+)$', 1) AS card, CAST(regexp_extract(source, '(\d+)$', 1) AS INT) AS n, doc_id, lang, text FROM documents)"
 _COMMITS = """touched AS (SELECT DISTINCT doc_id // 7 AS sha, card, n FROM cards), commits AS (SELECT doc_id // 7 AS sha, count(DISTINCT doc_id) AS files FROM documents GROUP BY 1),
@@ -207,6 +213,9 @@ SQL = {
         SELECT s % 4 AS card, count(*) + 1 AS members, count(*) AS walked, CAST(sum(entry) AS BIGINT) AS entry, CAST(sum(top_unidentified) AS BIGINT) AS top_unidentified, CAST(sum(unknown) AS BIGINT) AS unknown, CAST(sum(budget) AS BIGINT) AS budget,
             coalesce(any_value(k), 0) AS entry_points, false AS complete, '1 member(s) have no impact paths (deleted or not walked)' || coalesce('; ' || any_value(t), '') AS reasons
         FROM own LEFT JOIN texts ON texts.card = s % 4 LEFT JOIN pts ON pts.card = s % 4 GROUP BY 1""",
+    "q83b_card_entries": f"""WITH RECURSIVE {_WALK}, p AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY depth, name, type, file) AS r FROM points),
+        g AS (SELECT s % 4 AS card, type, name, max({{'s': s, 'r': r, 'file': file, 'depth': depth}}) AS l, min({{'s': s, 'r': r}}) AS f FROM p GROUP BY 1, 2, 3)
+        SELECT card, type, name, l.file AS file, l.depth AS depth, l.s AS change, row_number() OVER (PARTITION BY card ORDER BY f) AS position FROM g""",
     "q84_blast": f"WITH {edges_sql('supp')}, c AS (SELECT s_suppkey AS start, count(dst) AS n FROM supplier LEFT JOIN edges ON src = s_suppkey AND dst % 10 <> 0 GROUP BY 1) SELECT start, least(n, 30) AS blast, n >= 30 AS capped FROM c",
     "q84b_blast_budget": f"""WITH {edges_sql('supp')}, e AS (SELECT * FROM edges WHERE (src * 7 + dst) % 11 = 0 AND dst % 10 <> 0), near AS (SELECT src AS s, dst AS n FROM e UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src),
         c AS (SELECT s_suppkey AS start, count(n) AS n FROM supplier LEFT JOIN near ON s = s_suppkey GROUP BY 1) SELECT start, least(n, 40) AS blast, n >= 40 AS capped FROM c""",

@@ -67,6 +67,19 @@ def q33_review_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.parents_with_matching_children(parents, turns, "conv_id", (F.col("role") == "assistant") & (F.length("text") > 200))
 
 
+def q33b_filtered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files under each of the four filters, with how many of their turns pass: ``mode, path, passing``."""
+    turns = table(spark, sf_dir, "conversations")
+    files = turns.groupBy(F.col("conv_id").alias("path")).agg(F.max((F.col("conv_id") % 7 == 0).cast("int")).alias("threads"))
+    rows = turns.select(F.col("conv_id").alias("path"), ((F.col("role") == "assistant") & (F.length("text") > 200)).alias("attention"), (F.col("turn") % 3 == 0).alias("reviewed"), F.when((F.col("role") == "user") & (F.col("conv_id") % 3 == 0), 1).alias("threads"))
+    out = None
+    for mode in review.FILTERS:
+        shown, kept = review.filtered_files(files, rows, mode)
+        found = shown.join(kept.groupBy("path").agg(F.count("*").alias("passing")), "path", "left").select(F.lit(mode).alias("mode"), "path", F.coalesce("passing", F.lit(0)).alias("passing"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", (F.col("role") == "user").alias("pending"), ((F.col("role") == "system") & (F.col("conv_id") % 2 == 0)).alias("resolved"))
 
@@ -212,7 +225,7 @@ def q68_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q26_ordered, q27_capped, q28_budget, q29_page, q30_neighbours, q31_cleanup, q31b_cleanup_summary, q32_rollup, q33_review_filter, q34_thread_counts, q37_paths, q38_status, q39_one_line,
+    q26_ordered, q27_capped, q28_budget, q29_page, q30_neighbours, q31_cleanup, q31b_cleanup_summary, q32_rollup, q33_review_filter, q33b_filtered_files, q34_thread_counts, q37_paths, q38_status, q39_one_line,
     q40_upper_median, q41_agreed, q41b_completeness, q42_families, q43_clamped, q44_content_ids, q46_grouped, q47_props, q48_older, q62_verdicts, q63_review_counts, q64_newest, q65_rederived, q66_labels, q67_remotes, q67b_unset_remotes, q68_reviewers)}
 
 _PLAN = f"""snaps AS (SELECT event_id AS id, CAST(event_id AS VARCHAR) AS sha, CASE WHEN event_id % 4 <> 0 THEN event_id % 7 END AS round, user_id AS branch, epoch_us(ts) // 1000 AS created_ms FROM events),
@@ -242,6 +255,10 @@ SQL = {
     "q31b_cleanup_summary": f"WITH {_PLAN} SELECT action, reason, count(*) AS n, CAST(sum(id % 1000) AS BIGINT) AS bytes FROM plan GROUP BY 1, 2",
     "q32_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "q33_review_filter": "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id HAVING bool_or(role = 'assistant' AND length(text) > 200)",
+    "q33b_filtered_files": """WITH r AS (SELECT conv_id AS path, coalesce(role = 'assistant' AND length(text) > 200, false) AS attention, coalesce(turn % 3 = 0, false) AS reviewed, role = 'user' AND conv_id % 3 = 0 AS threads FROM conversations),
+        g AS (SELECT path, count(*) AS every, count_if(attention AND NOT reviewed) AS attention, count_if(NOT reviewed) AS unreviewed, count_if(threads) AS threads FROM r GROUP BY path)
+        SELECT 'all' AS mode, path, every AS passing FROM g UNION ALL SELECT 'attention', path, attention FROM g WHERE attention > 0 UNION ALL SELECT 'unreviewed', path, unreviewed FROM g WHERE unreviewed > 0
+        UNION ALL SELECT 'threads', path, threads FROM g WHERE threads > 0 OR path % 7 = 0""",
     "q34_thread_counts": "SELECT conv_id, count_if(role <> 'user') AS posted, count_if(role = 'user') AS pending, NOT bool_or(role = 'system' AND conv_id % 2 = 0) AND bool_or(role <> 'user') AS open FROM conversations GROUP BY conv_id",
     "q37_paths": rf"SELECT page_id, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END AS top, regexp_replace(path, '^[^/]*/', '') AS tail, string_split(path, '/')[-1] AS base, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM {_PATH}",
     "q38_status": f"WITH raw AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 6 THEN '' ELSE ['', 'done ', '**Skipped** — ', 'donefor ', 'skipped:', '__done__,'][(turn + conv_id) % 6 + 1] || string_split(coalesce(text, ''), chr(10))[1] END AS line FROM conversations), {_STATUS} SELECT conv_id, turn, status, reason FROM said",

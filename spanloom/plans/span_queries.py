@@ -86,6 +86,16 @@ def q06_stale_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("o_custkey", "o_orderpriority", "status", "order_key", F.col("kinds")[0].alias("kind"), "callers", "stale", "score", "finding").orderBy(F.desc("score"), "o_custkey", "o_orderpriority")
 
 
+def q06b_changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of each order that its N spans touch: A and R spans are the head's, two thirds of which the base has, beside some of its own."""
+    spans = line_spans(spark, sf_dir)
+    doubled = lambda df, *more: df.select("k", *more, (F.col("lo") * 2).alias("lo"), (F.col("hi") * 2).alias("hi"))
+    said = spans.withColumn("label", F.concat(F.lit("l"), (F.col("part") % 5).cast("string"))).withColumn("digest", (F.col("supp") % 3).cast("string"))
+    head = doubled(said.where("flag <> 'N'"), F.col("ord").alias("key"), "label", "digest")
+    base = said.where("flag <> 'N' AND part % 3 <> 0").select("k", F.col("ord").alias("key"), "label", "digest").union(said.where("supp % 4 = 0").select("k", F.col("ord") + 100, "label", "digest"))
+    return matching.changed_symbols(base, head, doubled(spans.where("flag = 'N'")), "k")
+
+
 def q07_not_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of odd sources whose text no document of an even source has in the same language."""
     docs = table(spark, sf_dir, "documents").withColumn("h", F.md5("text")).withColumn("side", F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2)
@@ -109,6 +119,14 @@ def q25_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.folder_rollup(pages)
 
 
+def q25c_worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of urls with the page of the worst level, the first of several."""
+    from ..operators import review
+
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"://([^?#]*)", 1).alias("path"), "page_id", (F.col("page_id") % 5).alias("level"), F.lit(1).alias("attention"))
+    return review.folder_rollup(pages, row="page_id").select("folder", "worst", "worst_row")
+
+
 def q25b_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders of urls as they are shown: single chains as one row, with joined names and depth."""
     from ..operators import review
@@ -174,7 +192,7 @@ _PAGES = "pages_ AS (SELECT page_id, url, regexp_extract(url, '://([^?#]*)', 1)
 _FOLDERS = "above AS (SELECT page_id, url, path, array_to_string(parts[1:i], '/') AS folder FROM (SELECT *, string_split(path, '/') AS parts FROM pages_), generate_series(1, 40) AS g(i) WHERE i < len(parts))"
 _INNER = "SELECT w.k, w.at, s.lo, s.hi, s.id FROM w LEFT JOIN LATERAL (SELECT lo, hi, ord AS id FROM spans s WHERE s.k = w.k AND w.at BETWEEN s.lo AND s.hi {extra} ORDER BY hi - lo, ord LIMIT 1) s ON true"
 
-QUERIES = {f.__name__: f for f in (q01_merge_spans, q02_site_states, q03_innermost, q03b_leaf_spans, q04_subtract, q04b_outside_lines, q05_near, q06_stale_findings, q07_not_renumbered, q24_ancestor, q25_folders, q25b_compacted, q35_row_at_line, q51_widened, q52_nearest_line, q53_ownership, q54_paired_overloads, q55_twins, q56_line_positions)}
+QUERIES = {f.__name__: f for f in (q01_merge_spans, q02_site_states, q03_innermost, q03b_leaf_spans, q04_subtract, q04b_outside_lines, q05_near, q06_stale_findings, q06b_changed_symbols, q07_not_renumbered, q24_ancestor, q25_folders, q25b_compacted, q25c_worst_rows, q35_row_at_line, q51_widened, q52_nearest_line, q53_ownership, q54_paired_overloads, q55_twins, q56_line_positions)}
 
 SQL = {
     "q01_merge_spans": f"WITH {SPANS_SQL}, {_MERGE.format(name='m', source='spans')} SELECT k, lo, hi FROM m",
@@ -202,9 +220,16 @@ SQL = {
             FROM change c LEFT JOIN counts USING (order_key))
         SELECT o_custkey, o_orderpriority, status, order_key, kind, CAST(callers AS BIGINT) AS callers, CAST(stale AS BIGINT) AS stale,
             CAST(CASE kind WHEN 'body' THEN 10 WHEN 'new-throw' THEN 80 WHEN 'default-changed' THEN 65 ELSE 20 END + 2 * least(stale, 10) AS INT) AS score, kind <> 'body' AS finding FROM kinds""",
+    "q06b_changed_symbols": f"""WITH {SPANS_SQL}, head AS (SELECT k, ord AS key, 'l' || (part % 5) AS label, supp % 3 AS digest, lo, hi FROM spans WHERE flag <> 'N'),
+        base AS (SELECT k, ord AS key, 'l' || (part % 5) AS label, supp % 3 AS digest FROM spans WHERE flag <> 'N' AND part % 3 <> 0 UNION ALL SELECT k, ord + 100, 'l' || (part % 5), supp % 3 FROM spans WHERE supp % 4 = 0),
+        asked AS (SELECT DISTINCT k, unnest(generate_series(lo, hi)) AS x FROM spans WHERE flag = 'N'), touched AS (SELECT DISTINCT k, (SELECT arg_min(key, (hi - lo) * 1000 + key) FROM head h WHERE h.k = a.k AND x BETWEEN h.lo AND h.hi) AS key FROM asked a)
+        SELECT k, key, CASE WHEN EXISTS (SELECT 1 FROM base b WHERE b.k = h.k AND b.key = h.key) THEN 'changed' ELSE 'added' END AS status FROM head h
+        WHERE EXISTS (SELECT 1 FROM touched t WHERE t.k = h.k AND t.key = h.key) OR NOT EXISTS (SELECT 1 FROM base b WHERE b.k = h.k AND (b.key = h.key OR b.label = h.label AND b.digest = h.digest))
+        UNION ALL SELECT DISTINCT k, key, 'deleted' FROM base b WHERE NOT EXISTS (SELECT 1 FROM head h WHERE h.k = b.k AND h.key = b.key)""",
     "q07_not_renumbered": r"WITH d AS (SELECT doc_id, lang, md5(text) AS h, CAST(regexp_extract(source, '(\d+)$', 1) AS INT) % 2 AS side FROM documents) SELECT lang, h, doc_id FROM d WHERE side = 1 AND NOT EXISTS (SELECT 1 FROM d b WHERE b.side = 0 AND b.lang = d.lang AND b.h = d.h)",
     "q24_ancestor": f"WITH {_PAGES}, {_FOLDERS}, known AS (SELECT folder FROM above GROUP BY folder HAVING count(*) >= 3) SELECT p.path, arg_max(k.folder, length(k.folder)) AS folder FROM (SELECT DISTINCT path FROM pages_) p LEFT JOIN above a ON a.path = p.path LEFT JOIN known k ON k.folder = a.folder GROUP BY p.path",
     "q25_folders": f"WITH {_PAGES}, {_FOLDERS} SELECT folder, count(*) AS files, min(page_id) AS worst, CAST(sum(CASE WHEN contains(url, '?') THEN 1 ELSE 0 END) AS BIGINT) AS attention FROM above GROUP BY folder",
+    "q25c_worst_rows": f"WITH {_PAGES}, {_FOLDERS} SELECT folder, min(page_id % 5) AS worst, arg_min(page_id, (page_id % 5) * 1000000000 + page_id) AS worst_row FROM above GROUP BY folder",
     "q25b_compacted": f"""WITH p AS (SELECT regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '/+', '/', 'g') AS path FROM pages), s AS (SELECT path, string_split(path, '/') AS parts FROM p),
         above AS (SELECT array_to_string(parts[1:i], '/') AS folder, i = len(parts) - 1 AS direct FROM s, generate_series(1, 40) AS g(i) WHERE i < len(parts)), r AS (SELECT folder, count(*) AS files, count_if(direct) AS own FROM above GROUP BY folder),
         subs AS (SELECT regexp_extract(folder, '^(.*)/[^/]+$', 1) AS folder, count(*) AS n FROM r WHERE contains(folder, '/') GROUP BY 1), shown AS (SELECT r.folder, files FROM r LEFT JOIN subs USING (folder) WHERE NOT (coalesce(n, 0) = 1 AND own = 0)),

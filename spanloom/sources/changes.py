@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import meeting
+
 HUNKS = "run_id string, path string, hunk_no int, old_start int, old_count int, new_start int, new_count int, removed array<string>, added array<string>"
 _HEADER = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
@@ -260,9 +262,11 @@ def function_hunks(functions: DataFrame, diffs: DataFrame, most_chars: int = 600
     count = F.regexp_extract("__h", r"^@@ -\d+(?:,\d+)? \+\d+,(\d+) @@", 1)
     lo = F.when(start != "", start.cast("int"))
     hi = lo + F.greatest(F.when(count != "", count.cast("int")).otherwise(1) - 1, F.lit(0))
-    joined = functions.join(each.withColumn("__lo", lo).withColumn("__hi", hi), "path", "left")
-    meets = (F.col("__hi") >= F.col("start_line")) & (F.col("__lo") <= F.col("end_line"))
-    found = joined.groupBy("id").agg(F.bool_or("__known").alias("known"), F.array_sort(F.collect_list(F.when(meets, F.struct("__n", "__h")))).alias("hs"))
+    own = functions.select("path", "id", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    placed = each.withColumn("lo", lo).withColumn("hi", hi).where("lo IS NOT NULL").select("path", F.struct("__n", "__h").alias("id"), "lo", "hi")
+    met = meeting(own, placed, ["path"]).groupBy(F.col("left_id").alias("id")).agg(F.array_sort(F.collect_list("right_id")).alias("hs"))
+    there = each.select("path", "__known").distinct()
+    found = functions.select("id", "path").join(there, "path", "left").join(met, "id", "left").select("id", F.col("__known").alias("known"), F.coalesce("hs", F.array().cast(met.schema["hs"].dataType)).alias("hs"))
     text = F.array_join(F.transform("hs", lambda x: x["__h"]), "\n")
     cut = F.length(text) > most_chars
     shown = F.when(cut, F.concat(F.substring(text, 1, most_chars), F.lit(f"\n… (cut at {most_chars} characters)"))).otherwise(text)

@@ -105,3 +105,50 @@ def test_bitmap_reduction_decides_nothing(spark):
     assert filters.possibly_in(df, "k", keys, "k").join(keys, "k", "left_semi").count() == df.join(keys, "k", "left_semi").count()
     assert filters.without(df, "k", keys.limit(0), "k").count() == 200
     assert filters.with_hint(df, "k", keys, "k").where("__maybe").count() < 90
+
+
+def test_a_change_with_all_that_is_known_of_it(spark, review):
+    _, _, changes, callers, _ = review
+    hunks = spark.createDataFrame([("a", "@@ -1 +1 @@\n+x", True), ("c", "@@", True)], "id string, text string, complete boolean")
+    calls = spark.createDataFrame([("a", ["f"], 2, [], 0)], "id string, added array<string>, added_more int, removed array<string>, removed_more int")
+    reach = spark.createDataFrame([("a", "covered", 1, None), ("b", "unknown", None, "why")], "start string, state string, test_depth int, reason string")
+    paths = spark.createDataFrame([("a", 2, "budget", ["a", "z"], False), ("a", 1, "entry", ["a", "y"], True)], "id string, position int, end string, via array<string>, through_stale boolean")
+    row = lambda c: answers.get_change(c, changes, callers, hunks, calls, reach, paths).first()
+    a, b, c = row("a"), row("b"), row("c")
+    assert (a.callers, a.hunk, a.hunk_complete, a.calls_added, a.calls_added_more, a.test_state) == (2, "@@ -1 +1 @@\n+x", True, ["f"], 2, "covered")
+    assert [(p.end, p.via, p.through_stale) for p in a.paths] == [("entry", ["a", "y"], True), ("budget", ["a", "z"], False)]
+    assert (b.hunk, b.hunk_complete, b.calls_added, b.test_state, b.test_reason, b.paths) == (None, False, None, "unknown", "why", None)
+    assert (c.hunk, c.hunk_complete, c.test_state, c.paths) == (None, False, None, None) and "deleted" in c.reasons[0]
+
+
+def test_what_a_card_has_beside_its_members(spark):
+    from spanloom.operators import impact
+
+    members = spark.createDataFrame([("K1", "a"), ("K1", "b"), ("K2", "c")], "card string, change string")
+    rows = [("a", "n1", "entry", None, None, "http", "GET /x", "f", 2, ["a", "n1"], False), ("b", "n2", "entry", None, None, "http", "GET /x", "g", 1, ["b", "n2"], True), ("b", "n3", "entry", None, None, "job", "nightly", "g", 1, ["b", "n3"], False), ("c", "n4", "budget", "limit", None, None, None, "h", 3, ["c", "n4"], False)]
+    ends = spark.createDataFrame(rows, "id string, node string, end string, reason string, top_kind string, entry_type string, entry_name string, file string, depth int, via array<string>, through_stale boolean")
+    visited = spark.createDataFrame([("a", 4), ("b", 2)], "id string, visited long")
+    summaries = impact.summary(ends, visited=visited)
+    assert {r.id: (r.entry_types, r.visited) for r in summaries.collect()} == {"a": ({"http": 1}, 4), "b": ({"http": 1, "job": 1}, 2), "c": (None, 0)}
+    cards = impact.card_impact(members, summaries, ends)
+    seams = spark.createDataFrame([("type", ["K1", "K2"], "p", 1), ("call", ["K1", "K10"], "q", 2), ("call", ["K1", "K2"], "q", 3), ("call", ["K2", "K3"], "q", 3)], "type string, cards array<string>, place string, via_count int")
+    together = spark.createDataFrame([("K1", "K2", 3, [f"e{i}" for i in range(9)], 1), ("K2", "K3", 1, [], 2)], "a string, b string, strength int, evidence array<string>, position int")
+    facts = answers.card_facts("K1", cards, ends, members, seams, together)
+    one = facts["impact"].first()
+    assert (one.members, one.walked, one.entry_points, one.entry_types, one.complete) == (2, 2, 2, {"http": 1, "job": 1}, True)
+    assert [(r.type, r.name, r.file, r.change) for r in facts["entries"].collect()] == [("http", "GET /x", "g", "b"), ("job", "nightly", "g", "b")]
+    assert [r.via for r in facts["paths"].collect()] == [["b", "n2"], ["a", "n1"], ["b", "n3"]]
+    assert [(r.type, r.cards) for r in facts["seams"].collect()] == [("call", ["K1", "K2"]), ("call", ["K1", "K10"]), ("type", ["K1", "K2"])]
+    assert [(r.a, r.b, len(r.evidence)) for r in facts["hints"].collect()] == [("K1", "K2", 6)]
+
+
+def test_hunks_of_functions_of_one_long_file(spark):
+    """Thousands of functions and hunks in one file meet by cells; each gets just its own hunks."""
+    from spanloom.sources import changes as sources
+
+    n = 3_000
+    functions = spark.createDataFrame([(i, "x", 10 * i + 1, 10 * i + 5) for i in range(n)] + [(n, "y", 1, 2)], "id int, path string, start_line int, end_line int")
+    text = "diff --git a/x b/x\n" + "\n".join(f"@@ -1 +{10 * i + 5},2 @@\n+{i}" for i in range(0, n, 2))
+    got = {r.id: (r.text, r.complete) for r in sources.function_hunks(functions, spark.createDataFrame([("x", text)], "path string, text string")).collect()}
+    assert len(got) == n + 1 and got[n] == (None, False)
+    assert got[0] == ("@@ -1 +5,2 @@\n+0", True) and got[1] == ("", True) and got[2998][0] == "@@ -1 +29985,2 @@\n+2998"
