@@ -79,3 +79,14 @@ def test_more_languages_than_a_task_holds(spark):
         assert {(x.lang, x.bucket): x.n for x in langid.fit(df).counts.where("lang = 'l5'").collect()} == counts
     finally:
         langid._HELD = held
+
+
+def test_a_list_of_many_rules(spark):
+    """Two hundred thousand rules of many lengths below many hosts, past the broadcast; extra columns; a very long url."""
+    from spanloom.llm import urls
+
+    rules = spark.range(200_000).select(F.concat(F.lit("h"), (F.col("id") % 50_000).cast("string"), F.lit(".example")).alias("host"), F.concat(F.lit("/"), F.repeat(F.lit("p"), (F.col("id") % 40).cast("int")), F.lit("/"), F.floor(F.col("id") / 50_000).cast("string")).alias("path"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"), F.lit(1).alias("url"))
+    pages = [(1, "https://a.h7.example/ppppppp/0/x"), (2, "https://h7.example/pppppppppppppppppppppppppppp/2"), (3, "https://h7.example/q"), (4, "http://xh7.example/ppppppp/0"), (5, None), (6, "https://h8.example/pppppppp/0" + "/y" * 100_000), (7, "https://h8.EXAMPLE/pppppppp/0?x")]
+    got = {x.page_id: (x.rule and x.rule[:12], x.verdict) for x in urls.judged(spark.createDataFrame([(*p, "v") for p in pages], "page_id long, url string, verdict string"), rules).collect()}
+    assert got == {1: ("h7.example/p", "allow"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: ("h8.example/p", "block"), 7: ("h8.example/p", "block")}
+    assert spark.range(1).count() == 1 and urls.judged(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
