@@ -64,13 +64,14 @@ def parameter_cost(base: list[str], head: list[str]) -> int:
     return row[-1]
 
 
-def _costs(base: pd.Series, head: pd.Series) -> pd.Series:
-    return pd.Series([parameter_cost(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(base, head, strict=True)])
-
-
 def _aligned(base: list[dict], head: list[dict]) -> list[tuple[int | None, int | None]]:
     """Pairs of positions of a cheapest alignment by name, from the front: a pair before an addition, an addition before a removal."""
-    rest = [[parameter_cost([p["name"] for p in base[i:]], [p["name"] for p in head[j:]]) for j in range(len(head) + 1)] for i in range(len(base) + 1)]
+    rest = [[0] * (len(head) + 1) for _ in range(len(base) + 1)]  # costs of what is left behind both positions
+    for i in range(len(base), -1, -1):
+        for j in range(len(head), -1, -1):
+            ways = [rest[i + 1][j + 1] + (base[i]["name"] != head[j]["name"])] if i < len(base) and j < len(head) else []
+            ways += ([rest[i][j + 1] + 1] if j < len(head) else []) + ([rest[i + 1][j] + 1] if i < len(base) else [])
+            rest[i][j] = min(ways, default=0)
     out, i, j = [], 0, 0
     while i < len(base) or j < len(head):
         both = i < len(base) and j < len(head)
@@ -126,7 +127,3 @@ def signature_kinds(base: Column, head: Column) -> Column:
 def token_edits(a, b) -> Column:
     """Edits between two token arrays; null where the pair is over the work limit."""
     return F.pandas_udf(_edits, EDITS)(a, b)
-
-
-def parameter_costs(base, head) -> Column:
-    return F.pandas_udf(_costs, "int")(base, head)
