@@ -125,11 +125,22 @@ def q60_settled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.settled_keys(edits, "doc_id", "record", "literal", "shape", "source")
 
 
-def q61_edit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal and shape keys of each edit between whole consecutive turns; one row with ``compared`` false where a pair is over the work limit."""
+def _aligned_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits between the tokens of whole consecutive turns: ``conv_id, turn, edits``."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.tokens(F.coalesce("text", F.lit(""))).alias("w"))
     pairs = turns.withColumn("before", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
-    aligned = pairs.select("conv_id", "turn", alignment.token_edits("before", "w").alias("edits"))
+    return pairs.select("conv_id", "turn", alignment.token_edits("before", "w").alias("edits"))
+
+
+def q61b_shape_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One shape key for all edits between consecutive turns, null where they have none, and the key in words."""
+    shaped = _aligned_turns(spark, sf_dir).select("conv_id", "turn", F.col("edits").isNotNull().alias("compared"), t.shape_key(F.coalesce("edits", F.array().cast(alignment.EDITS)), ["la", "the", "de", "and", "und"]).alias("shape"))
+    return shaped.withColumn("words", F.array_join(F.transform(F.split("shape", r" \| "), t.shape_words), "; "))
+
+
+def q61_edit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal and shape keys of each edit between whole consecutive turns; one row with ``compared`` false where a pair is over the work limit."""
+    aligned = _aligned_turns(spark, sf_dir)
     edits = aligned.select("conv_id", "turn", F.col("edits").isNotNull().alias("compared"), F.posexplode_outer("edits").alias("n", "e")).where("n IS NOT NULL OR NOT compared")
     shaped = lambda c: t.shape(F.col(c), ["la", "the", "de"])
     return edits.select("conv_id", "turn", "n", "compared", t.edit_key(F.col("e.removed"), F.col("e.added")).alias("literal"), t.edit_key(shaped("e.removed"), shaped("e.added")).alias("shape"))
@@ -139,7 +150,7 @@ _TOK = f"toks AS (SELECT id, source, unnest(tokens) AS token FROM ({WORDS_SQL}))
 _TURNS = "t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}')) AS w0, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM conversations)"
 _FIRST = "list_filter(list_transform(range(1, len({x}) + 1), lambda i: CASE WHEN list_position({x}, {x}[i]) = i AND NOT list_contains({y}, {x}[i]) THEN {x}[i] END), lambda v: v IS NOT NULL)"
 
-QUERIES = {f.__name__: f for f in (q08_repeated_patterns, q09_dominant, q10_similar, q10b_similar_members, q11_contained, q12_both_ways, q13_moves, q22_in_two_groups, q23_strength, q36_token_counts, q45_placement, q50_token_edits, q57_new_throws, q58_pooled, q59_mirrors, q60_settled_keys, q61_edit_keys)}
+QUERIES = {f.__name__: f for f in (q08_repeated_patterns, q09_dominant, q10_similar, q10b_similar_members, q11_contained, q12_both_ways, q13_moves, q22_in_two_groups, q23_strength, q36_token_counts, q45_placement, q50_token_edits, q57_new_throws, q58_pooled, q59_mirrors, q60_settled_keys, q61_edit_keys, q61b_shape_keys)}
 
 SQL = {
     "q08_repeated_patterns": f"WITH {_TOK} SELECT token, count(DISTINCT id) AS items, count(DISTINCT source) AS groups FROM toks GROUP BY token HAVING count(DISTINCT id) >= 5 AND count(DISTINCT source) >= 2",
