@@ -14,19 +14,30 @@ from pyspark.sql import functions as F
 from spanloom.llm import decontam, langid, minhash, mixing, shards
 from spanloom.llm.scratch import new_folder, written
 
+#: Bytes of an Arrow batch. Spark's own 64 MB put a whole task's texts into one batch: in the JVM and in Python, in and out.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that this session's tasks exchange with Python, while the stage's lazy result is written too."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: null, empty, without letters, or with a posterior under one half, they go."""
+    _small_batches(spark)
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, 0.8): each row by its own text, the smallest id stays."""
+    _small_batches(spark)
     return minhash.deduplicated(docs, words=5, percent=80, folding="spaced")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; rows are judged by their text alone."""
+    _small_batches(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
