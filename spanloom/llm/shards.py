@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from ..operators.tables import ROW_GROUPS
+
 
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 256 << 20, fanout: int = 4, similar: float = 2.0):
@@ -73,13 +75,13 @@ class ShardStore:
     def append(self, df: DataFrame) -> dict:
         """One arrival as one run of as many files as ``df`` has partitions; returns the new manifest."""
         base, path = self.manifest(), f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.options(**ROW_GROUPS).parquet(path)
         return self._commit(base, [*base["runs"], self._run(path)], df.schema.json())
 
     def append_arrivals(self, df: DataFrame, arrival: str) -> dict:
         """As one :meth:`append` for each value of the column ``arrival`` (which is not stored), in one job and one commit."""
         base, path = self.manifest(), f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.partitionBy(arrival).parquet(path)
+        df.write.options(**ROW_GROUPS).partitionBy(arrival).parquet(path)
         runs = sorted((s.getPath().toString() for s in self._list(path) if s.isDirectory()))
         return self._commit(base, [*base["runs"], *[self._run(p) for p in runs]], df.drop(arrival).schema.json())
 
@@ -104,7 +106,7 @@ class ShardStore:
             schema = StructType.fromJson(json.loads(base["schema"]))
             n = max(1, math.ceil(sum(r["bytes"] for r in group) / self.target_bytes))
             path = f"{self.root}/data/{uuid.uuid4().hex}"
-            self.spark.read.schema(schema).parquet(*paths).coalesce(n).write.parquet(path)
+            self.spark.read.schema(schema).parquet(*paths).coalesce(n).write.options(**ROW_GROUPS).parquet(path)
             base = self._commit(base, [*[r for r in base["runs"] if r["path"] not in paths], self._run(path)], base["schema"])
         return base
 

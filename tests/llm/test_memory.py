@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from spanloom.llm import shards
 from spanloom.llm.scratch import written
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -48,3 +49,17 @@ def test_stored_tables_have_small_row_groups(spark):
     table = written(noise(spark, 24_000, 2), "row-groups")
     assert sum(row_groups(table)) > 45_000_000 and max(row_groups(table)) < 24_000_000
     assert table.count() == 24_000
+
+
+def test_stores_have_small_row_groups(spark, tmp_path):
+    """Appended runs and the compacted one: a compaction used to gather a whole shard in memory."""
+    docs = noise(spark, 24_000, 2).withColumnRenamed("id", "doc_id")
+    whole = shards.ShardStore(spark, f"{tmp_path}/whole")
+    whole.append(docs)
+    assert max(row_groups(whole.read())) < 24_000_000
+    one = shards.ShardStore(spark, f"{tmp_path}/one")
+    one.append_arrivals(docs.withColumn("part", F.lit(1)), "part")
+    assert max(row_groups(one.read())) < 24_000_000
+    store = shards.sharded(docs, f"{tmp_path}/dealt", arrivals=4)
+    assert len(store.read().inputFiles()) == 1 and max(row_groups(store.read())) < 24_000_000
+    assert store.read().select("doc_id", "text").exceptAll(docs).isEmpty() and store.read().count() == 24_000
