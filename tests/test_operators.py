@@ -129,6 +129,37 @@ def test_components_and_order_of_rows(spark):
     assert dict(rows(graph.components(e.orderBy(F.desc("src"))))) == want
 
 
+def test_components_have_small_plans_and_compute_edges_once(spark, monkeypatch):
+    """Each round was one plan of about forty scans, which filled the driver; the edges were computed again for the result."""
+    scans, made = [], spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def noted(df, name, stored=graph.stored):
+        scans.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return stored(df, name)
+
+    monkeypatch.setattr(graph, "stored", noted)
+    pairs = spark.range(0, 90, 1, 1).selectExpr("id AS src", "id + 1 + id % 3 AS dst").where("src % 10 < 7").mapInArrow(counted, "src long, dst long")
+    got = {x.node: x.component for x in graph.components(pairs).collect()}
+    assert made.value == 63 and len(scans) > 4 and max(scans) < 8, (made.value, scans)
+    label = {n: n for n in range(92)}
+    for i in [i for i in range(90) if i % 10 < 7] * 90:
+        label[i] = label[i + 1 + i % 3] = min(label[i], label[i + 1 + i % 3])
+    assert got == {n: label[n] for n in got} and set(got) == {n for i in range(90) if i % 10 < 7 for n in (i, i + 1 + i % 3)}
+
+
+def test_components_with_hubs_loops_and_nulls(spark, monkeypatch):
+    """Hubs, which are broadcast, beside loops at nodes with and without other edges; an end that is null is left out."""
+    monkeypatch.setattr(graph, "_HUBS", 3)
+    pairs = [(1000, i) for i in range(500)] + [(2000 + i, 3000) for i in range(300)] + [(7, 7), (5000, 5000), (3000, 3000), (None, 5001), (None, None)]
+    got = {x.node: x.component for x in graph.components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys([1000, *range(500)], 0), **dict.fromkeys([3000, *range(2000, 2300)], 2000), 5000: 5000, 5001: 5001}
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(8)
     pairs = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(300, 340)] + [(5, 5), (400, 401), (401, 400)]
