@@ -65,3 +65,17 @@ def test_order_of_lines_carries_no_column_that_cannot_change_the_spans(spark):
     sf = "/root/testdata/sf0.001"
     plan = lambda df: df._jdf.queryExecution().sparkPlan().collectLeaves().head().output().toString()
     assert "l_extendedprice" not in plan(line_spans(spark, sf)) and "l_quantity" not in plan(consecutive(spark, sf, "supp")) and "l_suppkey" not in plan(consecutive(spark, sf, "part"))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 4])
+def test_ends_without_ways_are_the_walks_ends(spark, most):
+    from spanloom.operators import impact
+
+    n = 24
+    edges = [(a, b) for a in range(n) for b in range(n) if (a * 7 + b * 5) % 11 == 0]
+    df = spark.createDataFrame([(a, b, b, (a + b) % 9 == 0, a % 2 == 0) for a, b in edges], "src long, dst long, ord long, is_test boolean, updated boolean")
+    facts = [(i, f"f{i}", f"p{i % 3}", "http" if i % 6 < 2 else None, f"E{i % 4}" if i % 6 < 2 else None, i % 6 == 1, i % 8 == 3, i % 2 == 0, i % 5 != 0, "referenced-as-value" if i % 10 == 0 else None, ("di", "none", None)[i % 3], i % 2) for i in range(n - 2)]
+    known = spark.createDataFrame(facts, "node long, label string, file string, entry_type string, entry_name string, passes boolean, module_level boolean, starts_app boolean, complete boolean, reason string, caller_state string, test_callers int")
+    starts = spark.createDataFrame([(i, i % 30, True) for i in range(0, 40, 3)], "id long, node long, risky boolean")
+    wanted = sorted(map(str, impact.walked(starts, df, known, 2, most).drop("via", "through_stale").collect()))
+    assert sorted(map(str, impact.ends_without_ways(starts, df.union(df), known, 2, most).collect())) == wanted
