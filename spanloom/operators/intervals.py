@@ -2,9 +2,10 @@
 
 A pure deletion between lines N and N + 1 is stored on doubled positions (``2 N + 1``), so every comparison stays integral.
 
-Joins of points and spans do not pair all rows of a key. A span lies in one or two cells of the grid whose cells are about as
-wide as itself, a point in one cell of each grid that spans use; they are joined on key, grid and cell, so a key with very many
-spans is dealt over many tasks and compares only what is near.
+Joins of points and spans do not pair all rows of a key. A span lies in one or two cells of the grid whose cells are as wide as
+itself or up to sixteen times that, a point in one cell of each grid that spans use; they are joined on key, grid and cell, so a
+key with very many spans is dealt over many tasks and compares only what is near. Grids are that far apart since a point is
+shuffled once for each.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ def widened(lo: Column, hi: Column, context: int = 3, least: int = 1) -> tuple[C
     return F.greatest(F.lit(least), lo - context), hi + context
 
 
+#: Grids' cells are 1, 16, 256, ... wide: powers of two so far apart.
+_GRIDS = 4
+
+
 def _same(keys: list[str]) -> Column:
     condition = F.lit(True)
     for k in keys:
@@ -44,7 +49,7 @@ def _same(keys: list[str]) -> Column:
 
 def stabbed(points: DataFrame, spans: DataFrame, keys: list[str], point: str, carried: list[Column] = ()) -> DataFrame:
     """Points with each span that holds them: the points' columns, ``__lo, __hi`` and what is ``carried`` of the span. Points outside all spans go."""
-    level = F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))).cast("int")
+    level = (F.ceil(F.log2((F.col("hi") - F.col("lo") + 1).cast("double")) / _GRIDS) * _GRIDS).cast("int")
     cell = lambda c, n: F.call_function("shiftright", c.cast("long"), n)
     sized = spans.where("lo <= hi").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), level.alias("__grid"), *carried)
     levels = sized.agg(F.collect_set("__grid")).scalar()
@@ -114,9 +119,9 @@ def owners_of_ranges(ranges: DataFrame, spans: DataFrame, keys: list[str], id_co
     ends = lines.select(*keys, "lo", "hi", F.explode(F.array("lo", "hi")).alias("at"))
     inside = stabbed(edges, lines.select(*keys, "lo", "hi").distinct(), keys, "at").select(*keys, F.col("__lo").alias("lo"), F.col("__hi").alias("hi"), "at")
     gaps = ranges.where("lo % 2 <> 0").select(*keys, "lo", "hi", F.col("lo").alias("at"))
-    asked = ends.unionByName(inside).unionByName(gaps).distinct()
+    asked = stored(ends.unionByName(inside).unionByName(gaps).distinct(), "owners-lines")  # each step's shuffles go before the next one's come
     best = innermost(asked.select(*keys, "at"), own, keys)
-    held = best.where("id IS NOT NULL").select(*keys, "at", "id")
+    held = stored(best.where("id IS NOT NULL").select(*keys, "at", "id"), "owners-held")
     return asked.join(held, [*keys, "at"]).select(*keys, "lo", "hi", "id").distinct()
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 SETTING = "spark.checkpoint.dir"
 #: Writer options. A row group of 16 MB instead of 128 MB is what a writer gathers, and a reader loads, at once.
 ROW_GROUPS = {"parquet.block.size": str(16 << 20)}
+#: Spark's own setting: a query's shuffle files go when it ends, not when the driver's collector finds that nothing needs them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[str] = []
 
 
@@ -36,10 +40,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a write drops its shuffle files at its end: what it wrote is read from then on, so disk holds the shuffles of one step only."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: the same rows without their lineage."""
     path = new_folder(df.sparkSession, name)
-    df.write.options(**ROW_GROUPS).parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.options(**ROW_GROUPS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,7 +66,8 @@ def stored_with_count(df: DataFrame, name: str, condition: Column) -> tuple[Data
     """:func:`stored`, and how many rows meet a condition, counted while they are written: no further job."""
     seen = Observation()
     path = new_folder(df.sparkSession, name)
-    df.observe(seen, F.count_if(condition).alias("n")).write.options(**ROW_GROUPS).parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.observe(seen, F.count_if(condition).alias("n")).write.options(**ROW_GROUPS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get.get("n") or 0
 
 

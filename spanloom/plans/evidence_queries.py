@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code
 from ..operators import callers, hints, impact, intervals, matching
+from ..operators.tables import stored
 from .tables import SPANS_SQL, consecutive, document_words, edges_sql, line_spans, table
 
 
@@ -120,7 +121,7 @@ def q85_shown_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q86_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of each order that own a line, or the gap behind the last line, of its returned ranges; positions are doubled."""
-    spans = line_spans(spark, sf_dir)
+    spans = stored(line_spans(spark, sf_dir).select("k", "ord", "lo", "hi", "flag"), "owner-spans")
     own = spans.where("flag <> 'R'").select("k", (F.col("lo") * 2).alias("lo"), (F.col("hi") * 2).alias("hi"), F.col("ord").alias("id"))
     ranges = spans.where("flag = 'R'").select("k", (F.col("lo") * 2).alias("lo"), (F.col("hi") * 2).alias("hi"))
     gaps = spans.where("flag = 'R'").select("k", (F.col("hi") * 2 + 1).alias("lo"), (F.col("hi") * 2 + 1).alias("hi"))

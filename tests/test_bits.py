@@ -79,3 +79,16 @@ def test_ends_without_ways_are_the_walks_ends(spark, most):
     starts = spark.createDataFrame([(i, i % 30, True) for i in range(0, 40, 3)], "id long, node long, risky boolean")
     wanted = sorted(map(str, impact.walked(starts, df, known, 2, most).drop("via", "through_stale").collect()))
     assert sorted(map(str, impact.ends_without_ways(starts, df.union(df), known, 2, most).collect())) == wanted
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    from spanloom.operators.tables import stored
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.getNumCachedSerializedBroadcast(), tracker.shuffleStatuses().size()
+    table = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "left-over")
+    assert table.count() == 7
+    spark.range(10).agg(F.count("*")).collect()
+    statuses = tracker.shuffleStatuses()
+    assert statuses.size() <= before[1] + 2  # those of the two counts
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
