@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import informative
+from .tables import stored
 
 #: The weight of each kind of signature change, heaviest first.
 KIND_WEIGHTS = {
@@ -60,15 +61,21 @@ def settled_keys(edits: DataFrame, item: str, record: str, literal: str, shape:
     ``shape`` of the whole record (null: says nothing). A record is ``literal`` where every key of it is an informative one that
     repeats; else ``shape`` where its shape repeats among the records that are not literal; else null.
     """
-    keys = edits.select(item, group, literal).distinct()
-    repeats = repeated_patterns(keys, literal, item, group, least_items, least_groups, informative(F.col(literal))).select(F.col(literal).alias("__literal"))
-    marked = edits.join(repeats, F.col(literal) == F.col("__literal"), "left")
-    records = marked.groupBy(item, record).agg(F.first(group).alias(group), F.first(shape).alias(shape), F.bool_and(F.col("__literal").isNotNull()).alias("__settled"))
-    open_ = records.where(~F.col("__settled") & F.col(shape).isNotNull()).select(item, group, shape).distinct()
-    shapes = repeated_patterns(open_, shape, item, group, least_items, least_groups).select(F.col(shape).alias("__shape"))
-    judged = records.join(shapes, F.col(shape) == F.col("__shape"), "left")
-    level = F.when(F.col("__settled"), "literal").when(F.col("__shape").isNotNull(), "shape")
-    return judged.select(item, record, level.alias("level"), F.when(level == "shape", F.col(shape)).alias(shape))
+    named = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(c).alias("h"), F.xxhash64(c, F.lit(1)).alias("g")))
+    keys = edits.select(item, record, group, named(literal).alias("__literal"), (F.col(literal).isNotNull() & informative(F.col(literal))).alias("__useful"), named(shape).alias("__shape"))
+    keys = stored(keys, "settled-keys")  # texts are read once and go no further: 128 bits stand for them
+    repeats = repeated_patterns(keys.where("__useful").select(item, group, "__literal").distinct(), "__literal", item, group, least_items, least_groups)
+    repeats = stored(repeats.select(F.col("__literal").alias("__repeats")), "settled-literals")
+    marked = keys.join(repeats, F.col("__literal") == F.col("__repeats"), "left")
+    records = marked.groupBy(item, record).agg(F.first(group).alias(group), F.first("__shape").alias("__shape"), F.bool_and(F.col("__repeats").isNotNull()).alias("__settled"))
+    records = stored(records, "settled-records")
+    open_ = records.where("NOT __settled AND __shape IS NOT NULL").select(item, group, "__shape").distinct()
+    shapes = repeated_patterns(open_, "__shape", item, group, least_items, least_groups).select("__shape")
+    texts = edits.where(F.col(shape).isNotNull()).groupBy(named(shape).alias("__shape")).agg(F.first(shape).alias("__text"))
+    shapes = stored(texts.join(shapes, "__shape", "left_semi").select(F.col("__shape").alias("__repeats"), "__text"), "settled-shapes")
+    judged = records.join(shapes, F.col("__shape") == F.col("__repeats"), "left")
+    level = F.when(F.col("__settled"), "literal").when(F.col("__repeats").isNotNull(), "shape")
+    return judged.select(item, record, level.alias("level"), F.when(level == "shape", F.col("__text")).alias(shape))
 
 
 def pooled(counts: DataFrame, key: str, n: str, least: int = 8) -> DataFrame:

@@ -92,3 +92,20 @@ def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
     statuses = tracker.shuffleStatuses()
     assert statuses.size() <= before[1] + 2  # those of the two counts
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_settled_keys_shuffle_no_texts(spark):
+    from spanloom.operators import evidence
+
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written() -> int:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    noise = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.md5(F.concat("id", i.cast("string")))), "")
+    edits = spark.range(400).select(F.col("id").alias("item"), F.lit(0).alias("record"), noise.alias("literal"), F.when(F.col("id") < 50, "$ $").alias("shape"), (F.col("id") % 3).cast("string").alias("grp"))
+    before = written()
+    rows = evidence.settled_keys(edits, "item", "record", "literal", "shape", "grp").collect()
+    assert {(r.level, r.shape) for r in rows if r.item < 50} == {("shape", "$ $")} and {(r.level, r.shape) for r in rows if r.item >= 50} == {(None, None)} and len(rows) == 400
+    assert written() - before < 400 * 1920 / 4  # the literals have 1,920 characters each
