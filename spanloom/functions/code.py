@@ -157,39 +157,51 @@ def added_words(hunk_rows: DataFrame, common: list[str] = ()) -> DataFrame:
 
 
 def postings(files: DataFrame) -> DataFrame:
-    """``word, path, at, before, after, opens, closes``: every word of ``files(path, text)`` with its number among the file's pieces, and what stands around it.
+    """``word, path, at, before, after, opens, closes, next, behind, next_closes``: every word of ``files(path, text)`` with its number among the file's pieces, and what stands around it.
 
     Pieces are words and the runs of other characters between them; ``before`` and ``after`` are such runs (null at the text's ends), and
-    ``opens`` and ``closes`` tell that no word lies beyond them. Texts go no further than their scan. Stored by word
+    ``opens`` and ``closes`` tell that no word lies beyond them; ``next`` is the word that follows, with what is ``behind`` it. Texts go no further than their scan. Stored by word
     (``bucketBy``), this is an index for :func:`word_files`.
     """
     parts = files.where("text IS NOT NULL").select("path", F.regexp_extract_all("text", F.lit(r"\w+|\W+"), F.lit(0)).alias("p"))
-    sides = lambda i: (F.when(i > 0, F.get("p", i - 1)).alias("before"), F.get("p", i + 1).alias("after"), (i <= 1).alias("opens"), (i + 2 >= F.size("p")).alias("closes"))
+    sides = lambda i: (F.when(i > 0, F.get("p", i - 1)).alias("before"), F.get("p", i + 1).alias("after"), (i <= 1).alias("opens"), (i + 2 >= F.size("p")).alias("closes"), F.get("p", i + 2).alias("next"), F.get("p", i + 3).alias("behind"), (i + 4 >= F.size("p")).alias("next_closes"))
     each = F.filter(F.transform("p", lambda x, i: F.struct(x.alias("word"), i.alias("at"), *sides(i))), lambda e: e["word"].rlike(r"^\w"))
-    return parts.select("path", F.explode(each).alias("e")).select("e.word", "path", "e.at", "e.before", "e.after", "e.opens", "e.closes")
+    return parts.select("path", F.explode(each).alias("e")).select("e.word", "path", "e.at", "e.before", "e.after", "e.opens", "e.closes", "e.next", "e.behind", "e.next_closes")
 
 
 def word_files(wanted: DataFrame, files: DataFrame | None = None, truncated: bool = False, index: DataFrame | None = None) -> DataFrame:
     """``token, files, partial``: in how many files each wanted word or phrase occurs; 0 where in none.
 
     ``files`` has ``path, text``; ``index`` are their :func:`postings`, if they were stored. An occurrence has no word character before it
-    nor behind it. Words are looked up by an equi join. A phrase is verified on its words' places: they must follow each other with
-    just the phrase's characters between them. Only occurrences of wanted words leave the scan, behind a bitmap. ``partial``: the files
+    nor behind it. Words are looked up by an equi join, and phrases by two words that follow each other with what is between them, so a
+    phrase of common words meets only its own occurrences. A longer phrase is verified on its pairs' places. Only occurrences of wanted words leave the scan, behind a bitmap. ``partial``: the files
     are known to be cut short, or the token has no word or a line break, and was not searched.
     """
     tokens = wanted.select("token").where("token IS NOT NULL").distinct()
     parts = tokens.select("token", F.regexp_extract_all("token", F.lit(r"\w+|\W+"), F.lit(0)).alias("p"))
     parts = stored(parts.withColumn("sought", F.exists("p", lambda x: x.rlike(r"^\w")) & ~F.col("token").contains("\n")), "word-tokens")
-    # Of each word of a phrase what stands before and behind it there; before a later word that is behind the one before.
-    each = lambda x, i: F.struct(x.alias("word"), i.alias("i"), F.when(i == 1, F.get("p", i - 1)).alias("lead"), F.get("p", i + 1).alias("tail"), (i + 2 < F.size("p")).alias("more"))
-    words = parts.where("sought").select("token", F.explode(F.filter(F.transform("p", each), lambda e: e["word"].rlike(r"^\w"))).alias("e")).select("token", "e.*")
-    words = stored(words.withColumn("__h", F.xxhash64("word")), "word-parts")
+    # Pieces of a token: its only word, or each two words that follow each other. The first has what stands before it in the token, the last what is behind.
+    piece = lambda x, i, n: F.struct(x.alias("word"), i.alias("i"), F.when(i == 1, F.get("p", i - 1)).alias("lead"), F.get("p", i + n + 1).alias("tail"), F.get("p", i + 1).alias("between"), F.get("p", i + 2).alias("next"), F.lit(n).alias("n"), (i + n + 2 < F.size("p")).alias("more"))
+    each = F.filter(F.transform("p", lambda x, i: F.when(F.size(F.filter("p", lambda w: w.rlike(r"^\w"))) == 1, piece(x, i, 0)).otherwise(piece(x, i, 2))), lambda e: e["word"].rlike(r"^\w") & ((e["n"] == 0) | e["next"].isNotNull()))
+    words = parts.where("sought").select("token", F.explode(each).alias("e")).select("token", "e.*")
+    words = stored(words.withColumn("__h", F.when(F.col("n") == 0, F.xxhash64("word")).otherwise(F.xxhash64("word", "between", "next"))), "word-parts")
     counted = words.groupBy("token").agg(F.count("*").alias("k"))
-    occurring = (postings(files) if index is None else index).withColumnRenamed("word", "__w").withColumn("__g", F.xxhash64("__w"))
-    found = possibly_in(occurring, "__g", words, "__h").join(words, F.col("__w") == F.col("word"))
-    before, after = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
+    occurring = (postings(files) if index is None else index).withColumnRenamed("word", "__w").withColumnRenamed("next", "__next")
+    found = None
+    for n in sorted(r.n for r in words.select("n").distinct().collect()):
+        hashed = F.xxhash64("__w") if n == 0 else F.xxhash64("__w", "after", "__next")
+        own = words.where(F.col("n") == n)
+        here = possibly_in(occurring.where(F.lit(n == 0) | F.col("__next").isNotNull()).withColumn("__g", hashed), "__g", own, "__h")
+        rest, closed = ("after", "closes") if n == 0 else ("behind", "next_closes")
+        here = here.select("__g", "__w", "path", "at", "before", "opens", F.col("after").alias("__between"), "__next", F.col(rest).alias("__rest"), F.col(closed).alias("__closed"))
+        equal = (F.col("__g") == F.col("__h")) & (F.col("__w") == F.col("word"))
+        met = here.join(own, equal if n == 0 else equal & (F.col("__between") == F.col("between")) & (F.col("__next") == F.col("next")))
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return parts.select("token", F.lit(0).cast("long").alias("files"), (F.lit(truncated) | ~F.col("sought")).alias("partial"))
+    before, after = F.coalesce("before", F.lit("")), F.coalesce("__rest", F.lit(""))
     starts = F.col("lead").isNull() | (before.endswith(F.col("lead")) & ((F.length(before) > F.length("lead")) | F.col("opens")))
-    ends = F.col("tail").isNull() | F.when(F.col("more"), after == F.col("tail")).otherwise(after.startswith(F.col("tail")) & ((F.length(after) > F.length("tail")) | F.col("closes")))
+    ends = F.col("tail").isNull() | F.when(F.col("more"), after == F.col("tail")).otherwise(after.startswith(F.col("tail")) & ((F.length(after) > F.length("tail")) | F.col("__closed")))
     met = found.where(starts & ends).select("token", "path", (F.col("at") - F.col("i")).alias("start"))
     whole = met.groupBy("token", "path", "start").agg(F.count("*").alias("n")).join(counted, "token").where("n = k").select("token", "path").distinct()
     counts = whole.groupBy("token").agg(F.count("*").alias("files"))

@@ -109,3 +109,13 @@ def test_settled_keys_shuffle_no_texts(spark):
     rows = evidence.settled_keys(edits, "item", "record", "literal", "shape", "grp").collect()
     assert {(r.level, r.shape) for r in rows if r.item < 50} == {("shape", "$ $")} and {(r.level, r.shape) for r in rows if r.item >= 50} == {(None, None)} and len(rows) == 400
     assert written() - before < 400 * 1920 / 4  # the literals have 1,920 characters each
+
+
+def test_phrases_of_common_words_meet_only_their_own_occurrences(spark):
+    from spanloom.functions import code
+
+    files = spark.range(100).select(F.col("id").cast("string").alias("path"), F.repeat(F.concat(F.lit("the w"), F.col("id").cast("string"), F.lit(" ")), 20).alias("text"))
+    wanted = spark.range(100).select(F.concat(F.lit("the w"), F.col("id").cast("string")).alias("token"))
+    before = shuffled(spark)
+    assert {(r.files, r.partial) for r in code.word_files(wanted, files).collect()} == {(1, False)}
+    assert shuffled(spark) - before < 100 * 20 * 20  # every "the" with every phrase: 200,000 rows
