@@ -119,3 +119,19 @@ def test_phrases_of_common_words_meet_only_their_own_occurrences(spark):
     before = shuffled(spark)
     assert {(r.files, r.partial) for r in code.word_files(wanted, files).collect()} == {(1, False)}
     assert shuffled(spark) - before < 100 * 20 * 20  # every "the" with every phrase: 200,000 rows
+
+
+def test_similar_sets_of_a_family_are_not_shuffled_for_each_pair(spark):
+    from spanloom.operators import sets
+
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written() -> int:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rows = spark.range(60).select("id", F.concat(F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.md5(i.cast("string"))), F.array(F.concat(F.lit("own"), F.col("id").cast("string")))).alias("tokens"))
+    before = written()
+    got = sets.similar_sets(rows, 60).collect()
+    assert {(r.a, r.b, r.common, r.total) for r in got} == {(a, b, 500, 502) for a in range(60) for b in range(a + 1, 60)} and len(got) == 1770
+    assert written() - before < 1770 * 500 * 8 / 2  # half of one set's numbers for each pair
